@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash
-from corvane.llm.common import table
+from corvane.llm import decontaminate, quality, simhash, toxicity
+from corvane.llm.common import held_out, table
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +33,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_decontamination, op9_simhash)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH words AS (
+            SELECT doc_id AS id, 0 AS item, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+            UNION ALL
+            SELECT item_id, 1, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') FROM benchmark
+        ), cut AS (
+            SELECT DISTINCT id, item, array_to_string(w[i : i + 4], ' ') AS shingle
+            FROM words, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS t(i)
+        ), items AS (SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n FROM cut WHERE item = 1)
+        SELECT c.id AS doc_id, item_id, n AS n_shingles, count(*) AS n_shared
+        FROM cut c JOIN items USING (shingle) WHERE c.item = 0
+        GROUP BY ALL HAVING count(*) >= 0.8 * n""",
+}
