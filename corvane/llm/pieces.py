@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 17, 4
 MARK = "▁"
 _MASK = (1 << 64) - 1
-_MEMO, _LONG = 400_000, 48
+_MEMO, _LONG = 800_000, 48
 
 
 class Codec:

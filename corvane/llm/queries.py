@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontaminate, quality, simhash, toxicity
+import corpus_pipeline
+from corvane.llm import decontaminate, pieces, pii, quality, simhash, toxicity
 from corvane.llm.common import held_out, table
 
 
@@ -18,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    return found.select("doc_id", "found.n_email", "found.n_ip", "found.n_card", "found.n_phone", "found.base_sha256", "found.spans", "found.n_added")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _judged(quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.3)
@@ -28,12 +35,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", "encoded.n_pieces", "encoded.ids_sha256", "encoded.lossless")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op4_decontamination, op9_simhash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_classifier, op4_decontamination, op8_pieces, op9_simhash, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
         WITH words AS (
