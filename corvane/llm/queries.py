@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import decontaminate, pieces, pii, quality, simhash, toxicity
-from corvane.llm.common import held_out, table
+from corvane.llm import decontaminate, pieces, pii, quality, rollups, rules, simhash, toxicity, urls, warc
+from corvane.llm.common import held_out, table, written
 
 
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
@@ -35,6 +35,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.deduplicated(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "judged.*")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encoded.select("doc_id", "encoded.n_pieces", "encoded.ids_sha256", "encoded.lossless")
@@ -45,11 +59,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter, then those that are exact copies of one with a smaller id leave; the first batch is sent
+    twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    store = rollups.Store(spark)
+    load = rollups.counted(docs)
+    store.apply("load", load)
+    store.apply("load", load)
+    keys = docs.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"), "source", "lang").where("h IS NOT NULL")
+    first = written(keys.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    copies = keys.join(first, "h").where("doc_id <> first")
+    store.apply("copies", copies.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit(rollups.VERSION).alias("tokenizer"), F.lit(0).alias("n_chars"), F.lit(0).alias("n_tokens")))
+    return store.totals()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_classifier, op4_decontamination, op8_pieces, op9_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_classifier, op4_decontamination, op5_warc, op6_url_filters, op7_quality_rules, op8_pieces, op9_simhash, op10_token_counts, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
         WITH words AS (
@@ -63,4 +92,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.id AS doc_id, item_id, n AS n_shingles, count(*) AS n_shared
         FROM cut c JOIN items USING (shingle) WHERE c.item = 0
         GROUP BY ALL HAVING count(*) >= 0.8 * n""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT h, max(page_id) AS original, count(*) AS c FROM p WHERE n >= 1000 GROUP BY h)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN c > 1 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN c > 1 AND page_id <> original THEN original END AS refers_to
+        FROM p LEFT JOIN g USING (h)""",
+    "op6_url_filters": f"""
+        WITH u AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+        ), r AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in urls.RULES)}) AS t(rule_host, start, action)),
+        fits AS (
+            SELECT page_id, rule_host || start AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || start) DESC, length(rule_host) DESC) AS place
+            FROM u JOIN r ON ends_with('.' || host, '.' || rule_host) AND starts_with(path, start)
+        ), listed AS (SELECT page_id FROM u WHERE {" OR ".join(f"ends_with('.' || host, '.{h}')" for h in urls.BLOCKED_HOSTS)})
+        SELECT u.page_id, host, path, rule, coalesce(action, CASE WHEN listed.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM u LEFT JOIN fits ON fits.page_id = u.page_id AND place = 1 LEFT JOIN listed ON listed.page_id = u.page_id""",
+    "op7_quality_rules": rf"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+                   length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS n_symbols FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS s FROM w, unnest(range(1, len(words) - 3)) AS t(i)
+        ), again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows) WHERE c > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM again, unnest(range(0, 5)) AS t(j) GROUP BY doc_id),
+        base AS (
+            SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+                   len(list_filter(words, lambda x: lower(rtrim(x, '.,;:!?')) IN ({", ".join(f"'{x}'" for x in rules.STOP_WORDS)}))) AS n_stop,
+                   len(list_filter(words, lambda x: regexp_matches(x, '^[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$'))) AS n_upper,
+                   len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullet,
+                   len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) AS n_ellipsis
+            FROM w LEFT JOIN covered USING (doc_id)
+        ), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 15.0 AND n_symbols / n_words <= 0.1 AND n_stop / n_words >= 0.01
+               AND n_upper / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.5 AND n_bullet / n_lines <= 0.9 AND n_ellipsis / n_lines <= 0.3 AS kept
+        FROM judged""",
 }
