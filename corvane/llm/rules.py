@@ -73,8 +73,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     body = F.coalesce(F.col(text), F.lit(""))
     base = {
         "n_words": n,
-        "word_chars": F.char_length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
+        "word_chars": F.aggregate("__words", F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)),
+        "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": lines - F.size(F.array_distinct("__lines")),
         "n_repeat_words": F.col("__repeat"),
     }
