@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTS = ["total_rows", "accepted_rows", "rejected_rows", "duplicate_rows"]
@@ -53,13 +53,18 @@ def status_summary(items: DataFrame, status: str, size: str) -> DataFrame:
     return by.agg(F.sum("n").alias("total"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "s", "n"))), ",").alias("by_status"))
 
 
-def classify_evidence(file_name, record_type) -> F.Column:
-    """(kind, confidence) from the file's extension, raised where the record type is known."""
+#: Modality and confidence by file extension.
+MODALITIES = [
+    ("tabular", 0.65, "csv tsv json jsonl ndjson parquet"), ("text", 0.6, "log"), ("text", 0.55, "txt md"), ("document", 0.55, "pdf"), ("document", 0.5, "doc docx rtf odt"),
+    ("image", 0.5, "png jpg jpeg webp gif bmp tif tiff"), ("audio", 0.5, "wav mp3 m4a flac ogg aac"),
+]
+SPECIAL_TYPES = ("cdr", "ipdr", "anpr", "subscriber", "tower_location", "transaction", "access_log")
+
+
+def classify_evidence(file_name: Column, record_type: Column) -> Column:
+    """(modality, confidence): a special record type decides first, then the file's extension; else unknown."""
     ext = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1))
-    known = record_type.isNotNull() & (record_type != "") & (record_type != "unknown")
-    kind = (
-        F.when(ext.isin("csv", "tsv", "xlsx", "parquet", "json", "jsonl", "ndjson"), "structured_records").when(ext.isin("log", "txt"), "log")
-        .when(ext.isin("pdf", "doc", "docx", "md"), "document").when(ext.isin("png", "jpg", "jpeg", "gif", "webp"), "image").when(ext.isin("wav", "mp3", "m4a", "ogg"), "audio").when(ext.isin("mp4", "mov", "mkv"), "video").otherwise("unknown")
-    )
-    confidence = F.when((kind == "structured_records") & known, 0.9).when(kind == "structured_records", 0.6).when(kind == "unknown", 0.15).otherwise(0.7)
-    return F.struct(kind.alias("kind"), confidence.cast("decimal(5,4)").alias("confidence"))
+    modality, confidence = F.when(record_type.isin(*SPECIAL_TYPES), "structured_records"), F.when(record_type.isin(*SPECIAL_TYPES), 0.9)
+    for name, sure, extensions in MODALITIES:
+        modality, confidence = modality.when(ext.isin(extensions.split()), name), confidence.when(ext.isin(extensions.split()), sure)
+    return F.struct(modality.otherwise("unknown").alias("modality"), confidence.otherwise(0.15).cast("decimal(5,4)").alias("confidence"))

@@ -161,11 +161,11 @@ def cache_counters(spark, d):
 _EMAIL_SQL = X.EMAIL.replace("'", "''")
 
 
-@query(f"""SELECT lang, CAST(sum(len(regexp_extract_all(text, '{_EMAIL_SQL}'))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(text, '{X.IPV4}'))) AS BIGINT) AS ips, CAST(sum(len(regexp_extract_all(text, '{X.SECRET_PATTERNS["AWS_KEY"]}'))) AS BIGINT) AS aws_keys
+@query(f"""SELECT lang, CAST(sum(len(regexp_extract_all(text, '{_EMAIL_SQL}'))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(text, '{X.IPV4}'))) AS BIGINT) AS ips, CAST(sum(len(regexp_extract_all(text, '{X.SECRET_PATTERNS["aws_access_key"]}'))) AS BIGINT) AS aws_keys
     FROM documents GROUP BY 1""")
 def pii_match_counts(spark, d):
     n = lambda p: F.sum(F.size(X.find_all(F.col("text"), p)).cast("long"))
-    return table(spark, d, "documents").groupBy("lang").agg(n(X.EMAIL).alias("emails"), n(X.IPV4).alias("ips"), n(X.SECRET_PATTERNS["AWS_KEY"]).alias("aws_keys"))
+    return table(spark, d, "documents").groupBy("lang").agg(n(X.EMAIL).alias("emails"), n(X.IPV4).alias("ips"), n(X.SECRET_PATTERNS["aws_access_key"]).alias("aws_keys"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL_SQL}', '[REDACTED:pattern:EMAIL]', 'g')) AS digest FROM documents")
