@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import conversations as T
+from corvane.operators import overview as O
 from corvane.operators import prefix as P
 from corvane.operators import registry_ops as N
 from corvane.operators import routing as G
@@ -418,6 +419,58 @@ def newest_log(spark, d):
     return N.newest(calls(spark, d), "event_id", 50, call_type="ERROR", direction="").select("event_id", "call_type", "call_start_ts")
 
 
+# --- overviews ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT json_keys[1] AS field, count(*) AS rows, count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS numbers FROM (SELECT props, json_keys(props) AS json_keys FROM events) GROUP BY 1")
+def schema_profile(spark, d):
+    return O.schema_profile(table(spark, d, "events"), "props")
+
+
+@query(f"WITH {USAGE_SQL} SELECT strftime(DATE '1970-01-01' + CAST((date_diff('day', DATE '1970-01-01', CAST(created_at AS DATE)) + 719162) // 30 * 30 - 719162 AS INTEGER), '%Y-%m') AS bucket, model, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS requests FROM usage GROUP BY 1, 2")
+def usage_fixed_blocks(spark, d):
+    return O.fixed_blocks(usage(spark, d))
+
+
+@query(f"WITH {USAGE_SQL} SELECT model, {_SUMS} FROM usage GROUP BY 1")
+def usage_rolled_by_model(spark, d):
+    return O.rolled_buckets(U.buckets(usage(spark, d), "all"), "model")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 8) AS rms FROM embeddings")
+def signal_rms(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(O.rms(F.col("embedding")), 8).alias("rms"))
+
+
+@query(f"""WITH {_NODES_SQL} SELECT node_id, replica_id, in_flight FROM replicas JOIN nodes USING (node_id) ORDER BY CASE WHEN node_id = 3 AND replica_id = -1 THEN 0 ELSE 1 END, in_flight, last_used, free_memory DESC, node_id, replica_id LIMIT 1""")
+def preferred_replica(spark, d):
+    both = _replicas(spark, d).join(_nodes(spark, d).select("node_id", "free_memory"), "node_id")
+    return O.preferred_replica(both, 3, -1).select("node_id", "replica_id", "in_flight")
+
+
+@query("SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY 2")
+def citation_per_source(spark, d):
+    return O.first_of_each(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query("""SELECT d.doc_id AS evidence_id, lang, quality, item_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id""")
+def evidence_list(spark, d):
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), "lang")
+    jobs = table(spark, d, "labels").select(F.col("doc_id").alias("evidence_id"), "quality")
+    return O.evidence_list(items, jobs, table(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), "item_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND (text ILIKE '%license%' OR source ILIKE '%license%')")
+def evidence_search(spark, d):
+    return O.evidence_search(table(spark, d, "documents"), "license", ("text", "source"), lang="en", source="").select("doc_id")
+
+
+@query("SELECT doc_id, coalesce(quality, 1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def enriched_rows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit(None).cast("int").alias("quality"))
+    return O.enriched(docs, table(spark, d, "labels"), ["doc_id"], ["quality"]).withColumn("quality", F.coalesce("quality", F.lit(1)))
+
+
 # --- what Spark adds (not part of the record templates) ----------------------------------------------------------
 
 
