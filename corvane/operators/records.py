@@ -135,3 +135,64 @@ def correlate(left: DataFrame, right: DataFrame, left_keys: list[str], right_key
     near = timed_l.join(timed_r, ["entity", "bucket"]).where(delta <= window_seconds).withColumn("delta_seconds", delta).drop("bucket")
     loose = lhs.where("left_t IS NULL").join(rhs, "entity").unionByName(lhs.where("left_t IS NOT NULL").join(rhs.where("right_t IS NULL"), "entity"))
     return near.unionByName(loose.withColumn("delta_seconds", F.lit(0).cast("long"))).select("left_id", "right_id", "entity", "delta_seconds")
+
+
+def schema_of(rows: DataFrame) -> DataFrame:
+    """Fields over all batches of rows(record_type, fields): each field of a record type once, with its rows."""
+    return rows.select("record_type", F.explode(F.map_keys("fields")).alias("field")).groupBy("record_type", "field").agg(F.count("*").alias("rows")).orderBy("record_type", "field")
+
+
+def between_times(records: DataFrame, time: str, start: str | None, stop: str | None) -> DataFrame:
+    """Rows in the closed range; without a time a row is left out if a bound is set."""
+    t = F.col(time).cast("timestamp")
+    for bound, op in ((start, "ge"), (stop, "le")):
+        if bound:
+            records = records.where(t >= F.lit(bound).cast("timestamp") if op == "ge" else t <= F.lit(bound).cast("timestamp"))
+    return records
+
+
+def helper(records: DataFrame, name: str, **given) -> DataFrame:
+    """A named query over records(id, row_number, timestamp and canonical fields).
+
+    given: field, value, source, target, start, stop, filters, limit - what the named query asks for.
+    """
+    filters, limit = list(given.get("filters", ())), given.get("limit")
+    value, field = given.get("value"), given.get("field")
+
+    def found(*more, sort=(), n=limit) -> DataFrame:
+        return query(records, [*filters, *more], sort, limit=n)
+
+    def kept(*more) -> DataFrame:
+        out = records
+        for f in (*filters, *more):
+            out = out.where(condition(f[0], f[1], f[2] if len(f) > 2 else None, records.columns))
+        return out
+
+    by_time = [("timestamp", False)]
+    named = {
+        "shortest_call": lambda: found(sort=[("duration_seconds", False)], n=1),
+        "longest_call": lambda: found(sort=[("duration_seconds", True)], n=1),
+        "target_numbers_by_source": lambda: top_values(kept(("source_number", "eq", given.get("source"))), "target_number", limit or 20),
+        "calls_by_area": lambda: found(("area", "contains", value)),
+        "calls_by_cell_id": lambda: found(("cell_id", "eq", value)),
+        "calls_by_date_range": lambda: query(between_times(kept(), "timestamp", given.get("start"), given.get("stop")), sort=by_time, limit=limit),
+        "calls_between_numbers": lambda: calls_between(records, given.get("source"), given.get("target"), "source_number", "target_number", "timestamp", limit),
+        "failed_calls": lambda: found(("status", "contains", "fail")),
+        "roaming_calls": lambda: found(("roaming", "eq", "true")),
+        "imei_to_msisdns": lambda: group_count(kept(("imei", "eq", value)) if value else kept(), ["imei", "source_number"], limit),
+        "imsi_to_msisdns": lambda: group_count(kept(("imsi", "eq", value)) if value else kept(), ["imsi", "source_number"], limit),
+        "plate_search": lambda: found(("plate_number", "contains", value)),
+        "sightings_by_location": lambda: found(("location", "contains", value)),
+        "repeat_plate_locations": lambda: repeat_pairs(kept(), ["plate_number", "location"], limit),
+        "records_by_field": lambda: found((field, "eq", value)),
+        "distinct_values": lambda: distinct_values(kept(), field, "row_number"),
+        "count_by_field": lambda: top_values(kept(), field, limit or DEFAULT_LIMIT),
+        "min_by_field": lambda: extreme(kept(), field, "row_number"),
+        "max_by_field": lambda: extreme(kept(), field, "row_number", largest=True),
+        "top_by_field": lambda: top_values(kept(), field, limit or 10),
+        "timeline_by_entity": lambda: found((field or "msisdn", "eq", value), sort=by_time),
+    }
+    same = {"sightings_by_plate": "plate_search", "plates_seen_near_location": "sightings_by_location", "sightings_by_time_range": "calls_by_date_range"}
+    if same.get(name, name) not in named:
+        raise ValueError(f"unknown helper {name}")
+    return named[same.get(name, name)]()

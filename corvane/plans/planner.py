@@ -176,3 +176,52 @@ def answer(question: str, calls, generic, entities, jobs=None, limit: int = 20):
         "anpr_sightings": lambda: C.entity_timeline(calls.limit(0), generic, target), "case_readiness": lambda: V.quality_summary(jobs),
     }
     return p, run[ALIASES.get(p.template, p.template)]()
+
+
+@dataclass
+class Hints:
+    record_type: str | None = None
+    source_file: str | None = None
+    batch_id: str | None = None
+    filters: list[tuple[str, str, str | list[str]]] = field(default_factory=list)
+    exists: list[str] = field(default_factory=list)
+    missing: list[str] = field(default_factory=list)
+    sort: tuple[str, bool] | None = None
+    limit: int | None = None
+    offset: int | None = None
+
+
+#: How a comparison is worded.
+_OPERATORS = [
+    ("gte", r">=|at least|greater than or equal to"), ("lte", r"<=|at most|less than or equal to"), ("gt", r">|greater than|more than|over|above"), ("lt", r"<|less than|under|below"),
+    ("ne", r"!=|is not|not equal to|not equals"), ("contains", r"contains|containing|like|includes"), ("in", r"in"), ("eq", r"=|is|equals|equal to"),
+]
+_TYPES = ("cdr", "ipdr", "anpr", "subscriber", "tower_location", "transaction", "access_log", "generic")
+
+
+def canonical_hints(question: str) -> Hints:
+    """What a question says about the rows it wants: type, file, batch, filters, presence, order and page."""
+    h, q = Hints(), question.strip().rstrip("?.")
+    low = q.lower()
+    h.record_type = next((t for t in _TYPES if re.search(rf"\b{t.replace('_', '[ _]')}s?\b", low)), None)
+    for name, pattern in (("source_file", r"source file(?: is| =)?\s+['\"]?([\w.\-]+)"), ("batch_id", r"batch(?: id)?(?: is| =)?\s+['\"]?([\w\-]+)")):
+        if m := re.search(pattern, q, re.I):
+            setattr(h, name, m[1])
+    for m in re.finditer(r"\b(?:where|and|with)\s+([A-Za-z_][\w.]*)\s+(exists|is missing|missing)\b", q, re.I):
+        (h.exists if m[2].lower() == "exists" else h.missing).append(m[1])
+    rest = re.split(r"\b(?:order by|sorted by|sort by|limit|offset)\b", q, flags=re.I)[0]
+    at = re.search(r"\bwhere\b", rest, re.I)
+    for clause in re.split(r"\s+and\s+", rest[at.end() :].strip(), flags=re.I) if at else ():
+        for op, words in _OPERATORS:
+            m = re.match(rf"([A-Za-z_][\w.]*)\s*(?:{words})\s*(?<![\w])(?:['\"]([^'\"]*)['\"]|(.+))$" if op not in ("in", "eq", "ne") else rf"([A-Za-z_][\w.]*)\s+(?:{words})\s+(?:['\"]([^'\"]*)['\"]|(.+))$", clause, re.I)
+            if m:
+                value = (m[2] if m[2] is not None else m[3]).strip()
+                if value.lower() != "missing":
+                    h.filters.append((m[1], op, [v.strip(" '\"") for v in re.split(r",|\bor\b", value.strip("()"))] if op == "in" else value))
+                break
+    if m := re.search(r"\b(?:order by|sorted by|sort by)\s+(\w+)(?:\s+(asc|desc)\w*)?", q, re.I):
+        h.sort = (m[1], (m[2] or "desc").lower() == "desc")
+    for name in ("limit", "offset"):
+        if m := re.search(rf"\b{name}\s+(\d+)", low):
+            setattr(h, name, int(m[1]))
+    return h
