@@ -290,7 +290,17 @@ def train(docs: DataFrame, n_texts: int = 400, size: int = 2000) -> Tagger:
     return Tagger().fit(*training_windows([r["text"] for r in rows], size))
 
 
-_SHAPE = {"email": re.compile(r"(?=.*@)(?=.*[A-Za-z]).{5,}", re.S), "ip": re.compile(r"(?:[^0-9]*[0-9]{1,3}){4}[^0-9]*"), "card": re.compile(r"(?:[^0-9]*[0-9]){12,19}[^0-9]*"), "phone": re.compile(r"(?:[^0-9]*[0-9]){7,15}[^0-9]*")}
+_SHAPE = {
+    "email": re.compile(r"(?=[^@]*[A-Za-z])[^\s@]+\s?(?:\(at\))?@\s?[^\s@]+(?:\s?\.\s?[^\s@]+)*"),
+    "ip": re.compile(r"[0-9]{1,3}(?:\s?\[?\.\]?\s?[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9](?:[ .-]{0,3}[0-9]){11,18}"),
+    "phone": re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,14}"),
+}
+
+
+def plausible(kind: str, found: str) -> bool:
+    """Whether a decoded span has the make of its kind; a card number must pass Luhn."""
+    return bool(_SHAPE[kind].fullmatch(found)) and (kind != "card" or luhn("".join(_DIGITS.findall(found))))
 
 
 def _window_starts(text: str) -> list[int]:
@@ -332,7 +342,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger
             # windows on the grid that contain the whole span
             contain = max(1, (a // STEP) - max(0, -(-(b - SPAN) // STEP)) + 1)
             alone = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())  # not the middle of a key or a word
-            if b > a and alone and 2 * n >= contain and _SHAPE[kind].fullmatch(text[a:b]) and all(b <= x or a >= y for x, y in taken):
+            if b > a and alone and 2 * n >= contain and plausible(kind, text[a:b]) and all(b <= x or a >= y for x, y in taken):
                 mine.append((kind, a, b))
                 taken.append((a, b))
         out.append(mine)
