@@ -41,9 +41,15 @@ def sniff(first_line: str) -> str:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and number; lines of one file stay in order of their place in it."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
-    return lines.withColumn("line_number", F.row_number().over(Window.partitionBy("source_file").orderBy("__at"))).drop("__at")
+    """Lines with their file and number in it.
+
+    Only the line counts of the file's splits are brought in order, so a file of any size stays distributed.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    before = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    number = F.col("__at") - F.col("__first") + F.col("__before") + 1
+    return lines.join(splits, ["__file", "__start"]).select("value", "source_file", number.cast("int").alias("line_number"))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

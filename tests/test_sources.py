@@ -24,6 +24,18 @@ def test_ragged_csv(spark, tmp_path):
     assert rows(R.read_any(spark, write(tmp_path, "b.tsv", "a\tb\n1\t2\n"))) == [(2, {"a": "1", "b": "2"}, None)]
 
 
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    for name in ("x.log", "y.log"):
+        (tmp_path / name).write_text("".join(f"n={i} file={name}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = R.read_log(spark, f"file://{tmp_path}/*.log").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 10000 and all(int(x["fields"]["n"]) == x["row_number"] - 2 and x["fields"]["file"] == x["source_file"] for x in got)
+
+
 def test_json_lines_keep_bad_ones(spark, tmp_path):
     got = rows(R.read_any(spark, write(tmp_path, "a.jsonl", '{"a": 1, "b": {"c": "x", "d": {"e": 2}}}\n\nnot json\n{"a": null}\n')))
     assert got[0][1] == {"a": "1", "b.c": "x", "b.d.e": "2"} and got[0][2] is None
