@@ -82,3 +82,19 @@ def batch_stats(calls: DataFrame) -> DataFrame:
     stats = calls.groupBy("batch_id").agg(
         F.count("*").alias("total"), F.min("call_start_ts").alias("first_seen"), F.max("call_start_ts").alias("last_seen"), F.count_distinct("call_dialed_num").alias("targets"), F.count_distinct("msisdn").alias("originators"), F.count_distinct("location").alias("locations"))
     return stats.join(histogram, "batch_id")
+
+
+def normalise_generic(rows: DataFrame, roles: dict[str, list[str]], date_order: str = "day") -> DataFrame:
+    """rows(row_number, fields) as generic records; roles maps time, primary, secondary, location, latitude and longitude to
+    the fields that may hold them, the first non-empty one counts.  A number or time that is none becomes null."""
+    pick = lambda role: F.coalesce(*[F.nullif(F.trim(F.try_element_at("fields", F.lit(f))), F.lit("")) for f in roles.get(role, [])], F.lit(None).cast("string"))
+    return rows.select(
+        "row_number", parse_time(pick("time"), date_order).alias("observed_at"), pick("primary").alias("primary_entity"), pick("secondary").alias("secondary_entity"), pick("location").alias("location"),
+        pick("latitude").try_cast("double").alias("latitude"), pick("longitude").try_cast("double").alias("longitude"), F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))), 256).alias("row_hash"))
+
+
+def canonicalise_calls(calls: DataFrame, ingested_at: Column) -> DataFrame:
+    """Call records as canonical ones: the first non-empty party is primary, a missing time becomes that of ingest."""
+    party = F.coalesce(F.nullif(F.col("msisdn"), F.lit("")), F.nullif(F.col("call_org_num"), F.lit("")))
+    payload = F.to_json(F.struct("msisdn", "call_dialed_num", "call_type", "direction", "duration_seconds", "cell_site_id"))
+    return calls.select(F.lit("cdr").alias("record_type"), "row_number", F.coalesce("call_start_ts", ingested_at).alias("timestamp"), party.alias("primary_entity"), F.col("call_dialed_num").alias("secondary_entity"), "location", payload.alias("raw_payload"))

@@ -123,3 +123,21 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key, as for one citation of each source."""
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def assets_in_order(assets: DataFrame, limit: int = 20) -> DataFrame:
+    """Mirrored assets first, then the last updated."""
+    return assets.orderBy(F.when(F.col("rag_status") == "mirrored", 0).otherwise(1), F.desc("updated_at"), "asset_id").limit(limit)
+
+
+def preview(c: Column, most: int) -> Column:
+    """The text, or its beginning with a mark that it was cut."""
+    return F.when(F.char_length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+
+def first_with_rows(*frames: DataFrame) -> DataFrame:
+    """The first frame that has a row, as for evidence from vectors, else words, else the catalogue."""
+    for df in frames[:-1]:
+        if df.limit(1).count():
+            return df
+    return frames[-1]

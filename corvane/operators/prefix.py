@@ -50,3 +50,9 @@ def rolling_pressure(events: DataFrame, key: str, time: str, window_s: int, orde
     """Each event with the number of its key's events in the window up to it, both ends included."""
     w = Window.partitionBy(key).orderBy(F.unix_timestamp(F.col(time).cast("timestamp"))).rangeBetween(-window_s, 0)
     return events.select(order, key, F.count("*").over(w).alias("pressure"))
+
+
+def invalidated(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """Entries but those of replicas that were taken down after their last touch: gone(replica, at)."""
+    last = gone.groupBy("replica").agg(F.max("at").alias("__at"))
+    return entries.join(last, "replica", "left").where("__at IS NULL OR last_seen > __at").drop("__at")

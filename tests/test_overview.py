@@ -95,3 +95,21 @@ def test_forecast_and_expiry(spark):
     assert [x["projected"] for x in U.forecast(line, 2).collect()] == [40, 50] and U.forecast(line.limit(1), 2).count() == 0
     t = spark.createDataFrame([("a", "r1", "2024-01-01 00:00:00"), ("b", "r2", "2023-12-31 23:59:59")], "key string, replica string, t string").select("key", "replica", F.to_timestamp("t").alias("last_seen"))
     assert [x["key"] for x in P.live_entries(t, "2024-01-01 00:01:00", 60).collect()] == ["a"]
+
+
+def test_generic_and_canonical_records(spark):
+    rows = spark.createDataFrame([(2, {"When": "03/04/2026", "plate": "LEA-1", "cam": "", "camera": "c9", "lat": "x"})], "row_number int, fields map<string,string>")
+    x = I.normalise_generic(rows, {"time": ["When"], "primary": ["plate"], "secondary": ["cam", "camera"], "latitude": ["lat"]}).first()
+    assert (str(x["observed_at"]), x["primary_entity"], x["secondary_entity"], x["latitude"], x["location"]) == ("2026-04-03 00:00:00", "LEA-1", "c9", None, None)
+    calls = spark.createDataFrame([(1, "", "o", "d", None, "SMS", None, 3, "c", "l")], "row_number int, msisdn string, call_org_num string, call_dialed_num string, call_start_ts timestamp, call_type string, direction string, duration_seconds int, cell_site_id string, location string")
+    x = I.canonicalise_calls(calls, F.to_timestamp(F.lit("2024-01-01"))).first()
+    assert x["primary_entity"] == "o" and str(x["timestamp"]) == "2024-01-01 00:00:00" and "direction" not in x["raw_payload"]
+
+
+def test_orders_previews_and_fallbacks(spark):
+    e = spark.createDataFrame([("k1", "r1", 5), ("k2", "r1", 9), ("k3", "r2", 1)], "key string, replica string, last_seen int")
+    assert sorted(x["key"] for x in P.invalidated(e, spark.createDataFrame([("r1", 6)], "replica string, at int")).collect()) == ["k2", "k3"]
+    a = spark.createDataFrame([(1, "pending", 9), (2, "mirrored", 1), (3, "mirrored", 2)], "asset_id int, rag_status string, updated_at int")
+    assert [x["asset_id"] for x in O.assets_in_order(a).collect()] == [3, 2, 1]
+    x = spark.range(1).select(O.preview(F.lit("abcdef"), 3).alias("a"), O.preview(F.lit("abc"), 3).alias("b")).first()
+    assert tuple(x) == ("abc...", "abc") and O.first_with_rows(a.limit(0), a).count() == 3
