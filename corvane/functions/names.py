@@ -70,6 +70,27 @@ REQUIRED = [
     ("access_log", ["ip source_ip src_ip", "user username user_id path url"]),
 ]
 _CANONICAL = {alias: name for name, aliases in ALIASES.items() for alias in aliases.split()}
+#: What a value of a role looks like, and how much a value counts.
+LOOKS = {
+    "email": (1.0, r"(?i)^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"),
+    "ipv4": (1.0, r"^(?:\d{1,3}\.){3}\d{1,3}$"),
+    "ipv6": (1.0, r"(?i)^(?:[a-f0-9]{0,4}:){2,7}[a-f0-9]{0,4}$"),
+    "phone": (1.0, r"^\+?\d(?:[\s().\-]?\d){9,18}$"),
+    "imei_imsi": (0.85, r"^\d{14,15}$"),
+    "vehicle": (0.7, r"(?i)^[A-Z0-9][A-Z0-9\- ]{3,12}[A-Z0-9]$"),
+}
+#: What a field's name hints at, and how much that counts.
+HINTS = {
+    "timestamp": (0.15, "time|date|_at$|_ts$|_tm$"),
+    "phone": (0.2, "msisdn|phone|mobile|caller|callee|dialed"),
+    "ip": (0.2, "ip"),
+    "email": (0.2, "mail"),
+    "imei_imsi": (0.2, "imei|imsi"),
+    "vehicle": (0.2, "plate|vehicle|registration"),
+    "identifier": (0.1, "id|target|entity|account|user"),
+}
+#: A field of a lower score is text.
+LEAST_SCORE = 0.3
 ROLES = ("phone", "email", "ip", "imei_imsi", "vehicle", "identifier", "timestamp")
 
 
@@ -102,28 +123,28 @@ def record_type_by_headers(headers: list[str], wanted: str | None = None) -> str
 def column_roles(rows: DataFrame, sample: int = 500) -> DataFrame:
     """(field, role, score) of each field of rows(fields): what its name hints at and its values look like.
 
-    A field whose best score is under 0.3 is text.  At most ``sample`` rows are looked at.
+    At most ``sample`` rows are looked at.
     """
     from corvane.operators.ingest import parse_time
 
     cells = rows.limit(sample).select(F.explode("fields").alias("field", "v")).where("trim(v) <> ''")
     v = F.trim("v")
     number = F.regexp_replace(v, "[^0-9]", "")
-    looks = {
-        "timestamp": parse_time(v).isNotNull(),
-        "email": v.rlike(r"(?i)^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"),
-        "ip": v.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$") | v.rlike(r"(?i)^(?:[a-f0-9]{0,4}:){2,7}[a-f0-9]{0,4}$"),
-        "phone": F.char_length(number).between(10, 15) & v.rlike(r"^\+?\d(?:[\s().\-]?\d){9,18}$"),
-        "imei_imsi": number.rlike(r"^\d{14,15}$"),
-        "vehicle": v.rlike(r"(?i)^[A-Z0-9][A-Z0-9\- ]{3,12}[A-Z0-9]$") & ~v.rlike(r"^\d+$"),
+    like = lambda kind, c: c.rlike(LOOKS[kind][1]).cast("double") * LOOKS[kind][0]
+    points = {
+        "timestamp": parse_time(v).isNotNull().cast("double"),
+        "email": like("email", v),
+        "ip": F.greatest(like("ipv4", v), like("ipv6", v)),
+        "phone": F.when(F.char_length(number).between(10, 15), like("phone", v)).otherwise(0.0),
+        "imei_imsi": like("imei_imsi", number),
+        "vehicle": F.when(v.rlike(r"^\d+$"), 0.0).otherwise(like("vehicle", v)),
+        "identifier": F.lit(0.0),
     }
-    weight = {"imei_imsi": 0.85, "vehicle": 0.7}
+    votes = cells.groupBy("field").agg(*[F.avg(c).alias(k) for k, c in points.items()])
     name = F.lower(F.col("field"))
-    hints = {"timestamp": (0.15, "time|date|_at$|_ts$|_tm$"), "phone": (0.2, "msisdn|phone|mobile|caller|callee|dialed"), "ip": (0.2, "ip"), "email": (0.2, "mail"), "imei_imsi": (0.2, "imei|imsi"), "vehicle": (0.2, "plate|vehicle|registration"), "identifier": (0.1, "id|target|entity|account|user")}
-    votes = cells.groupBy("field").agg(*[F.avg(c.cast("double") * weight.get(k, 1.0)).alias(k) for k, c in looks.items()]).withColumn("identifier", F.lit(0.0))
-    scored = F.array(*[F.struct((F.col(k) + F.when(name.rlike(p), s).otherwise(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("role")) for i, (k, (s, p)) in enumerate((k, hints[k]) for k in ROLES)])
+    scored = F.array(*[F.struct((F.col(k) + F.when(name.rlike(HINTS[k][1]), HINTS[k][0]).otherwise(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("role")) for i, k in enumerate(ROLES)])
     best = votes.select("field", F.array_max(scored).alias("b"))
-    return best.select("field", F.when(F.col("b.score") < 0.3, "text").otherwise(F.col("b.role")).alias("role"), F.round("b.score", 4).alias("score"))
+    return best.select("field", F.when(F.col("b.score") < LEAST_SCORE, "text").otherwise(F.col("b.role")).alias("role"), F.round("b.score", 4).alias("score"))
 
 
 def targets_of(roles: DataFrame) -> tuple[str | None, str | None]:
