@@ -4,7 +4,8 @@ Merges are taken from an agenda by score, leftmost first.  A candidate popped fr
 hash of its place and piece falls under the dropout rate, so a seed and a variant fix the segmentation; at rate 0
 it equals the library's own.  Pieces hold the blank mark at their start only, hence no merge crosses a word and
 each word is segmented once for each variant.  A document's words take the variants in turn, from a start that
-its id's keyed hash gives.  Decoding restores every text exactly, also literal blank marks (as bytes).
+its id's keyed hash gives.  The new words of a batch are segmented together: their agendas are the rows of one
+array, and each round takes the best candidate of every row.  Decoding restores every text exactly, also literal blank marks (as bytes).
 """
 
 from __future__ import annotations
@@ -50,20 +51,116 @@ class Codec:
             raise ValueError("a piece holds the blank mark after other characters")
         alone = "\n" if not any("\n" in p for p in self.ids if len(p) > 1) else ""
         self.units = re.compile(rf" *[^ {alone}]+| +|{alone}" if alone else r" *[^ ]+| +")
-        self.limit, self.seed, self.variants = int(rate * 2**64), seed, max(1, variants) if rate > 0 else 1
+        self.limit, self.seed, self.variants = min(int(rate * 2**64), 2**64 - 1), seed, max(1, variants) if rate > 0 else 1
+        self._tabulate()
         self.memo: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
+    def _tabulate(self) -> None:
+        """Characters and pairs of pieces as sorted arrays, for lookups of many at once."""
+        chars = sorted((ord(" " if p == MARK else p), i) for p, i in self.ids.items() if len(p) == 1)
+        self.points, self.point_ids = (np.array(x, dtype=np.int64) for x in zip(*chars))
+        pairs = {}
+        self.wide = 1 << max(self.ids.values()).bit_length()
+        for p, i in self.ids.items():
+            for cut in range(1, len(p)):
+                a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
+                if a is not None and b is not None:
+                    pairs[a * self.wide + b] = i
+        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        self.score_of = np.full(self.wide, np.inf, dtype=np.float32)
+        for i, score in self.scores.items():
+            self.score_of[i] = score
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the joined pieces; -1 where there is none."""
+        keys = left * self.wide + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
+
+    def learn(self, wanted: list[set[str]]) -> None:
+        """Segments each variant's words that are not known yet."""
+        by_size: dict[int, list[tuple[str, int]]] = {}
+        if sum(map(len, self.memo)) > _MEMO:
+            self.memo = [{} for _ in range(self.variants)]
+        for v, units in enumerate(wanted):
+            for u in units - self.memo[v].keys():
+                if len(u) <= _LONG:
+                    by_size.setdefault(len(u), []).append((u, v))
+        for size, new in by_size.items():
+            if size == 1 or len(new) < 16:
+                for u, v in new:
+                    self.memo[v][u] = self._merged(u, v)
+                continue
+            for at in range(0, len(new), 1 << 15):
+                part = new[at : at + (1 << 15)]
+                for (u, v), found in zip(part, self._merged_many(part, size)):
+                    self.memo[v][u] = found
+
+    def _merged_many(self, words: list[tuple[str, int]], size: int) -> list[bytes]:
+        """``_merged`` of many words of one length."""
+        points = np.frombuffer("".join(u for u, _ in words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64).reshape(-1, size)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        known = self.points[at] == points
+        whole = known.all(axis=1)
+        out = self.point_ids[at]
+        rows = np.nonzero(whole)[0]  # words with an unknown character are left to _merged
+        ids = out[rows]
+        keys = np.array([xxhash.xxh64_intdigest(words[r][0].encode(), self.seed * 1_000_003 + words[r][1]) for r in rows], dtype=np.uint64) if self.limit else None
+        piece = np.full(ids.shape, -1, dtype=np.int64)
+        piece[:, :-1] = self._pairs(ids[:, :-1], ids[:, 1:])
+        score = np.where(piece >= 0, self.score_of[piece], np.float32(np.inf))
+        after = np.tile(np.arange(1, size + 1, dtype=np.int16), (len(rows), 1))
+        before = after - np.int16(2)
+        odd, spread, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+        while len(rows):
+            r = np.arange(len(rows))
+            i = score.argmin(axis=1)
+            live = score[r, i] < np.inf
+            n_live = np.count_nonzero(live)
+            if n_live < 0.7 * len(rows):
+                out[rows[~live]] = ids[~live]
+                rows, ids, piece, score, after, before = (x[live] for x in (rows, ids, piece, score, after, before))
+                keys = keys[live] if self.limit else None
+                continue
+            if n_live < len(rows):
+                r, i = r[live], i[live]
+            k = piece[r, i]
+            if self.limit:
+                h = keys[r] ^ (i.astype(np.uint64) * odd + k.astype(np.uint64) * spread)
+                h = (h ^ h >> np.uint64(32)) * mix
+                h = (h ^ h >> np.uint64(29)) * mix
+                skip = (h ^ h >> np.uint64(32)) < np.uint64(self.limit)
+                score[r[skip], i[skip]] = np.inf
+                r, i, k = r[~skip], i[~skip], k[~skip]
+            j = after[r, i]
+            ids[r, i] = k
+            ids[r, j] = -2
+            score[r, j] = np.inf
+            far = after[r, j]
+            after[r, i] = far
+            score[r, i] = np.inf
+            has = far < size
+            rr, ii, ff = r[has], i[has], far[has]
+            before[rr, ff] = ii
+            new = self._pairs(k[has], ids[rr, ff])
+            piece[rr, ii] = new
+            score[rr, ii] = np.where(new >= 0, self.score_of[new], np.float32(np.inf))
+            b = before[r, i]
+            has = b >= 0
+            rr, bb = r[has], b[has]
+            new = self._pairs(ids[rr, bb], k[has])
+            piece[rr, bb] = new
+            score[rr, bb] = np.where(new >= 0, self.score_of[new], np.float32(np.inf))
+        kept = out != -2
+        ends = (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+        data = out[kept].astype("<i4").tobytes()
+        return [data[a:b] if w else self._merged(*word) for a, b, w, word in zip([0, *ends], ends, whole.tolist(), words)]
+
     def unit(self, unit: str, variant: int = 0) -> bytes:
         """Ids (int32) of one word with the blanks before it."""
-        memo = self.memo[variant]
-        found = memo.get(unit)
-        if found is None:
-            found = self._merged(unit, variant)
-            if len(unit) <= _LONG:
-                if len(memo) * self.variants >= _MEMO:
-                    memo.clear()
-                memo[unit] = found
-        return found
+        found = self.memo[variant].get(unit)
+        return self._merged(unit, variant) if found is None else found
 
     def _merged(self, unit: str, variant: int) -> bytes:
         # a blank is the mark; a literal mark is no vocabulary character, so it falls back to bytes
@@ -112,15 +209,22 @@ class Codec:
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         """Ids of the text; a null or empty one has none."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        units = self.units.findall(" " + text)
-        if self.variants == 1:
-            return np.frombuffer(b"".join(map(self.unit, units)), dtype=np.int32)
-        out = [b""] * len(units)
-        for v in range(self.variants):
-            out[v :: self.variants] = map(self.unit, units[v :: self.variants], repeat((key + v) % self.variants))
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return self.encode_batch([text], [key])[0]
+
+    def encode_batch(self, texts, keys) -> list[np.ndarray]:
+        cut = [self.units.findall(" " + t) if t else [] for t in texts]
+        wanted: list[set[str]] = [set() for _ in range(self.variants)]
+        for units, key in zip(cut, keys):
+            for v in range(self.variants):
+                wanted[(key + v) % self.variants].update(units[v :: self.variants])
+        self.learn(wanted)
+        found = []
+        for units, key in zip(cut, keys):
+            out = [b""] * len(units)
+            for v in range(self.variants):
+                out[v :: self.variants] = map(self.unit, units[v :: self.variants], repeat((key + v) % self.variants))
+            found.append(np.frombuffer(b"".join(out), dtype=np.int32))
+        return found
 
     def decode(self, ids) -> str:
         """The text; unknown and control ids stand for nothing."""
@@ -166,8 +270,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, rate: float = RAT
         own = codec(shared.value, rate, seed, variants)
         for keys, texts in batches:
             rows = []
-            for key, text in zip(keys, texts):
-                ids = own.encode(text, int(key))
+            for text, ids in zip(texts, own.encode_batch(texts.tolist(), keys.tolist())):
                 rows.append((ids, hashlib.sha256(ids.tobytes()).hexdigest(), len(ids), own.decode(ids) == (text or "")))
             yield pd.DataFrame(rows, columns=["ids", "ids_sha256", "n_pieces", "lossless"])
 
