@@ -59,6 +59,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     rows = (
         docs.select("doc_id", F.col("text").alias("__t")).where(F.col("text").isNotNull())
         .join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id")  # at most 2 * per_class rows
-        .select("doc_id", "__t", "__y").collect()
+        .groupBy("doc_id", "__y").agg(F.min("__t").alias("__t")).collect()
     )
     return [(r["__t"], int(r["__y"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["__t"]))]
