@@ -68,10 +68,13 @@ class Store:
         paths = [f"{self.path}/{log}/{b}" for b in self.committed()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
-        """What counts now for each (doc_id, tokenizer): the rows that no later batch has taken out."""
-        left = self._read("rows", _ROW).groupBy("doc_id", *GROUP, "n_chars", "n_tokens").agg(F.sum("n_docs").alias("n_docs"))
-        return left.where("n_docs <> 0")
+    def current(self, keys: DataFrame | None = None) -> DataFrame:
+        """What counts now for each (doc_id, tokenizer), or for those of keys(__d, __t): the rows that no later batch has
+        taken out."""
+        rows = self._read("rows", _ROW)
+        if keys is not None:
+            rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__d"]) & rows["tokenizer"].eqNullSafe(keys["__t"]), "left_semi")
+        return rows.groupBy("doc_id", *GROUP, "n_chars", "n_tokens").agg(F.sum("n_docs").alias("n_docs")).where("n_docs <> 0")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Applies changes(op, doc_id, source, lang, tokenizer, n_chars, n_tokens) under a batch id; False if done before.
@@ -89,8 +92,7 @@ class Store:
         enter = latest.where("c.enters").select("doc_id", "c.source", "c.lang", "tokenizer", F.lit(1).cast("long").alias("n_docs"), "c.n_chars", "c.n_tokens")
         signed = enter
         if done:
-            now, own = self.current(), latest.select(F.col("doc_id").alias("__d"), F.col("tokenizer").alias("__t"))
-            leave = now.join(own, now["doc_id"].eqNullSafe(own["__d"]) & now["tokenizer"].eqNullSafe(own["__t"]), "left_semi")
+            leave = self.current(latest.select(F.col("doc_id").alias("__d"), F.col("tokenizer").alias("__t")))
             signed = enter.unionByName(leave.withColumn("n_docs", -F.col("n_docs")))
         rows = f"{self.path}/rows/{batch}"
         signed.withColumns({"batch": F.lit(batch), "seq": F.lit(len(done)).cast("long")}).write.mode("overwrite").parquet(rows)
