@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import BATCH_ROWS, labelled_sample, small_batches
+from corvane.llm.common import BATCH_ROWS, held_out, labelled_sample, small_batches
 
 WORD_BINS, SHAPE_BINS, RATIOS = 512, 512, 6
 TERMS = WORD_BINS + SHAPE_BINS + RATIOS
@@ -116,8 +116,6 @@ def fit(sample: list[tuple[str, int]], sizes: tuple[int, int], rank: int = 48) -
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500) -> Model:
     """Fit on at most ``per_class`` labelled texts of each class; a text stands for all training rows of its class."""
-    from corvane.llm.common import held_out
-
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(label).count().collect()
     sizes = {int(r[0]): int(r[1]) for r in rows}
     return fit(labelled_sample(docs, labels, label, per_class), (sizes.get(0, 0), sizes.get(1, 0)))
