@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import labelled_sample, small_batches
 
-MAX_TERMS, WINDOW, FEATURES = 256, 5, 6
+MAX_TERMS, WINDOW, FEATURES = 256, 5, 7
 _SEEN, _STATES = 300_000, 50_000
 _OPENS, _CLOSES = tuple("\"'“”«»„‘’"), re.compile(r"[\"'“”«»‘’][.,;:!?]*$")
 #: Words that report what someone else said, and words that address a reader.
@@ -131,30 +131,43 @@ def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def mine_lexicon(sample: list[tuple[str, int]], max_terms: int = MAX_TERMS, ratio: float = 20.0) -> list[tuple[str, float]]:
-    """(term, weight): word beginnings of 4 to 12 letters that toxic training texts hold far more often than others."""
-    counts, n = (Counter(), Counter()), [0, 0]
-    for text, y in without_copies(sample):
-        n[y] += 1
-        stems = {w[:k] for w in map(_bare, set(text.split())) for k in range(4, min(len(w), 12) + 1)}
-        counts[y].update(stems)
-    if not n[1]:
+def mine_lexicon(sample: list[tuple[str, int]], max_terms: int = MAX_TERMS, ratio: float = 4.0) -> list[tuple[str, float]]:
+    """(term, weight): word beginnings of 4 to 12 letters that toxic training texts hold far more often than others.
+
+    A term must do so in both halves of the sample, which chance terms do not.  A longer form of a term is one of its
+    own if its odds are three times as high.
+    """
+    counts, n = [Counter() for _ in range(4)], [0] * 4
+    for i, (text, y) in enumerate(without_copies(sorted(sample, key=lambda x: x[1]))):
+        k = 2 * y + i % 2
+        n[k] += 1
+        counts[k].update({w[:j] for w in map(_bare, set(text.split())) for j in range(4, min(len(w), 12) + 1)})
+    bad, clean = n[2] + n[3], n[0] + n[1]
+    if not bad:
         return []
-    least = max(3, n[1] // 80)
+    seen = counts[2] + counts[3]
 
     def odds(stem: str) -> float:
-        return (counts[1][stem] / n[1]) / ((counts[0][stem] + 0.5) / (n[0] + 1))
+        return (seen[stem] / bad) / ((counts[0][stem] + counts[1][stem] + 0.5) / (clean + 1))
+
+    def in_both_halves(stem: str) -> bool:
+        return all(counts[2 + h][stem] >= (2 if bad >= 100 else 1) and (counts[2 + h][stem] / n[2 + h]) >= 3 * (counts[h][stem] + 0.5) / (n[h] + 1) for h in (0, 1))
 
-    good = {s for s, c in counts[1].items() if c >= least and odds(s) >= ratio}
+    least = max(3, bad // 80)
+    # few occurrences can be chance: as many as a cautious guess leaves must still be enough
+    good = {s for s, c in seen.items() if c >= least and odds(s) * (1 - 1.6 / np.sqrt(c)) >= ratio and in_both_halves(s)}
     best: dict[str, float] = {}
-    for stem in sorted(good, key=len):
-        if stem[:-1] in good:
-            continue  # a longer form of one that is kept
-        while longer := [s for s in (stem + c for c in {x[len(stem)] for x in good if len(x) > len(stem) and x.startswith(stem)}) if counts[1][s] >= 0.95 * counts[1][stem]]:
+    for stem in sorted(good, key=lambda s: (len(s), s)):
+        shorter = next((stem[:k] for k in range(len(stem) - 1, 3, -1) if stem[:k] in best), None)
+        if shorter and best[shorter] * 3 > odds(stem):
+            continue
+        if any(x.startswith(stem) for x in best):
+            continue  # one that was carried on to a longer form
+        while longer := [x for x in sorted({g[: len(stem) + 1] for g in good if len(g) > len(stem) and g.startswith(stem)}) if seen[x] >= 0.95 * seen[stem]]:
             stem = longer[0]
-        best[stem] = float(np.log(odds(stem)))
-    ranked = sorted(best, key=lambda s: (-counts[1][s] * best[s], s))[:max_terms]
-    return [(s, best[s]) for s in sorted(ranked)]
+        best[stem] = odds(stem)
+    ranked = sorted(best, key=lambda s: (-seen[s] * np.log(best[s]), s))[:max_terms]
+    return [(s, float(np.log(best[s]))) for s in sorted(ranked)]
 
 
 @dataclass
@@ -171,19 +184,17 @@ class Model:
     def features(self, text: str | None) -> np.ndarray:
         if self.scanner is None:
             self.scanner = Scanner(self.terms)
-        return self.summed(self.scanner.hits(text))
+        return self.summed(self.scanner.hits(text), (text or "").count(" "))
 
-    def summed(self, hits: list[tuple[int, int, float, bool]]) -> np.ndarray:
+    def summed(self, hits: list[tuple[int, int, float, bool]], length: int) -> np.ndarray:
         out = np.zeros(FEATURES)
         if hits:
-            quoted = sum(q for *_, q in hits)
+            weighed = [(self.weights[t, e] * w, e) for t, e, w, _ in hits]
+            exact, near = (sum(w for w, e in weighed if bool(e) == k) for k in (False, True))
+            open_hits = [(t, e) for t, e, _, q in hits if not q and self.weights[t, e] > 0]
             out[:] = (
-                np.log1p(sum(self.weights[t, 0] * w for t, e, w, _ in hits if not e)),
-                np.log1p(sum(self.weights[t, e] * w for t, e, w, _ in hits if e)),
-                any(not e and not q for _, e, _, q in hits),
-                min(4, len({t for t, e, _, q in hits if not q and self.weights[t, e] > 0})),
-                quoted / len(hits),
-                np.log1p(sum(not q and self.weights[t, e] > 0 for t, e, _, q in hits)),
+                np.log1p(exact), np.log1p(near), min(4, len({t for t, _ in open_hits})), np.log1p(len(open_hits)),
+                np.log1p((exact + near) * 200 / (length + 100)), max((w for w, _ in weighed), default=0.0), np.log1p(length / 200),
             )
         return out
 
@@ -224,7 +235,7 @@ class Scanner:
         return (0.2 if quoted else 1.0) * (1.25 if near & ADDRESSES else 1.0), quoted
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 400) -> Model:
+def fit(sample: list[tuple[str, int]], rounds: int = 1500) -> Model:
     """Without toxic training texts the lexicon is empty and every text gets the same low score."""
     lexicon = mine_lexicon(sample)
     y = np.array([y for _, y in sample], dtype=float)
@@ -239,12 +250,14 @@ def fit(sample: list[tuple[str, int]], rounds: int = 400) -> Model:
             seen[label, t, e] += 1
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    # a way of misspelling that clean training texts show too counts for little
-    model.weights = np.where(seen[0] > 0, np.clip(odds, 0, weights), weights) * (np.where(seen[0] > 0.02 * n[0], 0, 1))
+    # a way of misspelling that clean training texts show too counts for little, a common one for nothing
+    model.weights = np.where(seen[0] > 0, np.clip(odds, 0, weights), weights) * (seen[0] <= 0.02 * n[0])
+    model.weights[:, 0] = weights[:, 0]
     found = [scanner.hits(t) for t, _ in sample]
     # each toxic text trains once more as if every term in it that allows an edit were misspelled
-    bent = [[(t, e or min(1, edits_allowed(model.terms[t])), w, q) for t, e, w, q in hits] for hits, (_, label) in zip(found, sample) if label and hits]
-    x = np.array([model.summed(hits) for hits in found + bent])
+    lengths = [t.count(" ") for t, _ in sample]
+    bent = [([(t, e or min(1, edits_allowed(model.terms[t])), w, q) for t, e, w, q in hits], n) for hits, n, (_, label) in zip(found, lengths, sample) if label and hits]
+    x = np.array([model.summed(hits, k) for hits, k in [*zip(found, lengths), *bent]])
     y = np.concatenate([y, np.ones(len(bent))])
     n[1] += len(bent)
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
