@@ -141,6 +141,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id OR doc_id IS NULL")
     keep = written(found.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
     again = keep.where("n > 1 AND doc_id IS NOT NULL").limit(1).count() > 0
-    ids = keep.select(F.col("doc_id").alias("__keep"))
+    # always one shuffle of docs: the list of ids grows with them, so it is never broadcast
+    ids = keep.select(F.col("doc_id").alias("__keep")).hint("merge")
     out = docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
     return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(out.where(F.col(id_col).isNull())) if again else out
