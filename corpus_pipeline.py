@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, pieces, pii, quality, simhash
+from corvane.llm import decontaminate, near_copies, pieces, pii, quality
 from corvane.llm.common import table, written
 
 #: Documents of a lower score are rejected.
@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group."""
-    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+    """The document of the smallest id of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.drop_near_copies(docs).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

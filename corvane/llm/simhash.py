@@ -13,7 +13,7 @@ most 65 of them, so no group grows with the data and no pair is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -116,29 +116,31 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable = fingerprint_column, links: Callable = near_links) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: fp signed, component_id the smallest id reachable.
 
+    key gives fp from the text; links gives the links (a, b) between the distinct values of a table (fp, low_id).
+
     Null and empty texts have fingerprint 0 and link like any other; repeated rows stay, each with its own result
     row; a null id is no candidate for the smallest, so a component with null ids only has a null component_id.
     """
     small_batches(docs.sparkSession)
-    prints = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
-    return prints.join(_classes(prints), "fp").select("doc_id", "fp", "component_id")
+    prints = written(docs.select(F.col(id_col).alias("doc_id"), key(F.col(text_col)).alias("fp")), "prints")
+    return prints.join(_classes(prints, links), "fp").select("doc_id", "fp", "component_id")
 
 
-def _classes(prints: DataFrame) -> DataFrame:
+def _classes(prints: DataFrame, links: Callable) -> DataFrame:
     """(fp, component_id), one row per distinct fingerprint, as a written table."""
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fps")
-    root = components(near_links(fps.select("fp")))
+    root = components(links(fps))
     rooted = written(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "least")
     return written(rooted.join(least, "root").select("fp", "component_id"), "classes")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose id is their component's smallest, one for each component; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id OR doc_id IS NULL")
+    found = near_duplicates(docs, id_col, text_col, **how).where("doc_id = component_id OR doc_id IS NULL")
     keep = written(found.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
     again = keep.where("n > 1 AND doc_id IS NOT NULL").limit(1).count() > 0
     # always one shuffle of docs: the list of ids grows with them, so it is never broadcast
