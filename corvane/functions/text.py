@@ -53,8 +53,10 @@ def hash_prefix(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 8)
 
 
-def find_all(c: Column, pattern: str, most: int = 1000) -> Column:
-    return F.slice(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), 1, most)
+def find_all(c: Column, pattern: str, most: int | None = None) -> Column:
+    """All matches in order, or the first ``most``."""
+    found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def redact(c: Column, patterns: dict[str, str], source: str = "pattern") -> Column:

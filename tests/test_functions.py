@@ -106,3 +106,24 @@ def test_turn_budget_keeps_the_newest(spark):
     df = spark.createDataFrame([(1, i, "user", "x" * 40) for i in range(5)] + [(2, 0, "user", "y" * 4000), (3, 0, "u", None)], "conv_id int, turn int, role string, text string")
     got = sorted((x["conv_id"], x["turn"]) for x in T.trimmed_turns(df, 25).collect())
     assert got == [(1, 3), (1, 4), (2, 0), (3, 0)]
+
+
+def test_find_all_has_no_limit_of_its_own(spark):
+    text = F.lit(" ".join(f"u{i}@x.org" for i in range(1234)))
+    assert one(spark, F.size(X.find_all(text, X.EMAIL))) == 1234 and one(spark, F.size(X.find_all(text, X.EMAIL, most=1000))) == 1000
+
+
+@pytest.mark.parametrize("name", ["pii_match_counts", "pii_hash_prefix"])
+def test_queries_take_over_a_thousand_matches(spark, tmp_path, name):
+    import duckdb
+
+    from corvane.plans import registry
+
+    text = " ".join(f"u{i}@x.org 10.0.{i % 256}.7 AKIA{i:016d}" for i in range(1234))
+    spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "none", "de")], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
