@@ -59,6 +59,22 @@ def find_all(c: Column, pattern: str, most: int | None = None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
+def find_places(c: Column, pattern: str) -> Column:
+    """The place of every match, in order: start from 1, end one past the last character.
+
+    Each piece runs from the end of the match before it to the end of the next one, so that a match stands where the
+    pattern found it, not where its string first occurs.
+    """
+    pieces, long = F.lit(rf"\G((?s:.*?))({pattern})"), lambda x: F.char_length(x).cast("long")
+    sizes = F.zip_with(F.regexp_extract_all(c, pieces, F.lit(1)), F.regexp_extract_all(c, pieces, F.lit(2)), lambda gap, m: F.struct(long(gap).alias("gap"), long(m).alias("n")))
+
+    def step(done: Column, x: Column) -> Column:
+        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(1).cast("long")) + x["gap"]
+        return F.concat(done, F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"))))
+
+    return F.aggregate(sizes, F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
+
+
 def redact(c: Column, patterns: dict[str, str], source: str = "pattern") -> Column:
     """Each match replaced by its group's mark, one group after the other."""
     for group, pattern in patterns.items():

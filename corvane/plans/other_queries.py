@@ -212,7 +212,7 @@ def fuzzy_search(spark, d):
 def span_overlap_merge(spark, d):
     """Pattern hits of each document as spans, merged where they overlap."""
     docs = table(spark, d, "documents")
-    hits = lambda p, action, grp: F.transform(F.array_distinct(X.find_all(F.col("text"), p)), lambda m: F.struct(F.instr(F.col("text"), m).cast("long").alias("start"), (F.instr(F.col("text"), m) + F.char_length(m)).cast("long").alias("end"), F.lit(action).alias("action"), F.lit(grp).alias("grp")))
+    hits = lambda p, action, grp: F.transform(X.find_places(F.col("text"), p), lambda m: F.struct(m["start"], m["end"], F.lit(action).alias("action"), F.lit(grp).alias("grp")))
     spans = F.concat(hits(X.EMAIL, "mask", "EMAIL"), hits(r"[0-9]+\.[0-9.]+", "allow", "NUMBER"), hits(X.IPV4, "block", "IP"))
     return docs.select("doc_id", F.to_json(X.merged_spans(spans)).alias("spans")).where("spans <> '[]'")
 

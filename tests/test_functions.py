@@ -127,3 +127,29 @@ def test_queries_take_over_a_thousand_matches(spark, tmp_path, name):
     want = con.execute(registry.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_span_query_places_every_match(spark, tmp_path):
+    """Repeated, nested and word-bound matches, against a plain loop over all of them."""
+    import json
+    import re
+
+    from corvane.plans import registry
+
+    kinds = [(X.EMAIL, "mask", "EMAIL", 2), (r"[0-9]+\.[0-9.]+", "allow", "NUMBER", 1), (X.IPV4, "block", "IP", 3)]
+    texts = ["a@x.org b a@x.org\nand a@x.org", "10.1.2.3 then 1.2 and 1.2", "1234.1.2.3 234.1.2.3 a1.2.3.4 1.2.3.4", "é\U0001f600 3.5 é 3.5 u1.2@h3.4.5", "none", "", None, " ".join(f"7.5 u{i}@x.org" for i in range(1100))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        spans = sorted(((m.start() + 1, m.end() + 1, a, g, s) for p, a, g, s in kinds for m in re.finditer(p, t or "", re.ASCII)), key=lambda x: (x[0], -x[4]))
+        out = []
+        for x in spans:
+            if out and x[0] < out[-1][1]:
+                top = x if x[4] > out[-1][4] else out[-1]
+                out[-1] = (out[-1][0], max(out[-1][1], x[1]), *top[2:])
+            else:
+                out.append(x)
+        if out:
+            want[i] = [x[:4] for x in out]
+    got = {x["doc_id"]: [tuple(s.values()) for s in json.loads(x["spans"])] for x in registry.QUERIES["span_overlap_merge"](spark, str(tmp_path)).collect()}
+    assert got == want
