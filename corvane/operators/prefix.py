@@ -8,28 +8,38 @@ from pyspark.sql import functions as F
 BLOCK, MAX_BLOCKS = 256, 64
 
 
-def block_chain(text: Column, model: Column, block: int = BLOCK, most: int = MAX_BLOCKS) -> Column:
+def block_chain(text: Column, model: Column, block: int = BLOCK, most: int | None = MAX_BLOCKS) -> Column:
     """Hashes of ever longer beginnings of the text, block by block: each hashes the one before with the next block.
 
-    Only whole blocks count; equal chains up to a depth mean equal texts up to there.
+    Only whole blocks count, and no more than ``most`` of them (None: all); equal chains up to a depth mean equal texts up to there.
     """
-    n = F.least(F.lit(most), F.floor(F.char_length(text) / block)).cast("int")
+    n = F.floor(F.char_length(text) / block).cast("int")
+    n = n if most is None else F.least(F.lit(most), n)
     blocks = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, (i - 1) * block + 1, F.lit(block)))).otherwise(F.array().cast("array<string>"))
     start = F.array(F.md5(model))
     chain = F.aggregate(blocks, start, lambda done, b: F.concat(done, F.array(F.md5(F.concat(F.element_at(done, -1), b)))))
     return F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(1)))
 
 
-def longest_match(queries: DataFrame, stored: DataFrame) -> DataFrame:
+def longest_match(queries: DataFrame, stored: DataFrame, not_self: bool = False) -> DataFrame:
     """queries(id, model, chain) with the stored(model, chain, replica, last_seen) entry that shares the longest prefix.
 
     A chain's hash fixes everything before it, so the deepest equal hash is the longest match; of equal depth the
-    latest entry wins.  Stored prefixes are reduced to one row for each hash before the join.
+    latest entry wins.  Stored prefixes are reduced to one row for each hash before the join.  ``not_self`` leaves out
+    entries whose replica is the query's id: where that is a hash's latest, the latest of the others stands in.
     """
-    known = stored.select("model", "replica", "last_seen", F.posexplode("chain").alias("d", "hash")).groupBy("model", "hash").agg(F.max_by("replica", F.struct("last_seen", "replica")).alias("replica"))
+    rows = stored.select("model", "replica", "last_seen", F.explode("chain").alias("hash"))
+    latest = F.max(F.struct("last_seen", "replica")).alias("last")
+    known = rows.groupBy("model", "hash").agg(latest)
     asked = queries.select("id", "model", F.posexplode("chain").alias("d", "hash"))
-    found = asked.join(known, ["model", "hash"]).groupBy("id").agg(F.max_by("replica", "d").alias("replica"), (F.max("d") + 1).alias("depth"))
-    return queries.select("id").join(found, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    found = asked.join(known, ["model", "hash"])
+    if not_self:
+        own = found.where("id = last.replica").select("model", "hash", F.col("id").alias("self")).distinct()
+        others = rows.join(own, ["model", "hash"]).where("replica <> self").groupBy("model", "hash").agg(latest)
+        rest = asked.join(own, ["model", "hash"]).where("id = self").select("id", "model", "d", "hash").join(others, ["model", "hash"])
+        found = found.where("id <> last.replica").unionByName(rest)
+    best = found.groupBy("id").agg(F.max_by("last.replica", "d").alias("replica"), (F.max("d") + 1).alias("depth"))
+    return queries.select("id").join(best, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
 def decayed_weight(entries: DataFrame, as_of: str, half_life_s: float, ttl_s: float) -> DataFrame:
@@ -47,9 +57,16 @@ def live_entries(touches: DataFrame, as_of: str, ttl_s: float) -> DataFrame:
 
 
 def rolling_pressure(events: DataFrame, key: str, time: str, window_s: int, order: str = "event_id") -> DataFrame:
-    """Each event with the number of its key's events in the window up to it, both ends included."""
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp(F.col(time).cast("timestamp"))).rangeBetween(-window_s, 0)
-    return events.select(order, key, F.count("*").over(w).alias("pressure"))
+    """Each event with the number of its key's events in the window up to it, both ends included.
+
+    A key's events are cut into stretches of a window's length, each counted with the stretch before it, so that one
+    busy key is many tasks' work.  Events without a time are counted among themselves.
+    """
+    t = F.unix_timestamp(F.col(time).cast("timestamp"))
+    placed = events.select(order, key, t.alias("__t")).withColumn("__b", F.floor(F.col("__t") / max(1, window_s)))
+    both = placed.withColumn("__own", F.lit(True)).unionAll(placed.where("__b IS NOT NULL").withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False)))
+    w = Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-window_s, 0)
+    return both.withColumn("pressure", F.count("*").over(w)).where("__own").select(order, key, "pressure")
 
 
 def invalidated(entries: DataFrame, gone: DataFrame) -> DataFrame:

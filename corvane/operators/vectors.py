@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries in a block that is sent to every task, and digits after which similarities count as equal.
+BLOCK, DIGITS = 4096, 9
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,9 +37,86 @@ def top_k(store: DataFrame, query: list[float], k: int, key: str = "key", tie: s
     return store.withColumn("similarity", cosine(F.col(key), q, unit)).orderBy(F.desc("similarity"), tie).limit(k)
 
 
-def upsert(store: DataFrame, incoming: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
-    """Rows of equal keys replaced by the latest by ``order``; all keys must have one length."""
+def _merge(best: tuple | None, sims: np.ndarray, values: np.ndarray, k: int) -> tuple:
+    """The k best of each query (row) among those so far and a batch's: similarity down, value up."""
+    if best is not None:
+        sims, values = np.concatenate([best[0], sims], axis=1), np.concatenate([best[1], np.broadcast_to(values, (len(sims), len(values)))], axis=1)
+    else:
+        values = np.broadcast_to(values, sims.shape)
+    order = np.lexsort((values, -sims), axis=1)[:, :k]
+    return np.take_along_axis(sims, order, 1), np.take_along_axis(values, order, 1)
+
+
+def _block_search(store: DataFrame, block: pd.DataFrame, k: int, key: str, value: str, not_self: bool) -> DataFrame:
+    """(query, value, similarity): each task's k best rows for each query of a block."""
+    q = np.array(block[key].tolist(), dtype=np.float64).reshape(len(block), -1)
+    ids = block[value].to_numpy(np.int64)
+    shared = store.sparkSession.sparkContext.broadcast((q, np.sqrt((q * q).sum(axis=1)), ids))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, norms, ids = shared.value
+        best = None
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                x, values = np.array(part[key].tolist(), dtype=np.float64).reshape(len(part), -1), part[value].to_numpy(np.int64)
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} numbers met queries of {q.shape[1]}")
+                scale = norms[:, None] * np.sqrt((x * x).sum(axis=1))
+                sims = np.round(np.divide(q @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), DIGITS)
+                if not_self:
+                    sims[ids[:, None] == values] = -np.inf
+                best = _merge(best, sims, values, k)
+        if best is not None:
+            found = pd.DataFrame({"query": np.repeat(ids, best[0].shape[1]), "value": best[1].ravel(), "similarity": best[0].ravel()})
+            yield found[found["similarity"] > -np.inf]
+
+    return store.select(key, value).where(F.col(key).isNotNull()).mapInPandas(search, "query long, value long, similarity double")
+
+
+def search(store: DataFrame, queries: DataFrame, k: int, key: str = "key", value: str = "value", not_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query, value, similarity, place): the k most similar rows of store(key, value) for each row of queries(key, value).
+
+    Queries are dealt by hash into blocks of about ``block`` rows; each block goes to every task, which keeps the k best
+    for each query, and these are ranked by query.  Similarities are cosines, 0 beside a vector of length 0, rounded to
+    ``DIGITS``; equal ones are in order of value.  ``not_self`` leaves out a row with the query's own value.  Vectors of
+    unlike length are an error; null ones are passed over.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    asked = queries.select(key, value).where(F.col(key).isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(value), F.lit(blocks)) == b).toPandas()  # about ``block`` rows
+        if len(rows):
+            part = _block_search(store, rows, k, key, value, not_self)
+            found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = store.sparkSession.createDataFrame([], "query long, value long, similarity double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "value"))  # k rows of each task
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def cache_lookup(store: DataFrame, lookups: DataFrame, hit: float = 0.8, near: float = 0.7, confident: float = 0.6, not_self: bool = False) -> DataFrame:
+    """(query, value, similarity, outcome, to_store) for lookups(key, value, confidence) in a semantic cache(key, value).
+
+    The best entry answers at ``hit`` or above; below that the lookup misses (near_miss from ``near`` on) and its own
+    answer is stored if its confidence reaches ``confident``.  An empty cache misses, with a null value.
+    """
+    best = search(store, lookups, 1, not_self=not_self).drop("place")
+    s = F.col("similarity")
+    out = lookups.select(F.col("value").alias("query"), "confidence").join(best, "query", "left")
+    outcome = F.when(s >= hit, "hit").when(s >= near, "near_miss").otherwise("miss")
+    return out.select("query", "value", "similarity", outcome.alias("outcome"), (~F.coalesce(s >= hit, F.lit(False)) & F.coalesce(F.col("confidence") >= confident, F.lit(False))).alias("to_store"))
+
+
+def upsert(store: DataFrame, incoming: DataFrame, key: str = "key", order: str = "seq", dimension: int | None = None) -> DataFrame:
+    """Rows of equal keys replaced by the latest by ``order``; with a dimension, a key of another length is an error."""
     rows = store.unionByName(incoming)
+    if dimension is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"a key of other than {dimension} numbers: "), F.coalesce(F.size(key), F.lit(0)).cast("string")))
+        rows = rows.withColumn(key, F.when(F.size(key) == dimension, F.col(key)).otherwise(wrong))
     others = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
 
@@ -45,10 +129,12 @@ def get(store: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return store.join(keys.select(key).distinct(), key, "left_semi").orderBy(key)
 
 
-def identify(store: DataFrame, probe: list[float], k: int = 5, threshold: float = 0.35, tie: str = "value") -> DataFrame:
-    """The k nearest by cosine distance, with a confidence of 100 at distance 0 and 0 at the threshold."""
+def identify(store: DataFrame, probe: list[float] | DataFrame, k: int = 5, threshold: float = 0.35, tie: str = "value", **how) -> DataFrame:
+    """The k nearest of a probe, or of each row of a table of probes, by cosine distance, with a confidence of 100 at
+    distance 0 and 0 at the threshold."""
     distance = 1 - F.col("similarity")
-    found = top_k(store, probe, k, tie=tie).withColumn("distance", distance)
+    found = search(store, probe, k, value=tie, **how) if isinstance(probe, DataFrame) else top_k(store, probe, k, tie=tie)
+    found = found.withColumn("distance", distance)
     return found.withColumn("matched", F.col("distance") <= threshold).withColumn("confidence", F.least(F.lit(100.0), F.greatest(F.lit(0.0), (1 - F.col("distance") / threshold) * 100)))
 
 

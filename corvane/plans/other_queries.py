@@ -109,16 +109,26 @@ def _store(spark, d):
     return table(spark, d, "embeddings").select(F.col("embedding").alias("key"), F.col("vec_id").alias("value"), "label")
 
 
+_UNIT_SQL = f"u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings)"
+#: Every vector whose id is divisible by 50 asks, all are searched.
+_PAIR_SQL = f"""{_UNIT_SQL}, pairs AS (SELECT q.vec_id AS query, q.label AS query_label, s.vec_id AS value, round(list_sum(list_transform(list_zip(q.e, s.e), lambda x: x[1] * x[2])), 9) AS similarity
+    FROM u q, u s WHERE q.vec_id % 50 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, value) AS place FROM pairs),
+    best AS (SELECT query, any_value(query_label) AS query_label, max(similarity) AS similarity FROM pairs WHERE query <> value GROUP BY 1)"""
+
+
+def _asking(spark, d):
+    return _store(spark, d).where("value % 50 = 0")
+
+
 @query(f"WITH {_SIM_SQL} SELECT vec_id AS value, similarity FROM sims ORDER BY similarity DESC, vec_id LIMIT 10")
 def vector_topk_nonunit(spark, d):
+    """A single probe's top k."""
     return V.top_k(_store(spark, d), _PROBE, 10).select("value", F.round("similarity", 9).alias("similarity"))
 
 
-@query("""WITH q AS (SELECT embedding AS p FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id AS value, list_sum(list_transform(list_zip(embedding, p), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS similarity FROM embeddings, q)
-    SELECT value, round(similarity, 6) AS similarity FROM s ORDER BY s.similarity DESC, value LIMIT 10""")
+@query(f"WITH {_PAIR_SQL} SELECT query, value, similarity, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 10")
 def vector_topk(spark, d):
-    probe = _store(spark, d).where("value = 1").first()["key"]  # one row
-    return V.top_k(_store(spark, d), probe, 10, unit=True).select("value", F.round("similarity", 6).alias("similarity"))
+    return V.search(_store(spark, d), _asking(spark, d), 10)
 
 
 @query("SELECT vec_id AS value, label FROM embeddings WHERE vec_id IN (3, 5, 8)")
@@ -137,24 +147,33 @@ def vector_upsert(spark, d):
     return V.upsert(old, old.where("label = 2").withColumns({"label": F.lit(99), "seq": F.lit(1)})).select("value", "label")
 
 
-@query(f"""WITH {_SIM_SQL} SELECT vec_id AS value, round(1 - similarity, 8) AS distance, 1 - similarity <= 0.8 AS matched, round(least(100.0, greatest(0.0, (1 - (1 - similarity) / 0.8) * 100)), 4) AS confidence
-    FROM sims ORDER BY similarity DESC, vec_id LIMIT 5""")
+@query(f"""WITH {_PAIR_SQL} SELECT query, value, round(1 - similarity, 9) AS distance, 1 - similarity <= 0.8 AS matched, round(least(100.0, greatest(0.0, (1 - (1 - similarity) / 0.8) * 100)), 4) AS confidence
+    FROM ranked WHERE place <= 5""")
 def vector_identify(spark, d):
-    found = V.identify(_store(spark, d), _PROBE, threshold=0.8)
-    return found.select("value", F.round("distance", 8).alias("distance"), "matched", F.round("confidence", 4).alias("confidence"))
+    found = V.identify(_store(spark, d), _asking(spark, d), threshold=0.8)
+    return found.select("query", "value", F.round("distance", 9).alias("distance"), "matched", F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"WITH {_SIM_SQL} SELECT CAST(least(9, greatest(0, floor(similarity * 10))) AS INTEGER) AS bin, count(*) AS total FROM sims GROUP BY 1")
+@query(f"WITH {_PAIR_SQL} SELECT CAST(least(9, greatest(0, floor(similarity * 10))) AS INTEGER) AS bin, count(*) AS total FROM best GROUP BY 1")
 def cache_hit_histogram(spark, d):
-    sims = _store(spark, d).select(F.round(V.cosine(F.col("key"), F.array(*map(F.lit, _PROBE))), 9).alias("similarity"))
-    return V.similarity_histogram(sims)
+    return V.similarity_histogram(V.search(_store(spark, d), _asking(spark, d), 1, not_self=True))
+
 
+def _lookups(spark, d):
+    return V.cache_lookup(_store(spark, d), _asking(spark, d).withColumn("confidence", F.col("label") / 10), 0.4, 0.3, 0.6, not_self=True)
 
-@query(f"""WITH {_SIM_SQL} SELECT count(*) FILTER (WHERE similarity >= 0.2) AS hits, count(*) FILTER (WHERE similarity < 0.2 AND similarity >= 0.1) AS near_misses, count(*) FILTER (WHERE similarity < 0.2) AS misses,
-    count(*) FILTER (WHERE similarity < 0.2 AND label < 6) AS low_confidence FROM sims""")
+
+@query(f"""WITH {_PAIR_SQL} SELECT query, similarity, CASE WHEN similarity >= 0.4 THEN 'hit' WHEN similarity >= 0.3 THEN 'near_miss' ELSE 'miss' END AS outcome,
+    similarity < 0.4 AND query_label / 10 >= 0.6 AS to_store FROM best""")
+def cache_lookup(spark, d):
+    return _lookups(spark, d).select("query", "similarity", "outcome", "to_store")
+
+
+@query(f"""WITH {_PAIR_SQL} SELECT count(*) FILTER (WHERE similarity >= 0.4) AS hits, count(*) FILTER (WHERE similarity < 0.4 AND similarity >= 0.3) AS near_misses, count(*) FILTER (WHERE similarity < 0.4) AS misses,
+    count(*) FILTER (WHERE similarity < 0.4 AND query_label < 6) AS low_confidence FROM best""")
 def cache_counters(spark, d):
-    sims = _store(spark, d).select(F.round(V.cosine(F.col("key"), F.array(*map(F.lit, _PROBE))), 9).alias("similarity"), (F.col("label") / 10).alias("confidence"))
-    return V.cache_counters(sims, 0.2, 0.1, 0.6)
+    asked = _asking(spark, d).select(F.col("value").alias("query"), (F.col("label") / 10).alias("confidence"))
+    return V.cache_counters(V.search(_store(spark, d), _asking(spark, d), 1, not_self=True).join(asked, "query"), 0.4, 0.3, 0.6)
 
 
 # --- text --------------------------------------------------------------------------------------------------------
@@ -261,21 +280,18 @@ def score_top1(spark, d):
     return s.groupBy(F.element_at("labels", F.array_position("scores", F.array_max("scores")).cast("int")).alias("label")).agg(F.count("*").alias("total"))
 
 
-_CHAIN_SQL = """WITH RECURSIVE b AS (SELECT doc_id, lang, least(8, length(text) // 64) AS n, text FROM documents), chain AS (
-    SELECT doc_id, lang, text, n, 0 AS depth, md5(lang) AS hash FROM b UNION ALL SELECT doc_id, lang, text, n, depth + 1, md5(hash || substr(text, depth * 64 + 1, 64)) FROM chain WHERE depth < n)"""
-
-
-def _chains(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("model"), P.block_chain(F.col("text"), F.col("lang"), 64, 8).alias("chain"))
+_CHAIN_SQL = """WITH RECURSIVE b AS (SELECT doc_id, lang, length(text) // 256 AS n, text FROM documents), chain AS (
+    SELECT doc_id, lang, text, n, 0 AS depth, md5(lang) AS hash FROM b UNION ALL SELECT doc_id, lang, text, n, depth + 1, md5(hash || substr(text, depth * 256 + 1, 256)) FROM chain WHERE depth < n)"""
 
 
-@query(f"""{_CHAIN_SQL}, stored AS (SELECT lang, hash, max(doc_id) AS replica FROM chain WHERE depth > 0 AND doc_id < 500 GROUP BY 1, 2), hit AS (
-    SELECT doc_id, depth, replica FROM chain JOIN stored USING (lang, hash) WHERE depth > 0 AND doc_id >= 500)
-    SELECT b.doc_id AS id, CAST(arg_max(replica, depth) AS BIGINT) AS replica, CAST(coalesce(max(depth), 0) AS INTEGER) AS depth FROM b LEFT JOIN hit USING (doc_id) WHERE b.doc_id >= 500 GROUP BY 1""")
+@query(f"""{_CHAIN_SQL}, hit AS (SELECT q.doc_id, q.depth, max(s.doc_id) AS replica FROM chain q JOIN chain s ON s.lang = q.lang AND s.hash = q.hash AND s.depth > 0 AND s.doc_id <> q.doc_id
+        WHERE q.depth > 0 AND q.doc_id % 50 = 0 GROUP BY 1, 2)
+    SELECT b.doc_id AS id, CAST(arg_max(replica, depth) AS BIGINT) AS replica, CAST(coalesce(max(depth), 0) AS INTEGER) AS depth FROM b LEFT JOIN hit USING (doc_id) WHERE b.doc_id % 50 = 0 GROUP BY 1""")
 def prefix_longest_match(spark, d):
-    chains = _chains(spark, d)
-    stored = chains.where("id < 500").select("model", "chain", F.col("id").alias("replica"), F.col("id").alias("last_seen"))
-    return P.longest_match(chains.where("id >= 500"), stored)
+    """Every document whose id is divisible by 50 asks, over its whole text; all are stored, itself left out."""
+    chains = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("model"), P.block_chain(F.col("text"), F.col("lang"), most=None).alias("chain"))
+    stored = chains.select("model", "chain", F.col("id").alias("replica"), F.col("id").alias("last_seen"))
+    return P.longest_match(chains.where("id % 50 = 0"), stored, not_self=True)
 
 
 @query("""SELECT replica, round(sum(pow(0.5, age / 43200.0)), 6) AS weight, count(*) AS entries FROM (SELECT event_type AS replica, CAST(epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts)) AS BIGINT) AS age FROM events)
@@ -357,7 +373,7 @@ def latency_summary(spark, d):
 # --- registries and catalogues -----------------------------------------------------------------------------------
 
 _NODES_SQL = """nodes AS (SELECT s_suppkey AS node_id, s_acctbal AS free_memory, s_acctbal > 0 AS healthy, CAST(s_suppkey % 5 + 600 AS BIGINT) AS max_replicas, s_nationkey FROM supplier),
-    replicas AS (SELECT l_suppkey AS node_id, l_orderkey AS replica_id, CAST(l_quantity AS BIGINT) % 3 AS in_flight, l_shipdate AS last_used FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 4 <> 0)"""
+    replicas AS (SELECT l_suppkey AS node_id, l_orderkey * 8 + l_linenumber AS replica_id, CAST(l_quantity AS BIGINT) % 3 AS in_flight, l_shipdate AS last_used FROM lineitem)"""
 
 
 def _nodes(spark, d):
@@ -366,8 +382,8 @@ def _nodes(spark, d):
 
 
 def _replicas(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_suppkey % 4 <> 0")
-    return x.select(F.col("l_suppkey").alias("node_id"), F.col("l_orderkey").alias("replica_id"), (F.col("l_quantity").cast("long") % 3).alias("in_flight"), F.col("l_shipdate").alias("last_used"))
+    x = table(spark, d, "lineitem")
+    return x.select(F.col("l_suppkey").alias("node_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("replica_id"), (F.col("l_quantity").cast("long") % 3).alias("in_flight"), F.col("l_shipdate").alias("last_used"))
 
 
 @query(f"""WITH {_NODES_SQL} SELECT node_id, CAST(coalesce(l, 0) AS BIGINT) AS load FROM nodes LEFT JOIN (SELECT node_id, sum(in_flight) AS l FROM replicas GROUP BY 1) USING (node_id) ORDER BY load, free_memory DESC, node_id LIMIT 5""")
@@ -375,9 +391,10 @@ def node_least_loaded(spark, d):
     return N.least_in_flight(_nodes(spark, d), _replicas(spark, d), 5).select("node_id", "load")
 
 
-@query(f"WITH {_NODES_SQL} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM replicas)")
+@query("SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def idle_antijoin(spark, d):
-    return N.idle_nodes(_nodes(spark, d), _replicas(spark, d)).select("node_id")
+    """Customers as nodes, their orders as replicas: those without any."""
+    return N.idle_nodes(table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("node_id")))
 
 
 @query("SELECT s_suppkey AS node_id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1 AND s_acctbal > 0")
