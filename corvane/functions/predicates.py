@@ -69,3 +69,9 @@ def payload_filter(payload: Column, key: str, op: str, value=None) -> Column:
         wanted = float(value)
         return F.coalesce({"gt": number > wanted, "gte": number >= wanted, "lt": number < wanted, "lte": number <= wanted}[op], F.lit(False))
     raise ValueError(f"unknown operator {op}")
+
+
+def in_scope(df, tenant: str, collection: str | None = None):
+    """The rows of one tenant and, if given, one of its collections; a blank tenant has no rows."""
+    out = df.where(F.col("tenant_id") == tenant) if tenant else df.limit(0)
+    return out.where(F.col("collection_id") == collection) if collection else out

@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from corvane.functions.predicates import between, clamp, target_in
 
-PARTIES = ["msisdn", "call_dialed_num"]
+#: Columns that name a party of a call or its device, as far as a table has them.
+_PARTIES, _DEVICES = ("msisdn", "call_org_num", "call_dialed_num"), ("imei", "imsi")
+
+
+def parties(calls: DataFrame) -> list[str]:
+    return [c for c in _PARTIES if c in calls.columns]
+
+
+def devices(calls: DataFrame) -> list[str]:
+    return [c for c in _DEVICES if c in calls.columns]
 
 
 def _of(calls: DataFrame, target: str, start=None, stop=None, wildcard=()) -> DataFrame:
-    return calls.where(target_in(target, PARTIES, list(wildcard)) & between("call_start_ts", start, stop))
+    return calls.where(target_in(target, parties(calls), list(wildcard)) & between("call_start_ts", start, stop))
 
 
 def frequent_contacts(calls: DataFrame, target: str = "", limit: int = 20, by_batch: bool = False) -> DataFrame:
@@ -30,7 +39,7 @@ def frequent_contacts(calls: DataFrame, target: str = "", limit: int = 20, by_ba
 
 
 def call_type_breakdown(calls: DataFrame, target: str = "") -> DataFrame:
-    out = _of(calls, target) if not target else calls.where(target_in(target, PARTIES, extra=[F.col("call_type").ilike(target)]))
+    out = _of(calls, target) if not target else calls.where(target_in(target, parties(calls), extra=[F.col("call_type").ilike(target)]))
     return out.groupBy("call_type", "direction").agg(F.count("*").alias("total"), F.min("call_start_ts").alias("first_seen"), F.max("call_start_ts").alias("last_seen"))
 
 
@@ -82,7 +91,7 @@ def base_location_candidates(calls: DataFrame, target: str = "", limit: int = 5)
 
 
 def activity_by_day(calls: DataFrame, generic: DataFrame, target: str = "", start=None, stop=None) -> DataFrame:
-    c = calls.where(target_in(target, [*PARTIES, "imei"], ["location"]) & between("call_start_ts", start, stop)).select(F.to_date("call_start_ts").alias("day"), F.lit("cdr").alias("record_type"))
+    c = calls.where(target_in(target, [*parties(calls), *devices(calls)], ["location"]) & between("call_start_ts", start, stop)).select(F.to_date("call_start_ts").alias("day"), F.lit("cdr").alias("record_type"))
     wild = target_in("", []) if not target else target_in(target, [], ["primary_entity", "secondary_entity", "location"])
     g = generic.where(wild & between("observed_at", start, stop)).select(F.to_date("observed_at").alias("day"), "record_type")
     return c.unionByName(g).groupBy("day", "record_type").agg(F.count("*").alias("total"))
@@ -90,15 +99,27 @@ def activity_by_day(calls: DataFrame, generic: DataFrame, target: str = "", star
 
 def entity_timeline(calls: DataFrame, generic: DataFrame, target: str, limit: int = 100) -> DataFrame:
     """Both record families as one list of events in order of time."""
-    c = calls.where(target_in(target, [*PARTIES, "imei", "cell_site_id"], ["location"])).select(
+    c = calls.where(target_in(target, [*parties(calls), *devices(calls), "cell_site_id"], ["location"])).select(
         F.lit("cdr").alias("record_type"), F.col("call_start_ts").alias("event_time"), F.col("msisdn").alias("primary_entity"), F.col("call_dialed_num").alias("secondary_entity"), F.concat_ws(" ", "direction", "call_type").alias("label"), "location", "row_number")
     g = generic.where(target_in(target, [], ["primary_entity", "secondary_entity", "location"])).select("record_type", F.col("observed_at").alias("event_time"), "primary_entity", "secondary_entity", F.col("record_type").alias("label"), "location", "row_number")
     return c.unionByName(g).orderBy(F.col("event_time").asc_nulls_last(), "record_type", "row_number").limit(clamp(limit, 100))
 
 
+def generic_source_records(generic: DataFrame, target: str, limit: int = 20) -> DataFrame:
+    """The generic rows that name a target, beside those of calls."""
+    hit = target_in(target, [], ["primary_entity", "secondary_entity", "location"])
+    return generic.where(hit).orderBy("observed_at", "row_number").limit(clamp(limit))
+
+
+def sightings(generic: DataFrame, target: str, record_type: str = "anpr", limit: int = 100) -> DataFrame:
+    """Rows of one record type that name a target, in order of time."""
+    hit = target_in(target, [], ["primary_entity", "secondary_entity", "location"])
+    return generic.where((F.col("record_type") == record_type) & hit).orderBy(F.col("observed_at").asc_nulls_last(), "row_number").limit(clamp(limit))
+
+
 def source_records(calls: DataFrame, target: str, limit: int = 20) -> DataFrame:
     cols = ["file_id", "batch_id", "row_number", "msisdn", "call_dialed_num", "call_start_ts", "call_type", "location"]
-    return calls.where(target_in(target, [*PARTIES, "imei", "cell_site_id"], ["location"], [F.col("call_type").ilike(target)])).select(*cols).orderBy("call_start_ts", "row_number").limit(clamp(limit))
+    return calls.where(target_in(target, [*parties(calls), *devices(calls), "cell_site_id"], ["location"], [F.col("call_type").ilike(target)])).select(*cols).orderBy("call_start_ts", "row_number").limit(clamp(limit))
 
 
 def coverage_summary(calls: DataFrame, generic: DataFrame) -> DataFrame:
@@ -109,7 +130,7 @@ def coverage_summary(calls: DataFrame, generic: DataFrame) -> DataFrame:
 
 def nearest_activity(calls: DataFrame, target: str, start: str, stop: str) -> DataFrame:
     """The last activity before the bounds and the first after them."""
-    t, own = F.col("call_start_ts"), calls.where(target_in(target, PARTIES))
+    t, own = F.col("call_start_ts"), calls.where(target_in(target, parties(calls)))
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz")
     return own.agg(F.max(F.when(t < lo, t)).alias("before"), F.min(F.when(t >= hi, t)).alias("after"), F.count_if((t >= lo) & (t < hi)).alias("inside"))
 

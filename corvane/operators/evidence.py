@@ -68,3 +68,37 @@ def classify_evidence(file_name: Column, record_type: Column) -> Column:
     for name, sure, extensions in MODALITIES:
         modality, confidence = modality.when(ext.isin(extensions.split()), name), confidence.when(ext.isin(extensions.split()), sure)
     return F.struct(modality.otherwise("unknown").alias("modality"), confidence.otherwise(0.15).cast("decimal(5,4)").alias("confidence"))
+
+
+def evidence_summary(items: DataFrame) -> DataFrame:
+    """One row over items(processing_status, modality, size_bytes): ten counts, the bytes, and counts by status and by
+    modality as maps.  Items are counted by both at once, so a few rows are left for the maps."""
+    by = items.groupBy("processing_status", "modality").agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"))
+    status, modality = F.col("processing_status"), F.col("modality")
+    count = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+    totals = by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_total"), count(status == "completed").alias("completed"), count(status == "processing").alias("processing"),
+        count(status.isin("queued", "registered")).alias("queued"), count(status == "failed").alias("failed"), count(modality == "structured_records").alias("structured_records"),
+        count(modality == "document").alias("documents"), count(modality == "image").alias("images"), count(modality == "audio").alias("audio"), count(modality == "video").alias("video"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("total_size_bytes"),
+    )
+
+    def counts(column: str) -> DataFrame:
+        one = by.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n"))
+        return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"{column.removeprefix('processing_')}_counts"))
+
+    return totals.join(counts("processing_status")).join(counts("modality"))  # tables of one row
+
+
+def evidence_detail(item: DataFrame, jobs: DataFrame, assets: DataFrame, records: DataFrame, entities: DataFrame, evidence_id: str, limit: int = 20) -> dict[str, DataFrame]:
+    """The five frames of one piece of evidence: the item, its jobs and assets newest first, its latest records, and its
+    entities by type."""
+    mine = lambda df: df.where(F.col("evidence_id") == evidence_id)
+    scope = ["tenant_id", "collection_id", "file_id", "batch_id"]
+    batches = mine(jobs).select("tenant_id", "collection_id", "file_id", F.col("id").alias("batch_id")).distinct()
+    rollup = entities.join(batches, scope, "left_semi").groupBy("entity_type").agg(
+        F.count("*").alias("observation_count"), F.count_distinct("entity_value").alias("unique_entities"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+    return {
+        "item": mine(item).limit(1), "jobs": mine(jobs).orderBy(F.desc("queued_at")), "assets": mine(assets).orderBy(F.desc("updated_at")),
+        "records": mine(records).orderBy(F.desc("timestamp"), "row_number").limit(limit), "entities": rollup.orderBy(F.desc("observation_count"), "entity_type"),
+    }

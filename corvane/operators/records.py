@@ -1,7 +1,8 @@
 """Queries over records of inferred schema: filter, sort, page, aggregate, correlate and the named helpers.
 
-A record is a row whose fields are text.  A column compares as numbers if it was inferred numeric, as times if
-inferred time, else as lower-case text; one kind for a whole column keeps the order total.
+A record is a row whose fields are text.  Two values compare as numbers if both are, else as times if both are, else as
+lower-case text.  Sorting and extremes rank a value by its number, then its time, then its text, so that the order is
+total: values that are no numbers come before numbers, and absent ones first.
 """
 
 from __future__ import annotations
@@ -9,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.names import canonical, normalise
+from corvane.functions.text import normalise_name
+from corvane.operators.ingest import parse_time
+
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 
 
@@ -22,10 +27,22 @@ def as_number(c: Column) -> Column:
     return F.when(text.rlike(r"^-?(0|[1-9][0-9]{0,14})(\.[0-9]+)?$"), text.try_cast("double"))
 
 
+def as_time(c: Column) -> Column:
+    """Times in any of the layouts of ``parse_time``, month first; null for other texts."""
+    return parse_time(c.cast("string"), "month")
+
+
+def rank(c: Column) -> Column:
+    """What a value sorts by: its number, its time in microseconds, its text."""
+    number = as_number(c)
+    time = F.when(number.isNull(), F.unix_micros(as_time(c)))
+    return F.struct(F.coalesce(number, F.lit(float("-inf"))).alias("number"), F.coalesce(time, F.lit(-(1 << 63))).alias("time"), F.coalesce(F.lower(c.cast("string")), F.lit("")).alias("text"))
+
+
 def equals(c: Column, value) -> Column:
-    """As numbers if both are, else as text without regard to case."""
+    """As numbers if both are, as times if both are, else as text without regard to case."""
     v = F.lit(str(value))
-    return F.coalesce(as_number(c) == as_number(v), F.lower(c.cast("string")) == F.lower(v), F.lit(False))
+    return F.coalesce(as_number(c) == as_number(v), as_time(c) == as_time(v), F.lower(c.cast("string")) == F.lower(v), F.lit(False))
 
 
 def condition(field: str, op: str, value=None, columns: list[str] = ()) -> Column:
@@ -47,11 +64,10 @@ def condition(field: str, op: str, value=None, columns: list[str] = ()) -> Colum
             out = out | equals(c, v)
         return given & out
     if op in ("gt", ">", "gte", ">=", "lt", "<", "lte", "<="):
-        n, v = as_number(c), as_number(F.lit(str(value)))
-        text, w = F.lower(c.cast("string")), F.lit(str(value).lower())
+        v = F.lit(str(value))
         sign = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}.get(op, op)
-        pair = {">": (n > v, text > w), ">=": (n >= v, text >= w), "<": (n < v, text < w), "<=": (n <= v, text <= w)}[sign]
-        return given & F.coalesce(F.when(n.isNotNull() & v.isNotNull(), pair[0]), pair[1])
+        hold = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}[sign]
+        return given & F.coalesce(hold(as_number(c), as_number(v)), hold(as_time(c), as_time(v)), hold(F.lower(c.cast("string")), F.lower(v)))
     if op in ("exists", "not_exists", "missing"):
         return given if op == "exists" else ~given
     return F.lit(False)
@@ -64,8 +80,8 @@ def query(records: DataFrame, filters=(), sort=(), id_col: str = "id", limit: in
         out = out.where(condition(f[0], f[1], f[2] if len(f) > 2 else None, records.columns))
     keys = []
     for field, down in sort:
-        for k in (F.coalesce(as_number(F.col(field)), F.lit(float("-inf"))), F.coalesce(F.lower(F.col(field).cast("string")), F.lit(""))):
-            keys.append(k.desc() if down else k.asc())
+        if field in records.columns:
+            keys.append(rank(F.col(field)).desc() if down else rank(F.col(field)).asc())
     out = out.orderBy(*keys, id_col).offset(max(0, offset)).limit(clamp(limit))
     return out.select(*[c for c in fields if c in records.columns]) if fields else out
 
@@ -81,11 +97,10 @@ def distinct_values(records: DataFrame, field: str, order: str) -> DataFrame:
 
 
 def extreme(records: DataFrame, field: str, order: str, largest: bool = False) -> DataFrame:
-    """The first row, by ``order``, of those with the field's smallest (largest) number."""
-    n = as_number(F.col(field))
-    row = F.struct(*[F.col(c) for c in records.columns])
-    key = F.struct(-n if largest else n, F.col(order))
-    return records.where(n.isNotNull()).agg(F.min_by(row, key).alias("row")).select("row.*")
+    """The first row, by ``order``, of those with the field's smallest (largest) value; blank ones are left out."""
+    c = F.col(field)
+    key = rank(c).desc() if largest else rank(c).asc()
+    return records.where(c.isNotNull() & (F.trim(c.cast("string")) != "")).orderBy(key, order).limit(1)
 
 
 def top_values(records: DataFrame, field: str, n: int = 10) -> DataFrame:
@@ -93,16 +108,19 @@ def top_values(records: DataFrame, field: str, n: int = 10) -> DataFrame:
     return records.where(v.isNotNull() & (v != "")).groupBy(v.alias("value")).agg(F.count("*").alias("total")).orderBy(F.desc("total"), "value").limit(n)
 
 
-def grouped_extreme(records: DataFrame, by: str, field: str, order: str, largest: bool = False, compat: bool = False) -> DataFrame:
-    """The extreme of each group with the group's rows; ``compat`` counts only those since the last improvement."""
-    n = as_number(F.col(field))
-    rows = records.where(n.isNotNull()).select(F.col(by).alias("grp"), n.alias("n"), F.col(order).alias("o"))
-    best = F.max("n") if largest else F.min("n")
-    if not compat:
-        return rows.groupBy("grp").agg(best.alias("extreme"), F.count("*").alias("total"))
-    at = F.min_by("o", F.struct(-F.col("n") if largest else F.col("n"), "o"))
-    ends = rows.groupBy("grp").agg(best.alias("extreme"), at.alias("at"))
-    return rows.join(ends, "grp").where("o >= at").groupBy("grp", "extreme").agg(F.count("*").alias("total"))
+def grouped_extreme(records: DataFrame, by: str, field: str, order: str, largest: bool = False, compat: bool = False, numbers: bool = True) -> DataFrame:
+    """(grp, extreme, total): the extreme of each group with the group's rows; ``compat`` counts only those since the last
+    improvement.  Without ``numbers`` times and texts count too, and the extreme is the value's text."""
+    c = F.col(field)
+    value = as_number(c) if numbers else F.struct(rank(c).alias("k"), c.cast("string").alias("v"))
+    rows = records.where(value.isNotNull() if numbers else c.isNotNull() & (F.trim(c.cast("string")) != "")).select(F.col(by).alias("grp"), value.alias("n"), F.col(order).alias("o"))
+    ends = rows.groupBy("grp").agg((F.max("n") if largest else F.min("n")).alias("extreme"), F.count("*").alias("total"))
+    if compat:
+        ends = ends.drop("total")
+        hits = rows.join(ends, "grp").withColumn("hit", F.col("n") == F.col("extreme"))
+        at = hits.where("hit").groupBy("grp").agg(F.min("o").alias("at"))
+        ends = hits.join(at, "grp").where("o >= at").groupBy("grp", "extreme").agg(F.count("*").alias("total"))
+    return ends if numbers else ends.withColumn("extreme", F.col("extreme.v"))
 
 
 def repeat_pairs(records: DataFrame, by: list[str], limit: int | None = None) -> DataFrame:
@@ -115,23 +133,29 @@ def calls_between(records: DataFrame, a: str, b: str, source: str, target: str,
     return records.where(either).orderBy(time, "row_number").limit(clamp(limit))
 
 
+def _time_of(records: DataFrame, time: str) -> Column:
+    """The time column as it is, or read from text; null where it cannot be read."""
+    return as_time(F.col(time)) if records.schema[time].dataType.simpleString() == "string" else F.col(time).cast("timestamp")
+
+
 def correlate(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str, window_seconds: int = 300) -> DataFrame:
     """Pairs of rows that share an entity and lie at most a window apart, one for each shared entity.
 
     Each side's entities are exploded; times are dealt into buckets of a window's length and the right side visits
     its own bucket and both neighbours, so the join is on (entity, bucket) and a busy entity is spread over time.
-    A row without a time meets every row of its entity, with a difference of 0.
+    A row without a time, or with one that cannot be read, meets every row of its entity, with a difference of 0.  The
+    difference is in whole seconds, rounded down, and the window holds those of its own length.
     """
-    w = max(1, window_seconds)
+    w = max(1, window_seconds) + 1
 
     def side(df: DataFrame, keys: list[str], time: str, key_id: str, name: str) -> DataFrame:
         entity = F.explode(F.array_distinct(F.array_compact(F.array(*[F.nullif(F.col(k).cast("string"), F.lit("")) for k in keys]))))
-        return df.select(F.col(key_id).alias(f"{name}_id"), F.unix_timestamp(F.col(time).cast("timestamp")).alias(f"{name}_t"), entity.alias("entity"))
+        return df.select(F.col(key_id).alias(f"{name}_id"), F.unix_micros(_time_of(df, time)).alias(f"{name}_t"), entity.alias("entity"))
 
     lhs, rhs = side(left, left_keys, left_time, left_id, "left"), side(right, right_keys, right_time, right_id, "right")
-    timed_l = lhs.where("left_t IS NOT NULL").withColumn("bucket", F.floor(F.col("left_t") / w))
-    timed_r = rhs.where("right_t IS NOT NULL").withColumn("bucket", F.explode(F.expr(f"sequence(floor(right_t / {w}) - 1, floor(right_t / {w}) + 1)")))
-    delta = F.abs(F.col("left_t") - F.col("right_t"))
+    timed_l = lhs.where("left_t IS NOT NULL").withColumn("bucket", F.floor(F.col("left_t") / (w * 1_000_000)))
+    timed_r = rhs.where("right_t IS NOT NULL").withColumn("bucket", F.explode(F.expr(f"sequence(floor(right_t / {w * 1_000_000}) - 1, floor(right_t / {w * 1_000_000}) + 1)")))
+    delta = F.floor(F.abs(F.col("left_t") - F.col("right_t")) / 1_000_000)
     near = timed_l.join(timed_r, ["entity", "bucket"]).where(delta <= window_seconds).withColumn("delta_seconds", delta).drop("bucket")
     loose = lhs.where("left_t IS NULL").join(rhs, "entity").unionByName(lhs.where("left_t IS NOT NULL").join(rhs.where("right_t IS NULL"), "entity"))
     return near.unionByName(loose.withColumn("delta_seconds", F.lit(0).cast("long"))).select("left_id", "right_id", "entity", "delta_seconds")
@@ -143,14 +167,43 @@ def schema_of(rows: DataFrame) -> DataFrame:
 
 
 def between_times(records: DataFrame, time: str, start: str | None, stop: str | None) -> DataFrame:
-    """Rows in the closed range; without a time a row is left out if a bound is set."""
-    t = F.col(time).cast("timestamp")
-    for bound, op in ((start, "ge"), (stop, "le")):
+    """Rows in the closed range; without a time that can be read a row is left out if a bound is set, and a bound that
+    cannot be read is none."""
+    t = _time_of(records, time)
+    for bound, holds in ((start, lambda b: t >= b), (stop, lambda b: t <= b)):
         if bound:
-            records = records.where(t >= F.lit(bound).cast("timestamp") if op == "ge" else t <= F.lit(bound).cast("timestamp"))
+            at = as_time(F.lit(str(bound)))
+            records = records.where(t.isNotNull() & F.coalesce(holds(at), F.lit(True)))
     return records
 
 
+#: Fields of the envelope that a record has beside its own, by the names they are asked for.
+ENVELOPE = {"id": "id", "record_id": "id", "batch_id": "batch_id", "collection_name": "collection_name", "collection": "collection_name", "record_type": "record_type", "source_file": "source_file", "source_entry": "source_entry", "row_number": "row_number", "row": "row_number", "timestamp": "timestamp"}
+
+
+def field_value(records: DataFrame, name: str) -> Column:
+    """A field of records(envelope, normalized map, raw map) by any of its names: the envelope's, then the canonical and
+    the plain name among the normalised fields, then the raw ones under it or a spelling of it."""
+    plain, known = normalise(name), canonical(name)
+    found = []
+    if plain in ENVELOPE and ENVELOPE[plain] in records.columns:
+        found.append(F.nullif(F.col(ENVELOPE[plain]).cast("string"), F.lit("")) if plain in ("timestamp", "source_entry") else F.col(ENVELOPE[plain]).cast("string"))
+    if "normalized" in records.columns:
+        found += [F.try_element_at("normalized", F.lit(n)) for n in dict.fromkeys((known, plain))]
+    if "raw" in records.columns:
+        spellings = F.filter(F.map_entries("raw"), lambda e: normalise_name(e["key"]) == plain)
+        found += [F.try_element_at("raw", F.lit(name)), F.get(spellings, F.lit(0))["value"]]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def projected(records: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """The fields asked for, by any of their names; without any the envelope and the normalised fields as a map."""
+    if fields:
+        return records.select(*[field_value(records, f).alias(f) for f in fields])
+    kept = [c for c in dict.fromkeys(ENVELOPE.values()) if c in records.columns]
+    return records.select(*kept, *[c for c in ("normalized",) if c in records.columns])
+
+
 def helper(records: DataFrame, name: str, **given) -> DataFrame:
     """A named query over records(id, row_number, timestamp and canonical fields).
 
@@ -169,9 +222,12 @@ def helper(records: DataFrame, name: str, **given) -> DataFrame:
         return out
 
     by_time = [("timestamp", False)]
+    # calls alone, where records of several types are at hand and the caller asks for none
+    calls = [("record_type", "eq", "cdr")] if "record_type" in records.columns and not any(f[0] == "record_type" for f in filters) else []
+    timed = [*calls, ("duration_seconds", "exists")]
     named = {
-        "shortest_call": lambda: found(sort=[("duration_seconds", False)], n=1),
-        "longest_call": lambda: found(sort=[("duration_seconds", True)], n=1),
+        "shortest_call": lambda: found(*timed, sort=[("duration_seconds", False)], n=1),
+        "longest_call": lambda: found(*timed, sort=[("duration_seconds", True)], n=1),
         "target_numbers_by_source": lambda: top_values(kept(("source_number", "eq", given.get("source"))), "target_number", limit or 20),
         "calls_by_area": lambda: found(("area", "contains", value)),
         "calls_by_cell_id": lambda: found(("cell_id", "eq", value)),

@@ -10,6 +10,11 @@ import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from corvane.functions.predicates import payload_filter, payload_value
+from corvane.operators.records import clamp, rank
+
 #: Templates and the words that call for them, in order of precedence.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("executive_case_brief", ("executive brief", "case brief", "case summary", "summarize this case", "generate report", "full report")),
@@ -157,25 +162,52 @@ def plan(question: str) -> Plan:
     return Plan(template, intent, targets, start, stop, round(min(0.95, sure), 2))
 
 
-def answer(question: str, calls, generic, entities, jobs=None, limit: int = 20):
-    """The frame that the question's template gives over the record relations (the first target counts)."""
+def answer(question: str, calls, generic, entities, jobs=None, limit: int = 20, assets=None, canonical=None, rows=None, tenant: str | None = None, collection: str | None = None):
+    """What the question's template gives over the record relations (the first target counts): a frame, or several by name.
+
+    canonical(record_type, source_file, timestamp, row_number, payload), assets and rows(record_type, fields) serve the
+    templates that ask for them.  With a tenant, only its rows of each relation are read, and of a collection if given.
+    """
+    from corvane.functions.predicates import in_scope
     from corvane.operators import calls as C
     from corvane.operators import entities as E
     from corvane.operators import evidence as V
+    from corvane.operators import records as R
 
+    if tenant is not None:
+        calls, generic, entities, jobs, assets, canonical, rows = (x if x is None else in_scope(x, tenant, collection) for x in (calls, generic, entities, jobs, assets, canonical, rows))
     p = plan(question)
     target = p.targets[0] if p.targets else ""
     start, stop = (x and x.rstrip("Z") for x in (p.start, p.stop))
+
+    def needed(name, frame):
+        if frame is None:
+            raise ValueError(f"this question needs the {name}")
+        return frame
+
+    def temporal():
+        return {"hourly": C.hourly_activity(calls, target), "nocturnal": C.nocturnal_count(calls, target), "duration_stats": C.duration_stats(calls, target), "duration_extremes": C.duration_extremes(calls, target)}
+
+    def quality():
+        return {"summary": V.quality_summary(needed("jobs", jobs)), "jobs": jobs.orderBy(*[F.desc(c) for c in ("queued_at", "file_id", "record_type") if c in jobs.columns]).limit(R.clamp(limit))}
+
+    def suspicious():
+        t, q = temporal(), quality()
+        return {"night_activity": t["nocturnal"], "duration_extremes": t["duration_extremes"], "duration_stats": t["duration_stats"], "data_quality": q["summary"], "recent_quality_jobs": q["jobs"]}
+
     run = {
         "frequent_contacts": lambda: C.frequent_contacts(calls, target, limit), "call_type_breakdown": lambda: C.call_type_breakdown(calls, target), "hourly_activity": lambda: C.hourly_activity(calls, target),
-        "nocturnal_count": lambda: C.nocturnal_count(calls, target), "duration_extremes": lambda: C.duration_extremes(calls, target), "suspicious_patterns": lambda: C.duration_stats(calls, target),
+        "nocturnal_count": lambda: C.nocturnal_count(calls, target), "duration_extremes": lambda: C.duration_extremes(calls, target), "suspicious_patterns": suspicious,
         "activity_by_day": lambda: C.activity_by_day(calls, generic, target, start, stop), "top_locations": lambda: C.top_locations(calls, target, limit), "movement_path": lambda: C.movement_path(calls, target),
-        "entity_timeline": lambda: C.entity_timeline(calls, generic, target), "source_records": lambda: C.source_records(calls, target, limit), "canonical_records": lambda: C.source_records(calls, target, limit),
+        "entity_timeline": lambda: C.entity_timeline(calls, generic, target), "source_records": lambda: {"calls": C.source_records(calls, target, limit), "generic": C.generic_source_records(generic, target, limit)},
+        "canonical_records": lambda: canonical_rows(needed("canonical records", canonical), canonical_hints(question), start, stop),
         "entity_activity": lambda: E.entity_activity(entities, target), "first_seen_last_seen": lambda: E.first_seen_last_seen(entities), "relationship_network": lambda: E.relationship_network(entities, target),
-        "collection_overview": lambda: V.record_families(jobs), "data_quality": lambda: V.quality_summary(jobs), "schema_profile": lambda: V.record_families(jobs),
-        "anpr_sightings": lambda: C.entity_timeline(calls.limit(0), generic, target), "case_readiness": lambda: V.quality_summary(jobs),
+        "collection_overview": lambda: V.record_families(needed("jobs", jobs)), "data_quality": quality, "schema_profile": lambda: R.schema_of(needed("rows", rows)),
+        "anpr_sightings": lambda: C.sightings(generic, target), "case_readiness": lambda: V.case_readiness(needed("jobs", jobs), needed("assets", assets)),
     }
-    return p, run[ALIASES.get(p.template, p.template)]()
+    found = run[ALIASES.get(p.template, p.template)]()
+    only = {"shortest_call": "shortest", "longest_call": "longest"}.get(p.template)
+    return p, found.where(F.col("metric") == only) if only and "metric" in found.columns else found
 
 
 @dataclass
@@ -216,7 +248,7 @@ def canonical_hints(question: str) -> Hints:
             m = re.match(rf"([A-Za-z_][\w.]*)\s*(?:{words})\s*(?<![\w])(?:['\"]([^'\"]*)['\"]|(.+))$" if op not in ("in", "eq", "ne") else rf"([A-Za-z_][\w.]*)\s+(?:{words})\s+(?:['\"]([^'\"]*)['\"]|(.+))$", clause, re.I)
             if m:
                 value = (m[2] if m[2] is not None else m[3]).strip()
-                if value.lower() != "missing":
+                if not re.match(r"missing\b", value, re.I):
                     h.filters.append((m[1], op, [v.strip(" '\"") for v in re.split(r",|\bor\b", value.strip("()"))] if op == "in" else value))
                 break
     if m := re.search(r"\b(?:order by|sorted by|sort by)\s+(\w+)(?:\s+(asc|desc)\w*)?", q, re.I):
@@ -225,3 +257,27 @@ def canonical_hints(question: str) -> Hints:
         if m := re.search(rf"\b{name}\s+(\d+)", low):
             setattr(h, name, int(m[1]))
     return h
+
+
+def canonical_rows(canonical, hints: Hints, start: str | None = None, stop: str | None = None):
+    """Canonical records as a question's hints ask for them: latest first, or by the field named, a page of them."""
+    out = canonical
+    for column in ("record_type", "source_file", "batch_id"):
+        if (wanted := getattr(hints, column)) and column in out.columns:
+            out = out.where(F.lower(column) == wanted.lower())
+    for bound, op in ((start, ">="), (stop, "<")):
+        if bound:
+            at = F.lit(bound).try_cast("timestamp_ntz")
+            out = out.where(F.col("timestamp").cast("timestamp_ntz") >= at if op == ">=" else F.col("timestamp").cast("timestamp_ntz") < at)
+    for name, op, value in hints.filters:
+        if name not in ("record_type", "source_file", "batch_id"):
+            out = out.where(payload_filter(F.col("payload"), name, op, value))
+    for name in hints.exists:
+        out = out.where(payload_filter(F.col("payload"), name, "exists"))
+    for name in hints.missing:
+        out = out.where(payload_filter(F.col("payload"), name, "not_exists"))
+    order = [F.col("timestamp").desc_nulls_last(), F.col("source_file"), F.col("row_number")]
+    if hints.sort:
+        key = F.col(hints.sort[0]).cast("string") if hints.sort[0] in out.columns else payload_value(F.col("payload"), hints.sort[0])
+        order = [rank(key).desc() if hints.sort[1] else rank(key).asc(), *order]
+    return out.orderBy(*order).offset(max(0, hints.offset or 0)).limit(clamp(hints.limit))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions.predicates import payload_filter, phone_match
+from corvane.functions.predicates import in_scope, payload_filter, phone_match
 from corvane.operators import evidence as V
 from corvane.operators import ingest as I
 from corvane.operators import records as R
@@ -207,8 +207,91 @@ def e3_calls_between(spark, d):
     return R.calls_between(_records(spark, d), "5", "9", "msisdn", "call_dialed_num", "call_start_ts")
 
 
-@query(f"""WITH {CALLS_SQL}, l AS (SELECT row_number AS left_id, epoch(call_start_ts) AS lt, msisdn AS entity FROM calls WHERE call_type = 'CLICK'), r AS (SELECT row_number AS right_id, epoch(call_start_ts) AS rt, call_dialed_num AS entity FROM calls WHERE call_type = 'VIEW')
-    SELECT left_id, right_id, entity, CAST(abs(floor(lt) - floor(rt)) AS BIGINT) AS delta_seconds FROM l JOIN r USING (entity) WHERE abs(floor(lt) - floor(rt)) <= 300""")
+@query(f"""WITH {CALLS_SQL}, l AS (SELECT row_number AS left_id, epoch_us(call_start_ts) AS lt, msisdn AS entity FROM calls WHERE call_type = 'CLICK'), r AS (SELECT row_number AS right_id, epoch_us(call_start_ts) AS rt, call_dialed_num AS entity FROM calls WHERE call_type = 'VIEW')
+    SELECT left_id, right_id, entity, abs(lt - rt) // 1000000 AS delta_seconds FROM l JOIN r USING (entity) WHERE abs(lt - rt) // 1000000 <= 300""")
 def correlate_window(spark, d):
     c = _records(spark, d)
     return R.correlate(c.where("call_type = 'CLICK'"), c.where("call_type = 'VIEW'"), ["msisdn"], ["call_dialed_num"], "call_start_ts", "call_start_ts", "id", "id")
+
+
+# --- times as text, in several layouts, some of which cannot be read ----------------------------------------------
+
+
+def _texts(spark, d):
+    t = F.date_trunc("second", "call_start_ts")
+    layout = F.element_at(F.array(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.date_format(t, "MM/dd/yyyy HH:mm:ss"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")), (F.col("row_number") % 3 + 1).cast("int"))
+    return _records(spark, d).withColumn("seen", F.when(F.col("row_number") % 7 == 0, "n/a").otherwise(layout))
+
+
+_TEXTS_SQL = f"{CALLS_SQL}, texts AS (SELECT *, row_number AS id, CASE WHEN row_number % 7 <> 0 THEN date_trunc('second', call_start_ts) END AS t FROM calls)"
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT id, msisdn FROM texts WHERE (t IS NULL OR t > TIMESTAMP '2024-01-15 12:00:00') AND msisdn = '7' ORDER BY id LIMIT 100")
+def e3_time_filter(spark, d):
+    """A value that cannot be read as a time compares as text."""
+    return R.query(_texts(spark, d), [("seen", "gt", "2024-01-15T12:00:00Z"), ("msisdn", "eq", "7")], fields=["id", "msisdn"])
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT id, call_type FROM texts ORDER BY t DESC NULLS LAST, id LIMIT 100 OFFSET 50")
+def e3_time_sort(spark, d):
+    return R.query(_texts(spark, d), sort=[("seen", True)], offset=50, fields=["id", "call_type"])
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT location AS grp, min(t) AS extreme, count(*) AS total FROM texts WHERE t IS NOT NULL GROUP BY 1")
+def e3_grouped_first_time(spark, d):
+    own = R.grouped_extreme(_texts(spark, d).where("seen <> 'n/a'"), "location", "seen", "id", numbers=False)
+    return own.withColumn("extreme", R.as_time(F.col("extreme")).cast("timestamp_ntz"))
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT call_type, count(*) AS total FROM texts WHERE t BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' GROUP BY 1")
+def e3_between_times(spark, d):
+    return R.between_times(_texts(spark, d), "seen", "2024-01-10", "01/20/2024").groupBy("call_type").agg(F.count("*").alias("total"))
+
+
+@query(f"""WITH {_TEXTS_SQL}, l AS (SELECT id AS left_id, t AS lt, msisdn AS entity FROM texts WHERE call_type = 'ERROR'), r AS (SELECT id AS right_id, t AS rt, msisdn AS entity FROM texts WHERE call_type = 'PURCHASE')
+    SELECT left_id, right_id, entity, CASE WHEN lt IS NULL OR rt IS NULL THEN 0 ELSE abs(epoch(lt) - epoch(rt))::BIGINT END AS delta_seconds FROM l JOIN r USING (entity) WHERE lt IS NULL OR rt IS NULL OR abs(epoch(lt) - epoch(rt)) <= 900""")
+def correlate_unparsable(spark, d):
+    c = _texts(spark, d)
+    return R.correlate(c.where("call_type = 'ERROR'"), c.where("call_type = 'PURCHASE'"), ["msisdn"], ["msisdn"], "seen", "seen", "id", "id", 900)
+
+
+# --- evidence ----------------------------------------------------------------------------------------------------
+
+
+def _evidence(spark, d):
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "processing").when(F.col("o_orderkey") % 2 == 0, "queued").otherwise("failed")
+    modality = F.element_at(F.array(*map(F.lit, ("structured_records", "document", "image", "audio", "video"))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    return o.select(F.concat(F.lit("e"), "o_orderkey").alias("evidence_id"), F.col("o_orderdate").alias("updated_at"), status.alias("processing_status"), modality.alias("modality"), F.floor("o_totalprice").cast("long").alias("size_bytes"))
+
+
+_EVIDENCE_SQL = """evidence AS (SELECT 'e' || o_orderkey AS evidence_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'processing' WHEN o_orderkey % 2 = 0 THEN 'queued' ELSE 'failed' END AS processing_status,
+    ['structured_records', 'document', 'image', 'audio', 'video'][CAST(o_custkey % 5 + 1 AS INTEGER)] AS modality, CAST(floor(o_totalprice) AS BIGINT) AS size_bytes FROM orders)"""
+
+
+@query(f"""WITH {_EVIDENCE_SQL} SELECT count(*) AS evidence_total, {", ".join(f"count(*) FILTER (WHERE processing_status = '{x}') AS {x}" for x in ("completed", "processing", "queued", "failed"))},
+    {", ".join(f"count(*) FILTER (WHERE modality = '{x}') AS {y}" for x, y in (("structured_records", "structured_records"), ("document", "documents"), ("image", "images"), ("audio", "audio"), ("video", "video")))},
+    CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, (SELECT string_agg(s || '=' || n, ',' ORDER BY s) FROM (SELECT processing_status AS s, count(*) AS n FROM evidence GROUP BY 1)) AS status_counts,
+    (SELECT string_agg(s || '=' || n, ',' ORDER BY s) FROM (SELECT modality AS s, count(*) AS n FROM evidence GROUP BY 1)) AS modality_counts FROM evidence""")
+def evidence_summary(spark, d):
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
+    found = V.evidence_summary(_evidence(spark, d))
+    return found.select(*[c for c in found.columns if not c.endswith("_counts")], text("status_counts"), text("modality_counts"))
+
+
+@query(f"""WITH {CALLS_SQL}, e AS (SELECT unnest(['phone', 'dialed', 'location', 'imei']) AS entity_type, unnest([msisdn, call_dialed_num, location, imei]) AS entity_value, call_start_ts AS t FROM calls WHERE file_id = 'f1' AND batch_id = 'b2' AND collection_id = 'col1')
+    SELECT entity_type, count(*) AS observation_count, count(DISTINCT entity_value) AS unique_entities, min(t) AS first_seen, max(t) AS last_seen FROM e GROUP BY 1""")
+def evidence_entity_rollup(spark, d):
+    """The entities frame of one piece of evidence, whose job brought batch b2 of file f1."""
+    c = calls(spark, d)
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("entity_type"), F.col(v).alias("entity_value")) for k, v in (("phone", "msisdn"), ("dialed", "call_dialed_num"), ("location", "location"), ("imei", "imei"))]))
+    found = c.select("tenant_id", "collection_id", "file_id", "batch_id", F.col("call_start_ts").alias("observed_at"), kinds.alias("x")).select("*", "x.*").drop("x")
+    own = c.groupBy("tenant_id", "collection_id", "file_id", F.col("batch_id").alias("id")).agg(F.max("call_start_ts").alias("queued_at"))
+    job = own.withColumn("evidence_id", F.concat_ws("-", "collection_id", "file_id", "id"))
+    none = job.select("evidence_id", F.col("queued_at").alias("updated_at"), F.col("queued_at").alias("timestamp"), F.lit(1).alias("row_number"))
+    return V.evidence_detail(none, job, none, none, found, "col1-f1-b2")["entities"]
+
+
+@query(f"WITH {CALLS_SQL} SELECT call_type, count(*) AS total FROM calls WHERE tenant_id = 't1' AND collection_id = 'col2' GROUP BY 1")
+def scoped_call_types(spark, d):
+    return in_scope(calls(spark, d), "t1", "col2").groupBy("call_type").agg(F.count("*").alias("total"))

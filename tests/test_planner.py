@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.plans import planner as P
 from corvane.sources.views import calls, entities, generic, jobs
@@ -38,5 +39,39 @@ def test_target_types(kind, target):
 
 @pytest.mark.parametrize("question", ["top contacts", "timeline", "call type breakdown", "top locations", "data quality", "relationship network of L3-1", "activity by day", "first seen", "imei", "suspicious", "movement", "status overview", "night activity", "longest call"])
 def test_every_answer_runs(spark, data, question):
-    plan, df = P.answer(question, calls(spark, data), generic(spark, data), entities(spark, data), jobs(spark, data))
-    assert df.limit(1).count() >= 0 and plan.template
+    from corvane.plans.record_queries import _assets, _canonical
+
+    rows = spark.createDataFrame([("cdr", {"a": "1"})], "record_type string, fields map<string,string>")
+    plan, found = P.answer(question, calls(spark, data), generic(spark, data), entities(spark, data), jobs(spark, data), assets=_assets(spark, data), canonical=_canonical(spark, data), rows=rows)
+    for df in found.values() if isinstance(found, dict) else [found]:
+        assert df.limit(3).count() >= 0 and df.columns
+
+
+def test_templates_give_their_own_frames(spark, data):
+    from corvane.plans.record_queries import _assets, _canonical
+
+    frames = calls(spark, data), generic(spark, data), entities(spark, data), jobs(spark, data)
+    assert set(P.answer("any suspicious patterns or anomalies?", *frames)[1]) == {"night_activity", "duration_extremes", "duration_stats", "data_quality", "recent_quality_jobs"}
+    assert "score" in P.answer("case readiness", *frames, assets=_assets(spark, data))[1].columns
+    assert set(P.answer("show raw rows", *frames)[1]) == {"calls", "generic"}
+    with pytest.raises(ValueError):
+        P.answer("which headers and columns are there?", *frames)
+
+
+def test_hints_become_filters(spark):
+    rows = [("cdr", "a.csv", 1, "2024-01-01 00:00:00", {"City": "Lahore", "duration": "40"}), ("cdr", "a.csv", 2, "2024-01-02 00:00:00", {"city": "Karachi", "duration": "9"}),
+            ("cdr", "b.csv", 3, None, {"city": "Lahore", "duration": "100", "email": "x"}), ("ipdr", "a.csv", 4, "2024-01-03 00:00:00", {"city": "Lahore"})]
+    df = spark.createDataFrame(rows, "record_type string, source_file string, row_number int, t string, payload map<string,string>").withColumn("timestamp", F.col("t").cast("timestamp"))
+    ask = lambda q: [x["row_number"] for x in P.canonical_rows(df, P.canonical_hints(q)).collect()]
+    assert ask("canonical cdr records") == [2, 1, 3]
+    assert ask("canonical records where city is Lahore and duration > 30 sort by duration asc") == [1, 3]
+    assert ask("canonical records where city in Lahore, Karachi limit 2 offset 1") == [2, 1]
+    assert ask("records where email exists") == [3] and ask("cdr records where email is missing from source file a.csv") == [2, 1]
+
+
+def test_scope(spark):
+    from corvane.functions.predicates import in_scope
+
+    df = spark.createDataFrame([("t1", "c1", 1), ("t1", "c2", 2), ("t2", "c1", 3), (None, "c1", 4)], "tenant_id string, collection_id string, n int")
+    got = lambda *a: [x["n"] for x in in_scope(df, *a).orderBy("n").collect()]
+    assert got("t1") == [1, 2] and got("t1", "c1") == [1] and got("") == [] and got("t3", "c1") == []
