@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Rows in one Arrow batch sent to Python; long texts make the default of 10,000 too large for a worker.
 BATCH_ROWS = 256
 
@@ -17,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,15 +33,72 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/corvane-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives a lost executor."""
-    path = work_path(df.sparkSession, label)
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage and survives a lost executor."""
+    return _stored(df, work_path(df.sparkSession, label))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Written tables of one computation: those that are ``written`` go at its end, those ``kept`` stay until ``drop``."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, work_path(spark, label)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, f"{self.path}/work")
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        return _stored(df, f"{self.path}/work/{label}")
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        return _stored(df, f"{self.path}/kept/{label}")
+
+    def drop(self) -> None:
+        delete(self.spark, self.path)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lowers the session's Arrow batches to ``rows`` and leaves them so, as plans read the setting when they run."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit words."""
+    h = (h ^ h >> np.uint64(32)) * _MIX
+    h = (h ^ h >> np.uint64(29)) * _MIX
+    return h ^ h >> np.uint64(32)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` word hashes, in order; there must be as many words at least."""
+    n = len(words) - width + 1
+    h = words[:n].copy()
+    for k in range(1, width):
+        h = h * _ODD + words[k : k + n]
+    return mixed(h)
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of 64-bit words have each bit set, lowest bit of the first word first."""
+    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
+    ones = np.zeros(bits.shape[1], dtype=np.int64)
+    for at in range(0, len(bits), 255):  # as many as a byte can count
+        ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return ones
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,14 +1,22 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of ``PARTS[0] / PARTS[1]`` or more.
 
-Candidates come from exact prefix filtering.  Under any one order of all shingles, two sets of the least similarity
-share one of the first ``n - ceil(n * least) + 1`` shingles of each, so these are the join keys and no pair is
-lost.  The order puts shingles that a sample of the documents holds often last; the sample only makes keys
-smaller, it does not change what is linked.
+At that similarity two SimHash fingerprints differ in some 15 % of their bits, so no chain of pigeonring segments has
+to be equal and a fingerprint of its own gives no join key.  Candidates therefore come from exact prefix filtering:
+under any one order of all shingles, two sets of the least similarity share one of the first
+``n - ceil(n * least) + 1`` shingles of each.  The order puts shingles that a sample of the documents holds often last;
+the sample only makes keys smaller, it does not change what is linked.
+
+Candidates are then pruned by pigeonring filtering on SimHash fingerprints of ``LANES * 64`` bits: from some start, each
+chain of up to ``CHAIN`` consecutive segments must keep its cumulative differences within the share of ``MAX_BITS``
+that falls to it, then the whole Hamming distance must.  ``MAX_BITS`` lies over seven standard deviations above what
+sets of the least similarity reach (at most 0.19 of the bits in the mean, two sets of four and five shingles), so
+that it loses none in practice.  What is left is checked on whole sets, of 32 bits of each shingle's hash, which halves
+what the check moves: two sets of 500 shingles share one too many with a chance of 0.00006.
 
 Keys of at most ``BUCKET`` sets give all their pairs.  In larger ones each set meets two of the key's sets, picked
-by hash, first; once those that pass are components, only sets outside a key's main component meet all of the
-key's sets of other components.  Every pair that is left out is within one component already, so the components
-are those of all pairs.  Each pair is checked exactly.
+by hash, first; once those that pass are components, only sets outside a key's main component meet the key's sets of
+other components.  Every pair that is left out is within one component already, so the components are those of all
+pairs.
 """
 
 from __future__ import annotations
@@ -23,23 +31,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import small_batches, written
-from corvane.llm.simhash import BUCKET, SEED, components, drop_near_duplicates
+from corvane.llm.common import Scratch, bit_counts, folded, mixed, small_batches
+from corvane.llm.simhash import SEED, components, keep_least, least_ids
 
 WORDS, PARTS = 5, (4, 5)
-#: One in so many documents is in the sample; the counts and the number of the shingles that it gives.  They bound the
+#: Sets of a key up to which all its pairs are checked at once.
+BUCKET = 4
+#: Bits of a fingerprint are 64 for each lane; segments of 16 bits lie on a ring.
+LANES, CHAIN, MAX_BITS = 4, 8, 96
+_WIDTH = 16
+_SEGMENTS = LANES * 64 // _WIDTH
+#: Documents in the sample (about so many of any number), least count there of a shingle that is put last, and the most of those.  They bound the
 #: order, not the result.
-SHARE, OFTEN, LISTED = 16, 4, 1 << 17
+SAMPLE, OFTEN, LISTED = 10_000, 3, 1 << 17
 #: Join keys are so many bits of a shingle's hash; equal bits of others only add candidates.
-_KEY = (1 << 40) - 1
+_KEY = (1 << 48) - 1
+_LANE_KEYS = [np.uint64((k * 0x9E3779B97F4A7C15) % 2**64) for k in range(1, LANES + 1)]
+_CHUNK = 1 << 14
 
 
 def shingle_set(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles, words as in ``simhash.fingerprint``; a shorter text is one shingle."""
+    """Sorted distinct hashes of the word shingles, words as in ``simhash.fingerprint``; a shorter text is one shingle.
+
+    A shingle's hash folds the XXH64 of its words."""
     found = (text or "").encode().lower().split()
-    shingles = zip(*(found[i:] for i in range(words))) if len(found) > words else iter([found] if found else [])
-    n = max(1, len(found) - words + 1) if found else 0
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(seed)), dtype=np.uint64, count=n).view(np.int64))
+    if not found:
+        return np.empty(0, dtype=np.int64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), dtype=np.uint64, count=len(found))
+    return np.unique(folded(w, min(words, len(found))).view(np.int64))
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -47,6 +66,16 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)) if len(shingles) else 0
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of a set, as ``LANES`` signed words: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(LANES * 64, dtype=np.int64)
+    for at in range(0, len(shingles), _CHUNK):
+        part = shingles[at : at + _CHUNK].view(np.uint64)
+        lanes = np.stack([mixed(part + key) for key in _LANE_KEYS], axis=1)
+        ones += bit_counts(lanes)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)
+
+
 def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the order (count in the sample, hash); often is sorted."""
     n = len(shingles)
@@ -55,94 +84,139 @@ def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.nd
     least = -(-n * PARTS[0] // PARTS[1])
     if len(often):
         at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
-        shingles = shingles[np.lexsort((shingles, np.where(often[at] == shingles, counts[at], 0)))]
+        seen = often[at] == shingles
+        if seen.any():
+            shingles = shingles[np.lexsort((shingles, np.where(seen, counts[at], 0)))]
     return shingles[: n - least + 1]
 
 
-def _hashed(name: str) -> T.StructType:
-    return T.StructType([T.StructField("fp", T.LongType()), T.StructField(name, T.ArrayType(T.LongType()))])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([shingle_set(t) for t in batch], index=batch.index)
 
 
-@F.pandas_udf(T.LongType())
-def _ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([set_id(shingle_set(t)) for t in batch], dtype="int64")
+_SKETCHED = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
 
 
-@F.pandas_udf(_hashed("shingles"))
-def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(_SKETCHED)
+def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         sets = [shingle_set(t) for t in batch]
-        yield pd.DataFrame({"fp": np.array([set_id(s) for s in sets], dtype=np.int64), "shingles": sets})
-
-
-def set_column(text) -> F.Column:
-    return _ids(text)
+        yield pd.DataFrame({"fp": np.array([set_id(s) for s in sets], dtype=np.int64), "sketch": [sketch(s) for s in sets], "shingles": [np.unique(s.astype(np.int32)) for s in sets]})
 
 
 def _often(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that the sample holds at least ``OFTEN`` times, sorted, and their counts."""
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARE)) == 0).select(_sets(F.col(text_col)).alias("s"))
-    rows = some.select(F.explode("s.shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(share)) == 0) if share > 1 else docs
+    rows = some.select(F.explode(_sets(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     found = rows.orderBy(F.desc("n"), "h").limit(LISTED).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+_PRINTED = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, n, keys) for each row: its set's id and size, and the keys of its prefix."""
+    order = docs.sparkSession.sparkContext.broadcast(_often(docs, id_col, text_col))
+
+    @F.pandas_udf(_PRINTED)
+    def printed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            sets = [shingle_set(t) for t in batch]
+            yield pd.DataFrame({
+                "fp": np.array([set_id(s) for s in sets], dtype=np.int64), "n": np.array([len(s) for s in sets], dtype=np.int32),
+                "keys": [np.unique(prefix(s, *order.value) & _KEY) for s in sets],
+            })
+
+    return docs.select(F.col(id_col).alias("doc_id"), printed(F.col(text_col)).alias("p")).select("doc_id", "p.*")
+
 
+def _similar(n, m) -> F.Column:
+    """Whether sets of these sizes can have the least similarity."""
+    return F.least(n, m) * PARTS[1] >= F.greatest(n, m) * PARTS[0]
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of the least similarity."""
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+
+def within_ring(a, b) -> F.Column:
+    """The pigeonring filter and the full check on two fingerprints (arrays of words)."""
+    words = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    parts = F.flatten(F.transform(words, lambda x: F.array(*[F.bit_count(F.shiftrightunsigned(x, k * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))) for k in range(64 // _WIDTH)])))
+    over = F.transform(F.concat(parts, F.slice(parts, 1, CHAIN)), lambda d: d * _SEGMENTS - MAX_BITS)  # what a segment takes beyond its share
+    sums = F.aggregate(over, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    chain = F.exists(F.sequence(F.lit(1), F.lit(_SEGMENTS)), lambda i: F.array_max(F.slice(sums, i + 1, CHAIN)) <= F.element_at(sums, i))
+    whole = F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x)) <= MAX_BITS
+    return chain & whole
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """The distinct pairs (a, b) of the least similarity."""
+    rings = [sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"k{c}")) for c in "ab"]
+    near = scratch.written(pairs.join(rings[0], "a").join(rings[1], "b").where(within_ring(F.col("ka"), F.col("kb"))).select("a", "b"), f"{label}-near")
+    sets = [sketches.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    close = F.least(F.size("sa"), F.size("sb")) * PARTS[1] >= F.greatest(F.size("sa"), F.size("sb")) * PARTS[0]
-    return pairs.distinct().join(left, "a").join(right, "b").where(close).where(shared * PARTS[1] >= (total - shared) * PARTS[0]).select("a", "b")
+    return scratch.written(near.join(sets[0], "a").join(sets[1], "b").where(shared * PARTS[1] >= (total - shared) * PARTS[0]).select("a", "b"), label)
 
 
-def copy_links(docs: DataFrame, fps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) between the sets of fps(fp, low_id), those of docs' texts: enough of them to connect all near copies."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    order = spark.sparkContext.broadcast(_often(docs, id_col, text_col))
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    @F.pandas_udf(_hashed("keys"))
-    def prefixes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            sets = [shingle_set(t) for t in batch]
-            yield pd.DataFrame({"fp": np.array([set_id(s) for s in sets], dtype=np.int64), "keys": [np.unique(prefix(s, *order.value) & _KEY) for s in sets]})
-
-    # hashed once for the counts and once for the join: written arcs would take half the size of the documents again
-    arcs = docs.select(prefixes(F.col(text_col)).alias("p")).select("p.fp", F.explode("p.keys").alias("key"))
-    shared = written(arcs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    member = written(arcs.join(shared, "key").select("key", "fp").distinct(), "members")
-    sized = written(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sized")
-    member = written(member.join(sized, "key"), "sized-members")
-
-    need = member.select("fp").distinct()
-    ids = written(fps.join(need, "fp").select(F.col("low_id").alias("__id")).distinct(), "set-ids").hint("merge")
-    few = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi").select(_sets(F.col(text_col)).alias("s")).select("s.*")
-    sets = written(few.join(need, "fp", "left_semi"), "sets")
-    if sets.groupBy("fp").count().where("count > 1").limit(1).count():  # rows of repeated or null ids
-        sets = written(sets.dropDuplicates(["fp"]), "single-sets")
-
-    small = (
-        member.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("l"))
-        .select(F.explode(F.expr("flatten(transform(l, (x, k) -> transform(slice(l, k + 2, size(l)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*")
+
+def copy_links(docs: DataFrame, prints: DataFrame, fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between the sets of fps(fp, low_id, n), those of docs' texts: enough of them to connect all near copies."""
+    arcs = prints.select("fp", "n", F.explode("keys").alias("key"))
+    # a key of one set only, however many rows hold it, links nothing
+    shared = scratch.written(arcs.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"), "shared")
+    # merged at every size: the list of shared keys grows with the documents, so it is never broadcast
+    member = scratch.written(arcs.join(shared.hint("merge"), "key").groupBy("key", "fp").agg(F.max("n").alias("n")), "members")
+    sized = scratch.written(member.groupBy("key").agg(F.count("*").alias("c")), "sized")
+    member = scratch.written(member.join(sized, "key"), "sized-members")
+
+    few = member.where(F.col("c") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n"))).alias("l"))
+    both = "flatten(transform(l, (x, k) -> transform(filter(slice(l, k + 2, size(l)), y -> {close}), y -> struct(x.fp AS a, y.fp AS b))))"
+    close = f"least(x.n, y.n) * {PARTS[1]} >= greatest(x.n, y.n) * {PARTS[0]}"
+    small = few.select(F.explode(F.expr(both.format(close=close))).alias("p")).select("p.*")
+    hot = scratch.written(member.where(F.col("c") > BUCKET).select("key", "fp", "n"), "hot")
+    heads = hot.groupBy("key").agg(*[F.min_by(F.struct("fp", "n"), F.xxhash64(F.lit(k), "key", "fp")).alias(f"h{k}") for k in (1, 2)])
+    to_heads = (
+        hot.join(scratch.written(heads, "heads"), "key").select("fp", "n", F.explode(F.array("h1", "h2")).alias("h"))
+        .where(F.col("fp") != F.col("h.fp")).where(_similar(F.col("n"), F.col("h.n"))).select(*_pair("fp", "h.fp"))
     )
-    hot = member.where(F.col("n") > BUCKET).select("key", "fp")
-    heads = hot.groupBy("key").agg(*[F.min_by("fp", F.xxhash64(F.lit(k), "key", "fp")).alias(f"h{k}") for k in (1, 2)])
-    few_pairs = hot.join(heads, "key").select("fp", F.explode(F.array("h1", "h2")).alias("head")).where("fp <> head").select(*_pair("fp", "head"))
-    links = written(_alike(written(small.unionAll(few_pairs).distinct(), "pairs"), sets), "links")
+    pairs = scratch.written(small.unionAll(to_heads).distinct(), "pairs")
+
+    need = scratch.written(pairs.select("a").unionAll(pairs.select("b")).unionAll(hot.select("fp")).distinct().withColumnRenamed("a", "fp"), "need")
+    ids = scratch.written(fps.join(need, "fp").select(F.col("low_id").alias("__id")).distinct(), "set-ids")
+    some = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi").select(_sketches(F.col(text_col)).alias("s")).select("s.*")
+    sketches = scratch.written(some.join(need, "fp", "left_semi"), "sketches")
+    if sketches.groupBy("fp").count().where("count > 1").limit(1).count():  # rows of repeated or null ids
+        sketches = scratch.written(sketches.dropDuplicates(["fp"]), "single-sketches")
+    links = _alike(pairs, sketches, scratch, "links")
 
     root = components(links)
-    rooted = written(hot.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "hot-roots")
-    main = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    rest = rooted.join(main, "key").where("root <> main").select("key", F.col("fp").alias("x"), F.col("root").alias("rx"))
-    across = rest.join(rooted, "key").where("rx <> root").select(*_pair("x", "fp"))
-    return links.unionAll(written(_alike(written(across.distinct(), "across"), sets), "links-across")).distinct()
+    rooted = scratch.written(hot.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "hot-roots")
+    main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    rest = rooted.join(main, "key").where("root <> main").select("key", F.col("fp").alias("x"), F.col("n").alias("m"), F.col("root").alias("rx"))
+    across = rest.join(rooted, "key").where("rx <> root").where(_similar(F.col("n"), F.col("m"))).select(*_pair("x", "fp")).distinct()
+    across = scratch.written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    return links.unionAll(_alike(across, sketches, scratch, "links-across"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs: its set's id and the smallest doc_id of its group of near copies.
+
+    Null texts and those without words have an empty set and are copies of each other; texts of equal sets are copies;
+    a null id is no candidate for the smallest, so a group with null ids only has a null component_id.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    with Scratch(spark, "near-copies") as scratch:
+        prints = scratch.written(_prints(docs, id_col, text_col), "prints")
+        fps = scratch.written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.max("n").alias("n")), "fps")
+        classes = least_ids(fps, copy_links(docs, prints, fps, scratch, id_col, text_col), scratch)
+        return scratch.kept(prints.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "component_id"), "classes")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group of near copies, as ``drop_near_duplicates`` keeps them."""
-    return drop_near_duplicates(docs, id_col, text_col, key=set_column, links=lambda fps: copy_links(docs, fps, id_col, text_col))
+    """The rows of docs whose id is the smallest of their group of near copies, one for each group; null ids stay."""
+    return keep_least(docs, near_copies(docs, id_col, text_col), id_col)

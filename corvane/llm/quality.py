@@ -24,7 +24,7 @@ from corvane.llm.common import BATCH_ROWS, held_out, labelled_sample, small_batc
 WORD_BINS, SHAPE_BINS, RATIOS = 512, 512, 6
 TERMS = WORD_BINS + SHAPE_BINS + RATIOS
 _MARKS = string.punctuation + "«»“”„‘’…–—¡¿"
-_MEMO = 300_000
+_MEMO = 150_000
 
 
 def _term(word: str) -> int:

@@ -13,7 +13,7 @@ most 65 of them, so no group grows with the data and no pair is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import small_batches, written
+from corvane.llm.common import Scratch, bit_counts, small_batches, written
 
 SEGMENTS, MAX_BITS, WORDS, SEED, BUCKET = 16, 2, 3, 42, 16
 _WIDTH = 64 // SEGMENTS
@@ -43,8 +43,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(seed)), dtype="<u8", count=n)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _CHUNK):
-        part = hashes[at : at + _CHUNK]
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        ones += bit_counts(hashes[at : at + _CHUNK, None])
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -64,14 +63,14 @@ def _ring(fp, i: int):
     return F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k)) if k else fp
 
 
-def near_links(fps: DataFrame) -> DataFrame:
+def near_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b), a < b, between the distinct values of ``fp``: enough of them to connect all within MAX_BITS bits."""
     fp = F.col("fp")
     arcs = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(_ring(fp, i), 64 - _KEY_BITS).alias("key")) for i in range(SEGMENTS)
     ])).alias("arc")).select("fp", "arc.i", "arc.key")
-    shared = written(arcs.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    member = written(arcs.join(shared, ["i", "key"]), "members")
+    shared = scratch.written(arcs.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    member = scratch.written(arcs.join(shared, ["i", "key"]), "members")
 
     turned = F.expr(f"CASE WHEN i = 0 THEN d ELSE shiftleft(d, i * {_WIDTH}) | shiftrightunsigned(d, 64 - i * {_WIDTH}) END")
     # the last segment alone may bring the sum over the budget of the chain before it
@@ -95,18 +94,24 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of links (a, b): alternating large-star and small-star steps on written tables.
 
     root is the smallest node reachable.  Per-node minima are combined before their shuffle, and the joins that
-    carry them back read written tables, so that a node with very many links is split like any skewed key.
+    carry them back read written tables, so that a node with very many links is split like any skewed key.  The
+    tables of a round go when the next one's are written.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = links.sparkSession
+    with Scratch(spark, "components") as last:
+        edges = last.kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(low.select("u", F.col("m").alias("v")).unionAll(small).distinct(), "edges")
+        with Scratch(spark, "components") as now:
+            both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = now.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = now.written(large, "large")
+            low = now.written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = now.kept(low.select("u", F.col("m").alias("v")).unionAll(small).distinct(), "edges")
+        last.drop()
+        last = now
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -116,34 +121,39 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable = fingerprint_column, links: Callable = near_links) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: fp signed, component_id the smallest id reachable.
 
-    key gives fp from the text; links gives the links (a, b) between the distinct values of a table (fp, low_id).
-
     Null and empty texts have fingerprint 0 and link like any other; repeated rows stay, each with its own result
     row; a null id is no candidate for the smallest, so a component with null ids only has a null component_id.
     """
-    small_batches(docs.sparkSession)
-    prints = written(docs.select(F.col(id_col).alias("doc_id"), key(F.col(text_col)).alias("fp")), "prints")
-    return prints.join(_classes(prints, links), "fp").select("doc_id", "fp", "component_id")
-
-
-def _classes(prints: DataFrame, links: Callable) -> DataFrame:
-    """(fp, component_id), one row per distinct fingerprint, as a written table."""
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fps")
-    root = components(links(fps))
-    rooted = written(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "least")
-    return written(rooted.join(least, "root").select("fp", "component_id"), "classes")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, one for each component; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, **how).where("doc_id = component_id OR doc_id IS NULL")
-    keep = written(found.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
+    spark = docs.sparkSession
+    small_batches(spark)
+    with Scratch(spark, "simhash") as scratch:
+        prints = scratch.kept(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
+        fps = scratch.written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fps")
+        classes = least_ids(fps, near_links(fps, scratch), scratch)
+        return scratch.kept(prints.join(classes, "fp").select("doc_id", "fp", "component_id"), "components")
+
+
+def least_ids(fps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, component_id), one row for each row of fps (fp, low_id), as a written table."""
+    root = components(links)
+    rooted = scratch.written(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = scratch.written(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "least")
+    return scratch.written(rooted.join(least, "root").select("fp", "component_id"), "classes")
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is their component's smallest in found, one for each component; null ids stay."""
+    keep = written(found.where("doc_id = component_id OR doc_id IS NULL").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
     again = keep.where("n > 1 AND doc_id IS NOT NULL").limit(1).count() > 0
     # always one shuffle of docs: the list of ids grows with them, so it is never broadcast
     ids = keep.select(F.col("doc_id").alias("__keep")).hint("merge")
     out = docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
     return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(out.where(F.col(id_col).isNull())) if again else out
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep_least`` over the components of the fingerprints."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col)

@@ -1,5 +1,9 @@
 import random
 from itertools import combinations
+from pathlib import Path
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from corvane.llm import near_copies as N
 
@@ -46,8 +50,45 @@ def test_near_copies_equal_brute_force(docs_frame, make_text, monkeypatch):
         rows.append((4000 + j, chain))
         chain = changed(chain, 3, r)
     rows += [(5000, None), (5001, ""), (5002, "a b"), (5003, "A  b"), (None, make_text(1, 200)), (5004, "a b c d e"), (5005, "a b c d e f")]
-    monkeypatch.setattr(N, "SHARE", 1)
+    monkeypatch.setattr(N, "SAMPLE", 100)
     want = plain_groups(rows)
     kept = N.drop_near_copies(docs_frame(rows))
     assert {x["doc_id"] for x in kept.collect()} - {None} == want and len(want) < len(rows) - 40
     assert N.drop_near_copies(docs_frame([])).count() == 0
+
+
+def test_no_pair_of_the_least_similarity_is_pruned(spark, make_text):
+    """Pairs at the threshold, of few and of many shingles, stay; those of unlike texts go."""
+    r = random.Random(5)
+    rows = []
+    for n in (1, 4, 5, 9, 20, 100, 1000):
+        for _ in range(40):
+            a = {r.getrandbits(63) for _ in range(n)}
+            drop = n // 5
+            b = set(list(a)[drop:]) if r.random() < 0.5 else a | {r.getrandbits(63) for _ in range(n // 4)}
+            c = {r.getrandbits(63) for _ in range(n)}
+            rows.append(tuple(N.sketch(np.array(sorted(x), dtype=np.int64)).tolist() for x in (a, b, c)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, c array<long>")
+    got = df.select(N.within_ring(F.col("a"), F.col("b")).alias("near"), N.within_ring(F.col("a"), F.col("c")).alias("far")).collect()
+    assert all(x["near"] for x in got) and not any(x["far"] for x in got)
+
+
+def test_the_ring_is_the_full_check_with_fewer_candidates(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(300):
+        a = [r.getrandbits(64) for _ in range(4)]
+        b = list(a)
+        for bit in r.sample(range(256), 60 + k % 80):
+            b[bit // 64] ^= 1 << bit % 64
+        rows.append(([x - (1 << 64) if x >> 63 else x for x in a], [x - (1 << 64) if x >> 63 else x for x in b], 60 + k % 80 <= N.MAX_BITS))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want boolean")
+    assert all(x["got"] == x["want"] for x in df.select("want", N.within_ring(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_work_tables_go(docs_frame, spark, make_text):
+    from corvane.llm.common import work_root
+
+    N.drop_near_copies(docs_frame([(1, make_text(1, 30)), (2, make_text(1, 31))])).collect()
+    left = [str(p) for p in Path(work_root(spark).removeprefix("file://")).glob("corvane-*/work")]
+    assert left == []

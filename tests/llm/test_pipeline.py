@@ -1,8 +1,9 @@
 import hashlib
 
 import corpus_pipeline as C
-from corvane.llm import decontaminate, pieces, pii, quality, simhash
+from corvane.llm import decontaminate, pieces, pii, quality
 from corvane.llm.common import table
+from test_near_copies import plain_groups
 
 
 def test_stages_equal_brute_force(spark, data):
@@ -20,14 +21,7 @@ def test_stages_equal_brute_force(spark, data):
     model = quality.train(docs, table(spark, data, "labels"))
     keep = {i for i, x in a.items() if model.scores(quality.term_matrix([x["text"]], quality._Memo()))[0] >= C.QUALITY_THRESHOLD}
     assert set(b) == keep and len(b) < len(a)
-    prints = {i: simhash.fingerprint(x["text"]) for i, x in b.items()}
-    group = {i: i for i in prints}
-    for _ in prints:
-        new = {i: min(group[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
-        if new == group:
-            break
-        group = new
-    assert set(c) == set(group.values()) and len(c) < len(b)
+    assert set(c) == plain_groups([(i, x["text"]) for i, x in b.items()]) and len(c) < len(b)
     items = decontaminate.Index([(x["item_id"], x["text"]) for x in table(spark, data, "benchmark").collect()])
     assert set(d) == {i for i, x in c.items() if not items.search(x["text"])}
     assert set(e) == set(d) and not any(pii._emails(x["text"]) and list(pii._emails(x["text"])) for x in e.values())

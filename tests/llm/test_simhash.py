@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import simhash as S
+from corvane.llm.common import Scratch
 
 
 def plain_fingerprint(text):
@@ -61,7 +62,8 @@ def test_links_are_complete_for_chains_and_large_groups(spark):
     for size in (16, 1):  # compared in rows, or all through cells
         S.BUCKET = size
         try:
-            links = S.near_links(fps)
+            with Scratch(spark, "test") as scratch:
+                links = scratch.kept(S.near_links(fps, scratch), "links")
             root = {x["node"]: x["root"] for x in S.components(links).collect()}
         finally:
             S.BUCKET = 16
