@@ -60,13 +60,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter, then those that are exact copies of one with a smaller id leave; the first batch is sent
-    twice."""
+    """All documents enter (the batch is sent twice), those with repeated lines get the counts of their distinct lines,
+    then exact copies of a document with a smaller id leave."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     store = rollups.Store(spark)
     load = rollups.counted(docs)
     store.apply("load", load)
     store.apply("load", load)
+    lines = F.split("text", "\n")
+    again = docs.where(F.size(F.array_distinct(lines)) < F.size(lines))
+    store.apply("distinct/lines", rollups.counted(again.withColumn("text", F.array_join(F.array_distinct(lines), "\n"))))
     keys = docs.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"), "source", "lang").where("h IS NOT NULL")
     first = written(keys.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
     copies = keys.join(first, "h").where("doc_id <> first")
@@ -81,17 +84,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_classifier, op4_decontamination, op5_warc, op6_url_filters, op7_quality_rules, op8_pieces, op9_simhash, op10_token_counts, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
-        WITH words AS (
-            SELECT doc_id AS id, 0 AS item, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
-            UNION ALL
-            SELECT item_id, 1, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') FROM benchmark
+        WITH d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+        b AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+        items AS (
+            SELECT *, count(*) OVER (PARTITION BY b) AS n FROM (
+                SELECT DISTINCT b, item_id, least(len(w), 5) AS width, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS shingle
+                FROM b, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0)
         ), cut AS (
-            SELECT DISTINCT id, item, array_to_string(w[i : i + 4], ' ') AS shingle
-            FROM words, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS t(i)
-        ), items AS (SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n FROM cut WHERE item = 1)
-        SELECT c.id AS doc_id, item_id, n AS n_shingles, count(*) AS n_shared
-        FROM cut c JOIN items USING (shingle) WHERE c.item = 0
-        GROUP BY ALL HAVING count(*) >= 0.8 * n""",
+            SELECT DISTINCT d, doc_id, width, array_to_string(w[i : i + width - 1], ' ') AS shingle
+            FROM d, (SELECT DISTINCT width FROM items) AS s, unnest(range(1, len(w) - width + 2)) AS t(i) WHERE len(w) >= width
+        ), found AS (
+            SELECT d, b, doc_id, item_id, n, count(*) AS c FROM cut JOIN items USING (width, shingle) GROUP BY ALL HAVING count(*) >= 0.8 * n
+        )
+        SELECT DISTINCT ON (doc_id, item_id) doc_id, item_id, n AS n_shingles, c AS n_shared FROM found ORDER BY doc_id, item_id, c DESC, n DESC""",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT h, max(page_id) AS original, count(*) AS c FROM p WHERE n >= 1000 GROUP BY h)
@@ -107,7 +112,9 @@ ORACLE_SQL: dict[str, str] = {
         fits AS (
             SELECT page_id, rule_host || start AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || start) DESC, length(rule_host) DESC) AS place
             FROM u JOIN r ON ends_with('.' || host, '.' || rule_host) AND starts_with(path, start)
-        ), listed AS (SELECT page_id FROM u WHERE {" OR ".join(f"ends_with('.' || host, '.{h}')" for h in urls.BLOCKED_HOSTS)})
+        ), listed AS (
+            SELECT page_id FROM u WHERE {" OR ".join(f"ends_with('.' || host, '.{h}')" for h in urls.BLOCKED_HOSTS)}
+                OR list_has_any(string_split(replace(host, '-', '.'), '.'), [{", ".join(f"'{w}'" for w in urls.BLOCKED_WORDS)}]))
         SELECT u.page_id, host, path, rule, coalesce(action, CASE WHEN listed.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
         FROM u LEFT JOIN fits ON fits.page_id = u.page_id AND place = 1 LEFT JOIN listed ON listed.page_id = u.page_id""",
     "op7_quality_rules": rf"""

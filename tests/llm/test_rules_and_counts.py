@@ -20,7 +20,7 @@ def plain_counts(text):
 
 
 def test_counts_equal_brute_force(docs_frame, make_text):
-    texts = [None, "", "\n \t\n", "one", "a b c d e a b c d e", "a b c d e f a b c d e g h a b c d e", "x x x x x x x x", "l1 w\nl1 w\n\nl1 w\r\n", "# $ % é😀 |<>&*", make_text(1, 300), make_text(1, 30) + " " + make_text(1, 30), make_text(4, 20000), "\x1f a\x0bb\x0cc"]
+    texts = [None, "", "\n \t\n", "one", "a b c d e a b c d e", "a b c d e f a b c d e g h a b c d e", "x x x x x x x x", "l1 w\nl1 w\n\nl1 w\r\n", "# $ % é😀 |<>&*", "a b c d e x a b c d e y a b c d e", "p q r s t u p q r s t u v w " * 3, make_text(1, 300), make_text(1, 30) + " " + make_text(1, 30), make_text(4, 20000), "\x1f a\x0bb\x0cc"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "one")]
     docs = docs_frame(rows)
     out = Q.apply_rules(docs, column="judged")
@@ -29,6 +29,8 @@ def test_counts_equal_brute_force(docs_frame, make_text):
     assert [tuple(x[c] for c in cols) for x in got] == [plain_counts(t) for _, t in rows]
     assert out.columns == [*docs.columns, "judged"] and not any(x["kept"] for x in got if x["base_failed"])
     assert Q.apply_rules(docs.limit(0)).count() == 0
+    odd = docs.limit(2).withColumns({"__words": F.lit(1), "__Hashes": F.lit(2), "___base": F.lit(3)})
+    assert Q.apply_rules(odd).columns == odd.columns and Q.apply_rules(odd).select("__words", "__Hashes", "___base").first()[:] == (1, 2, 3)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
@@ -75,13 +77,60 @@ def test_deltas_equal_a_recount(spark):
     assert store.committed() == ["a", "b", "c"]
 
 
+def test_any_text_is_a_batch_id(spark):
+    store = R.Store(spark)
+    names = ["a/b", "..", " ", "", "a", ".hidden", "_x", "é%2F", "x.y"]
+    for k, name in enumerate(names):
+        assert store.apply(name, _changes(spark, [("upsert", k, "s", "en", "t", 1, 1)]))
+        other = R.Store(spark, store.path)  # a second writer, later, sees what the first committed
+        assert not other.apply(name, _changes(spark, [("upsert", 100 + k, "s", "en", "t", 1, 1)]))
+    assert store.committed() == names and _state(store) == {("s", "en", "t"): (9, 9, 9)}
+    with pytest.raises(ValueError):
+        store.apply("x" * 300, _changes(spark, []))
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    store = R.Store(spark)
+    rows = [("upsert", None, "s", "en", "t", 5, 2), ("upsert", None, "s", "en", "t", 5, 2), ("delete", None, "s", "en", "t", 0, 0)]
+    store.apply("a", _changes(spark, rows))
+    store.apply("b", _changes(spark, [("delete", None, None, None, "t", 0, 0), ("upsert", None, "s", "en", "t", 1, 1)]))
+    assert _state(store) == {("s", "en", "t"): (3, 11, 5)}
+
+
+def test_snapshots_do_not_change_totals(spark, monkeypatch):
+    monkeypatch.setattr(R, "COMPACT_EVERY", 2)
+    store, r = R.Store(spark), __import__("random").Random(2)
+    truth = {}
+    for k in range(7):
+        rows = [("delete" if r.random() < 0.3 else "upsert", i, f"s{i % 2}", "en", "t", r.randrange(50), 1) for i in r.sample(range(40), 12)]
+        store.apply(f"batch {k}", _changes(spark, rows))
+        for op, i, s, _, _, c, _ in rows:
+            truth.pop(i, None)
+            if op == "upsert":
+                truth[i] = (s, c)
+        want = {}
+        for s, c in truth.values():
+            n = want.get((s, "en", "t"), (0, 0, 0))
+            want[s, "en", "t"] = (n[0] + 1, n[1] + c, n[2] + 1)
+        assert _state(store) == want
+    assert store._names("snapshots") == ["00000002", "00000004", "00000006"] and len(store._read("rows", R._ROW)) == 2
+    assert store.current().count() == len(truth)
+
+
 def test_a_batch_that_broke_off_is_written_anew(spark):
     store = R.Store(spark)
     rows = _changes(spark, [("upsert", 1, "s", "en", "t", 5, 5)])
-    rows.withColumns({"batch": F.lit("a"), "seq": F.lit(0)}).limit(0).write.parquet(f"{store.path}/rows/a")  # left by the broken attempt
+    rows.drop("op").withColumns({"n_docs": F.lit(1), "bucket": F.lit(0)}).limit(1).write.partitionBy("bucket").parquet(f"{store.path}/rows/b-a")  # left by the broken attempt
     assert _state(store) == {} and store.apply("a", rows) and _state(store) == {("s", "en", "t"): (1, 5, 5)}
 
 
+def test_long_runs_of_blanks_are_counted(docs_frame):
+    rows = [(1, " " * 2_000_000 + "a"), (2, "x" + "\n" * 250_000), (3, "a" * 300_000), (4, " " * R.RUN + "a")]
+    got = {x["doc_id"]: x["n_tokens"] for x in R.counted(docs_frame(rows)).collect()}
+    assert got[1] == 2_000_000 and got[2] > 100_000 and got[3] > 10_000 and got[4] == R.RUN
+    assert R.stretches("a b" + " " * 10) == ["a b" + " " * 10] and "".join(R.stretches(rows[0][1])) == rows[0][1]
+
+
 def test_token_counts(docs_frame, make_text):
     import base64
 
