@@ -2,11 +2,14 @@
 
 The network is trained here, in numpy, from labelled spans: windows of a bounded sample of documents with their
 pattern matches as labels, and windows into which made-up identifiers in many spellings (and look-alikes that are
-none) are set.  At use, overlapping windows are decoded one by one and reconciled over the whole text: a span
-stays if at least half of the windows that contain it found it, better supported spans go first, and no added
-span may touch a pattern's.
-
-Every kind holds a digit or an at sign, so windows without either hold no span and are not decoded.
+none) are set: addresses with their signs in words or brackets, numbers with dots, blanks or slashes between groups.
+At use, overlapping windows are decoded one by one and reconciled over the whole text: a span stays if at least half
+of the windows that contain it found it, better supported spans go first, and no added span may touch a pattern's.
+The network decides where a span is and of which kind; what it finds is only counted for sense afterwards (letters,
+number of digits, parts up to 255, Luhn).
+
+Each kind holds a digit, an at sign, or the word dot or at before a name with a dot, so windows without any of these
+hold no span of these kinds and are not decoded: all windows would take some 1,500 CPU seconds a GB.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ from corvane.llm.common import small_batches
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 SPAN, STEP = 64, 32
-EMBED, HIDDEN = 16, 16
+EMBED, HIDDEN = 16, 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]")
+_DOTTED = re.compile(r"\.")
+_AT_BEFORE = re.compile(r"\b(?i:at)\b\W{0,3}[\w-]+[\s(\[{<]{0,2}$")
 _DIGITS = re.compile(r"[0-9]")
+_DIGIT_RUNS = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -62,7 +68,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Pattern matches, leftmost and not overlapping within a kind, by start and then kind."""
     found = [("email", *s) for s in _emails(text)]
-    if _ANCHOR.search(text):
+    if _SIGN.search(text):
         found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -90,11 +96,6 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _logsumexp(x, axis):
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 class Tagger:
     """Embedding, an LSTM in each direction, a linear layer and CRF transitions."""
 
@@ -113,79 +114,95 @@ class Tagger:
         self.first = np.zeros(TAGS, np.float32)
         self.first[2::2] = -2  # a window may begin within a span, but seldom does
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
+    def _both(self, name: str) -> np.ndarray:
+        return np.stack([self.p[f"{name}f"], self.p[f"{name}b"]])
+
+    def _lstm(self, x: np.ndarray, keep: bool):
+        """Outputs of the two directions side by side; both run in one loop, the backward one on the turned text."""
         n, steps, _ = x.shape
-        order = range(steps) if d == "f" else range(steps - 1, -1, -1)
-        gates = x @ self.p[f"X{d}"] + self.p[f"c{d}"]
-        h = c = np.zeros((n, HIDDEN), np.float32)
-        out, kept = np.empty((n, steps, HIDDEN), np.float32), []
-        for t in order:
-            g = gates[:, t] + h @ self.p[f"H{d}"]
-            s = _sigmoid(g[:, : 3 * HIDDEN])
-            i, f, o, u = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
+        gates = np.stack([x, x[:, ::-1]]) @ self._both("X")[:, None] + self._both("c")[:, None, None]
+        recur = self._both("H")
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        out, kept = np.empty((2, n, steps, HIDDEN), np.float32), []
+        for t in range(steps):
+            g = gates[:, :, t] + h @ recur
+            s = _sigmoid(g[..., : 3 * HIDDEN])
+            i, f, o, u = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :], np.tanh(g[..., 3 * HIDDEN :])
             before, c_before = h, c
             c = f * c + i * u
             tc = np.tanh(c)
             h = o * tc
-            out[:, t] = h
+            out[:, :, t] = h
             if keep:
-                kept.append((t, i, f, o, u, c_before, tc, before))
-        return out, kept
+                kept.append((i, f, o, u, c_before, tc, before))
+        return np.concatenate([out[0], out[1][:, ::-1]], axis=2), kept
 
     def emissions(self, ids: np.ndarray, keep: bool = False):
         x = self.p["E"][ids]
-        hf, kf = self._lstm(x, "f", keep)
-        hb, kb = self._lstm(x, "b", keep)
-        h = np.concatenate([hf, hb], axis=2)
-        return h @ self.p["O"] + self.p["o"], (x, h, kf, kb)
-
-    def _lstm_back(self, x, dh_all, kept, d, grads):
-        n = len(x)
-        dh = dc = np.zeros((n, HIDDEN), np.float32)
-        dg_all = np.empty((n, x.shape[1], 4 * HIDDEN), np.float32)
-        for t, i, f, o, u, c_before, tc, before in reversed(kept):
-            dh = dh + dh_all[:, t]
+        h, kept = self._lstm(x, keep)
+        return h @ self.p["O"] + self.p["o"], (x, h, kept)
+
+    def _lstm_back(self, x, dh_all, kept, grads):
+        n, steps, _ = x.shape
+        dh_all = np.stack([dh_all[:, :, :HIDDEN], dh_all[:, ::-1, HIDDEN:]])
+        back, recur = self._both("H").transpose(0, 2, 1), np.zeros((2, HIDDEN, 4 * HIDDEN), np.float32)
+        dh = dc = np.zeros((2, n, HIDDEN), np.float32)
+        dg_all = np.empty((2, n, steps, 4 * HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            i, f, o, u, c_before, tc, before = kept[t]
+            dh = dh + dh_all[:, :, t]
             dc = dc + dh * o * (1 - tc * tc)
-            dg = np.concatenate([dc * u * i * (1 - i), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=1)
-            dg_all[:, t] = dg
-            grads[f"H{d}"] += before.T @ dg
-            dh, dc = dg @ self.p[f"H{d}"].T, dc * f
-        flat = dg_all.reshape(-1, 4 * HIDDEN)
-        grads[f"X{d}"] += x.reshape(-1, EMBED).T @ flat
-        grads[f"c{d}"] += flat.sum(axis=0)
-        return (flat @ self.p[f"X{d}"].T).reshape(x.shape)
+            dg = np.concatenate([dc * u * i * (1 - i), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=2)
+            dg_all[:, :, t] = dg
+            recur += before.transpose(0, 2, 1) @ dg
+            dh, dc = dg @ back, dc * f
+        dx = np.zeros_like(x)
+        for k, d in enumerate("fb"):
+            turned = dg_all[k][:, :: 1 - 2 * k]
+            flat = turned.reshape(-1, 4 * HIDDEN)
+            grads[f"H{d}"] += recur[k]
+            grads[f"X{d}"] += x.reshape(-1, EMBED).T @ flat
+            grads[f"c{d}"] += flat.sum(axis=0)
+            dx += (flat @ self.p[f"X{d}"].T).reshape(x.shape)
+        return dx
 
     def loss(self, ids: np.ndarray, tags: np.ndarray):
         """Mean negative log-likelihood of the tags, and its gradients."""
-        e, (x, h, kf, kb) = self.emissions(ids, keep=True)
+        e, (x, h, kept) = self.emissions(ids, keep=True)
         n, steps, _ = e.shape
         trans, start = self.p["T"] + self.barred, self.p["S"] + self.first
-        rows = np.arange(n)
-        alpha = np.empty_like(e)
-        alpha[:, 0] = start + e[:, 0]
-        for t in range(1, steps):
-            alpha[:, t] = _logsumexp(alpha[:, t - 1][:, :, None] + trans, 1) + e[:, t]
-        total = _logsumexp(alpha[:, -1], 1)
-        beta = np.zeros_like(e)
-        dt = np.zeros_like(trans)
+        # forward and backward sums, scaled to one at each step
+        top = e.max(axis=2, keepdims=True)
+        way, near = np.exp(trans), np.exp(e - top)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((n, steps), np.float32)
+        for t in range(steps):
+            a = (alpha[:, t - 1] @ way if t else np.exp(start)) * near[:, t]
+            scale[:, t] = a.sum(axis=1)
+            alpha[:, t] = a / scale[:, t, None]
+        ahead = near * beta
         for t in range(steps - 1, 0, -1):
-            onward = trans + (e[:, t] + beta[:, t])[:, None, :]
-            dt += np.exp(alpha[:, t - 1][:, :, None] + onward - total[:, None, None]).sum(axis=0)
-            beta[:, t - 1] = _logsumexp(onward, 2)
-        de = np.exp(alpha + beta - total[:, None, None])
+            ahead[:, t] = near[:, t] * beta[:, t] / scale[:, t, None]
+            beta[:, t - 1] = ahead[:, t] @ way.T
+        total = np.log(scale).sum(axis=1) + top[:, :, 0].sum(axis=1)
+        dt = way * (alpha[:, :-1].reshape(-1, TAGS).T @ ahead[:, 1:].reshape(-1, TAGS))
+        de = alpha * beta
         gold = start[tags[:, 0]] + np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0].sum(axis=1) + trans[tags[:, :-1], tags[:, 1:]].sum(axis=1)
         np.subtract.at(dt, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
-        de[rows[:, None], np.arange(steps), tags] -= 1
+        de[np.arange(n)[:, None], np.arange(steps), tags] -= 1
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         grads["T"], grads["S"] = dt / n, de[:, 0].mean(axis=0)
         de /= n
         grads["O"], grads["o"] = h.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, TAGS), de.sum(axis=(0, 1))
         dh = de @ self.p["O"].T
-        dx = self._lstm_back(x, dh[:, :, :HIDDEN], kf, "f", grads) + self._lstm_back(x, dh[:, :, HIDDEN:], kb, "b", grads)
-        np.add.at(grads["E"], ids, dx)
+        dx = self._lstm_back(x, dh, kept, grads)
+        # rows of one character are summed at once
+        order = np.argsort(ids, axis=None, kind="stable")
+        sorted_ids = ids.ravel()[order]
+        first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+        grads["E"][sorted_ids[first]] = np.add.reduceat(dx.reshape(-1, EMBED)[order], first, axis=0)
         return float((total - gold).mean()), grads
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Tagger:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.03, seed: int = 5) -> Tagger:
         r, m, v, step = np.random.default_rng(seed), {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         total = epochs * -(-len(ids) // batch)
         for _ in range(epochs):
@@ -217,6 +234,20 @@ class Tagger:
         return np.stack(path[::-1], axis=1)
 
 
+def anchors(text: str) -> list[int]:
+    """Places of which a window must hold one to be decoded: digits, at signs, the word dot, and dots in a name after
+    the word at."""
+    found = [m.start() for m in _SIGN.finditer(text)]
+    found += [m.start() for m in _DOTTED.finditer(text) if _AT_BEFORE.search(text, max(0, m.start() - SPAN), m.start())]
+    low = text.lower()
+    at = low.find("dot") if len(low) == len(text) else -1
+    while at >= 0:
+        if not (low[at - 1 : at].isalnum() or low[at + 3 : at + 4].isalnum()):
+            found.append(at)
+        at = low.find("dot", at + 1)
+    return found
+
+
 def _tags(text: str, spans) -> np.ndarray:
     out = np.zeros(len(text), dtype=np.int64)
     for kind, a, b in spans:
@@ -227,39 +258,57 @@ def _tags(text: str, spans) -> np.ndarray:
     return out
 
 
+def _spelled(r: np.random.Generator, sign: str, words: list[str]) -> str:
+    """An at sign or dot: as itself, with blanks, in brackets, or as a word."""
+    form, how = r.choice(words) if r.random() < 0.7 else sign, r.random()
+    if how < 0.4:
+        return form if form == sign and how < 0.3 else f" {form} "
+    a, b = r.choice(["()", "[]", "{}", "<>"])
+    return f"{a}{form}{b}" if how < 0.7 else f" {a}{form}{b} "
+
+
 def _made_up(r: np.random.Generator) -> tuple[str | None, str]:
     """An identifier in one of its spellings, or a look-alike of kind None."""
     word = lambda a, b: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(a, b)))
     digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
-    kind = r.choice([*KINDS, "none"], p=[0.2, 0.15, 0.2, 0.25, 0.2])
+    kind = r.choice([*KINDS, "none"], p=[0.25, 0.15, 0.15, 0.2, 0.25])
     if kind == "email":
-        sep = r.choice(["@", " @ ", "(at)@", "@"])
-        dot = r.choice([".", ".", " . "])
-        return kind, f"{word(3, 9)}{r.choice(['', '.', '_'])}{digits(r.integers(0, 3))}{sep}{word(3, 9)}{digits(r.integers(0, 2))}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr', 'example.com'])}"
+        at, dot = _spelled(r, "@", ["at", "at", "AT"]), _spelled(r, ".", ["dot", "dot", "DOT"])
+        host = f"{word(3, 9)}{digits(r.integers(0, 2))}"
+        if r.random() < 0.3:
+            host += dot + word(3, 8)
+        name = word(3, 9) + (r.choice([".", "_", "-", dot]) + word(2, 8) if r.random() < 0.4 else "")
+        made = f"{name}{digits(r.integers(0, 3))}{at}{host}{dot}{r.choice(['com', 'org', 'net', word(2, 5)])}"
+        return kind, made.title() if r.random() < 0.05 else made
     if kind == "ip":
-        return kind, r.choice([".", ".", " . ", "[.]"]).join(str(x) for x in r.integers(1, 255, 4))
+        return kind, _spelled(r, ".", ["dot", "DOT"]).join(str(x) for x in r.integers(1, 255, 4))
     if kind == "card":
         body = r.choice(list("3456")) + digits(14)
         full = body + next(c for c in "0123456789" if luhn(body + c))
-        return kind, r.choice(["", "", " ", "-", "."]).join(full[i : i + 4] for i in range(0, 16, 4))
+        sep = r.choice(["", " ", "-", ".", "  ", " - ", "/", "_", " . ", ", "])
+        return kind, " ".join(full) if r.random() < 0.1 else ".".join(full) if r.random() < 0.05 else sep.join(full[i : i + 4] for i in range(0, 16, 4))
     if kind == "phone":
         a, b, c, d = str(r.integers(1, 99)), digits(3), digits(3), digits(4)
-        return kind, r.choice([f"+{a} ({b}) {c}-{d}", f"+{a} {b} {c} {d}", f"({b}) {c}-{d}", f"{b}-{c}-{d}", f"00{a} {b} {c} {d}", f"+{a}-{b}-{c}-{d}", f"+{a}{b}{c}{d}"])
+        sep = r.choice([" ", "-", ".", "  ", "/", " - "])
+        made = r.choice([f"+{a} ({b}) {c}-{d}", sep.join([f"+{a}", b, c, d]), f"({b}) {c}{sep}{d}", sep.join([b, c, d]), sep.join([f"00{a}", b, c, d]), f"+{a}{b}{c}{d}", f"0{b}{sep}{c}{d}", f"({b}){c}-{d}", " ".join(f"{b}{c}{d}")])
+        return kind, made
     return None, r.choice([
-        f"{r.integers(1, 9)}.{r.integers(0, 9)}", f"version {r.integers(1, 9)}", str(r.integers(1900, 2030)), f"AKIA{word(16, 17).upper()}", f'token = "{hashlib.sha1(word(4, 5).encode()).hexdigest()}"',
-        f"password={hashlib.md5(word(4, 5).encode()).hexdigest()[:18]}", f"{r.integers(1, 13)}/{r.integers(1, 30)}/{r.integers(1990, 2030)}", f"{digits(r.integers(1, 7))}", f"${digits(3)}.{digits(2)}", f"{r.integers(0, 24)}:{digits(2)}", f"@{word(3, 9)}", f"{digits(3)},{digits(3)}",
+        f"{r.integers(1, 9)}.{r.integers(0, 9)}", f"{r.integers(1, 9)}.{r.integers(0, 20)}.{r.integers(0, 20)}", f"version {r.integers(1, 9)}", str(r.integers(1900, 2030)), f"AKIA{word(16, 17).upper()}", f'token = "{hashlib.sha1(word(4, 5).encode()).hexdigest()}"',
+        f"password={hashlib.md5(word(4, 5).encode()).hexdigest()[:18]}", f"{r.integers(1, 13)}/{r.integers(1, 30)}/{r.integers(1990, 2030)}", f"{r.integers(1, 31)}.{r.integers(1, 13)}.{r.integers(1990, 2030)}", f"{digits(r.integers(1, 7))}", f"${digits(3)}.{digits(2)}", f"{r.integers(0, 24)}:{digits(2)}",
+        f"@{word(3, 9)}", f"{digits(3)},{digits(3)}", f"a dot {word(3, 8)}", f"the {word(3, 8)} dot", f"dot {word(2, 6)} dot {word(2, 6)}", f"at {word(3, 9)}.{word(2, 6)}", f"look at {word(3, 8)}", f"at {digits(2)}", f"{word(3, 8)} at the {word(3, 8)}", f"{r.integers(1900, 2000)}-{r.integers(2000, 2030)}",
+        f"{digits(2)} {digits(2)} {digits(1)}", f"{word(4, 9)}{digits(r.integers(1, 4))}", f"https://{word(4, 8)}.{word(2, 4)}/{digits(3)}", f"{digits(r.integers(17, 30))}", hashlib.sha256(word(4, 5).encode()).hexdigest(), f"{r.integers(1, 9)}, {r.integers(1, 9)}, {r.integers(1, 9)}, {r.integers(1, 9)}",
     ])
 
 
-def training_windows(texts: list[str], size: int = 2000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], size: int = 4000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows of codes and tags: made-up identifiers set into the texts, and windows around the texts' own matches."""
     r = np.random.default_rng(seed)
-    plain = [t for t in texts if t and not _ANCHOR.search(t)] or ["so it was and so it is in the end of the day"]
+    plain = [t for t in texts if t and not anchors(t)] or ["so it was and so it is in the end of the day"]
     windows = []
     for text in texts:
         spans = base_spans(text or "")
-        for m in list(_ANCHOR.finditer(text or ""))[:: max(1, len(text or "") // 2000)][:3]:
-            a = max(0, m.start() - int(r.integers(5, SPAN - 5)))
+        for at in anchors(text or "")[:: max(1, len(text or "") // 2000)][:3]:
+            a = max(0, at - int(r.integers(5, SPAN - 5)))
             windows.append((codes(text[a : a + SPAN]), _tags(text, spans)[a : a + SPAN]))
     windows = windows[: size // 3]
     while len(windows) < size:
@@ -281,32 +330,37 @@ def training_windows(texts: list[str], size: int = 2000, seed: int = 3) -> tuple
     return ids, tags
 
 
-def train(docs: DataFrame, n_texts: int = 1000, size: int = 2000) -> Tagger:
+def train(docs: DataFrame, n_texts: int = 1000, size: int = 4000) -> Tagger:
     """Fit on windows of at most ``n_texts`` documents, picked by hash of the id; of an id's rows the smallest text."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(n_texts)
     rows = docs.select("doc_id", F.col("text").alias("__t")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("__t").alias("__t")).orderBy("doc_id").collect()
     return Tagger().fit(*training_windows([r["__t"] for r in rows if r["__t"] is not None], size))
 
 
-_SHAPE = {
-    "email": re.compile(r"(?=[^@]*[A-Za-z])[^\s@]+\s?(?:\(at\))?@\s?[^\s@]+(?:\s?\.\s?[^\s@]+)*"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\s?\[?\.\]?\s?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[ .-]{0,3}[0-9]){11,18}"),
-    "phone": re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,14}"),
-}
+_AT = re.compile(r"@|\b(?i:at)\b")
+_DOT = re.compile(r"\.|\b(?i:dot)\b")
 
 
 def plausible(kind: str, found: str) -> bool:
-    """Whether a decoded span has the make of its kind; a card number must pass Luhn."""
-    return bool(_SHAPE[kind].fullmatch(found)) and (kind != "card" or luhn("".join(_DIGITS.findall(found))))
+    """Whether a decoded span makes sense as its kind, however it is spelled."""
+    groups = _DIGIT_RUNS.findall(found)
+    n = sum(map(len, groups))
+    if kind == "email":
+        at = _AT.search(found, 1)
+        return bool(at and _DOT.search(found, at.end() + 1)) and any(c.isalpha() for c in found[: at.start()])
+    if kind == "ip":
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    if any(c.isalpha() for c in found):
+        return False
+    return 12 <= n <= 19 and luhn("".join(groups)) if kind == "card" else 7 <= n <= 15
 
 
 def _window_starts(text: str) -> list[int]:
     """Starts, on a grid, of the windows that hold an anchor: each anchor lies in two (at the text's start, one)."""
-    return sorted({s for m in _ANCHOR.finditer(text) for s in (m.start() // STEP * STEP, m.start() // STEP * STEP - STEP) if s >= 0})
+    return sorted({s for at in anchors(text) for s in (at // STEP * STEP, at // STEP * STEP - STEP) if s >= 0})
 
 
-def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger, block: int = 512) -> list[list[tuple[str, int, int]]]:
+def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger, block: int = 256) -> list[list[tuple[str, int, int]]]:
     """Spans beyond the patterns', for each text."""
     where, kept = [], []
     votes: list[dict[tuple[str, int, int], int]] = [{} for _ in texts]
@@ -383,7 +437,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, column: str = "found", r
     and (if asked for) the text without them.
 
     A null text counts as empty, with empty lists and the digest of the empty string, and stays null when redacted;
-    repeated rows get a result each.
+    very long texts are read whole, window by window; repeated rows get a result each; an input column of the name of
+    ``column`` is replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
