@@ -98,3 +98,25 @@ def canonicalise_calls(calls: DataFrame, ingested_at: Column) -> DataFrame:
     party = F.coalesce(F.nullif(F.col("msisdn"), F.lit("")), F.nullif(F.col("call_org_num"), F.lit("")))
     payload = F.to_json(F.struct("msisdn", "call_dialed_num", "call_type", "direction", "duration_seconds", "cell_site_id"))
     return calls.select(F.lit("cdr").alias("record_type"), "row_number", F.coalesce("call_start_ts", ingested_at).alias("timestamp"), party.alias("primary_entity"), F.col("call_dialed_num").alias("secondary_entity"), "location", payload.alias("raw_payload"))
+
+
+_OBJECT = "map<string,variant>"
+
+
+def merged_json(old: Column, new: Column) -> Column:
+    """A JSON object with the members of another over its own, member by member at the top; what is no object is empty."""
+    mine, more = (F.coalesce(F.from_json(c, _OBJECT), F.from_json(F.lit("{}"), _OBJECT)) for c in (old, new))
+    kept = F.map_filter(mine, lambda k, _: ~F.array_contains(F.map_keys(more), k))
+    return F.to_json(F.map_concat(kept, more), {"ignoreNullFields": "false"})
+
+
+def appended_json(log: Column, entry: Column) -> Column:
+    """A JSON array with one more entry (JSON text); what is no array counts as empty."""
+    before = F.coalesce(F.from_json(log, "array<variant>"), F.from_json(F.lit("[]"), "array<variant>"))
+    return F.to_json(F.concat(before, F.array(F.parse_json(entry))))
+
+
+def row_counts(answer) -> dict[str, int]:
+    """The rows of an answer, by the name of its frame."""
+    frames = answer if isinstance(answer, dict) else {"rows": answer}
+    return {name: df.count() for name, df in frames.items()}

@@ -5,13 +5,17 @@ Files are read by Spark's own sources.  Row numbers count within a file and begi
 
 from __future__ import annotations
 
+import csv
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import normalise_name
+from corvane.operators.ingest import parse_time
 
 FIELDS = "map<string,string>"
 
@@ -49,32 +53,46 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     number = F.col("__at") - F.col("__first") + F.col("__before") + 1
-    return lines.join(splits, ["__file", "__start"]).select("value", "source_file", number.cast("int").alias("line_number"))
+    return lines.join(splits, ["__file", "__start"]).select("value", "source_file", "__file", number.cast("int").alias("line_number"))
+
+
+def cells(line: Column, sep: str) -> Column:
+    """A line's fields: those in quotes may hold the separator, and a doubled quote is one.
+
+    Text within quotes is every second part between quotes, so its separators are set aside before the line is cut.
+    """
+    aside = "\x1f"
+    parts = F.transform(F.split(line, '"'), lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), F.lit(aside))).otherwise(p))
+    cut = F.split(F.array_join(parts, '"'), re.escape(sep))
+    return F.transform(cut, lambda c: F.replace(F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')), F.lit(aside), F.lit(sep)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _names(headers: pd.Series) -> pd.Series:
+    return headers.map(lambda h: header_names([x or "" for x in h]))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """CSV or TSV with ragged rows: missing fields are empty, surplus ones are extra_1, extra_2 and so on.
 
-    A quoted field may hold the separator but no line end.
+    Each file has a header of its own.  A quoted field may hold the separator but no line end.  A surplus field beside a
+    header of its name gets one more number.
     """
-    first = spark.read.text(path).first()
-    if first is None:
-        return spark.createDataFrame([], f"source_file string, row_number int, fields {FIELDS}, _error string")
-    between = rf'{re.escape(sep)}(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    cells = F.transform(F.split(F.regexp_replace("value", "^﻿", ""), rf'{re.escape(sep)}(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))
-    names = header_names([re.sub('^"|"$', "", h) for h in re.split(between, first["value"])])
-    known = F.array(*map(F.lit, names))
-    rows = _lines(spark, path).where("line_number > 1 AND trim(value) <> ''").withColumn("c", cells)
-    extra = F.when(F.size("c") > len(names), F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - len(names), F.lit(1))), lambda i: F.concat(F.lit("extra_"), i))).otherwise(F.array().cast("array<string>"))
-    keys = F.concat(known, extra)
+    lines = _lines(spark, path).withColumn("c", cells(F.regexp_replace("value", "^\ufeff", ""), sep))
+    headers = lines.where("line_number = 1").select("__file", _names("c").alias("__names"))
+    rows = lines.where("line_number > 1 AND trim(value) <> ''").join(headers, "__file")
+    surplus = F.size("c") - F.size("__names")
+    extra = F.when(surplus > 0, F.transform(F.sequence(F.lit(1), F.greatest(surplus, F.lit(1))), lambda i: F.concat(F.lit("extra_"), i))).otherwise(F.array().cast("array<string>"))
+    extra = F.transform(extra, lambda k: F.when(F.array_contains("__names", k), F.concat(k, F.lit("_2"))).otherwise(k))
+    keys = F.concat("__names", extra)
     values = F.transform(keys, lambda _, i: F.coalesce(F.get("c", i), F.lit("")))
     return rows.select("source_file", F.col("line_number").alias("row_number"), F.map_from_arrays(keys, values).alias("fields"), F.lit(None).cast("string").alias("_error"))
 
 
-def _flat(value: Column) -> Column:
-    """A JSON object's members as a text map, nested objects joined by dots (three levels)."""
+def _flat(value: Column, levels: int = 6) -> Column:
+    """A JSON object's members as a text map, nested objects joined by dots, to that many levels."""
     out = F.from_json(value, FIELDS)
-    for _ in range(2):
+    for _ in range(levels - 1):
         parts = F.transform(F.map_entries(out), lambda e: F.when(e["value"].rlike(r"^\s*\{"), F.map_entries(F.transform_keys(F.from_json(e["value"], FIELDS), lambda k, _: F.concat_ws(".", e["key"], k)))).otherwise(F.array(e)))
         out = F.map_from_entries(F.flatten(parts))
     return out
@@ -97,13 +115,50 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``key=value`` or ``key:value`` tokens; a line with fewer than two is kept whole."""
+    """``key=value`` or ``key:value`` tokens; a line with fewer than two is kept whole.  A time that begins the line, of one
+    word or two, is its timestamp where no token is."""
     token = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t.rlike(r"^[^=:]+[=:].+$"))
     pair = lambda t: F.struct(normalise_name(F.regexp_extract(t, r"^([^=:]+)[=:]", 1)).alias("key"), F.regexp_replace(F.regexp_extract(t, r"^[^=:]+[=:](.*)$", 1), r"^[\"'\[]+|[\"'\],;]+$", "").alias("value"))
     pairs = F.transform(token, pair)
     unique = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["key"] == p["key"]) & (p["key"] != ""))
     rows = _lines(spark, path).where("trim(value) <> ''")
-    return rows.select("source_file", (F.col("line_number") + 1).alias("row_number"), F.when(F.size(unique) >= 2, F.map_from_entries(unique)).otherwise(F.create_map(F.lit("line"), F.col("value"))).alias("fields"), F.lit(None).cast("string").alias("_error"))
+    words = F.split(F.trim("value"), r"\s+")
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    at = F.coalesce(parse_time(first, "month"), parse_time(F.concat_ws(" ", first, second), "month"))
+    stamp = F.when(at.isNotNull(), F.create_map(F.lit("timestamp"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    found = F.when(F.size(unique) >= 2, F.map_from_entries(unique)).otherwise(F.create_map(F.lit("line"), F.col("value")))
+    fields = F.when(at.isNotNull() & ~F.array_contains(F.map_keys(found), "timestamp"), F.map_concat(found, stamp)).otherwise(found)
+    return rows.select("source_file", (F.col("line_number") + 1).alias("row_number"), fields.alias("fields"), F.lit(None).cast("string").alias("_error"))
+
+
+def sniffed_headers(spark: SparkSession, path: str, kind: str | None = None) -> list[str]:
+    """The field names that a file's first line with text shows: of CSV and TSV the cells as they are, of JSON the first
+    object's keys, of logs none."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    if first is None:
+        return []
+    line = first["value"].lstrip("\ufeff").strip()
+    kind = kind or sniff(line)
+    if kind in ("csv", "tsv"):
+        return [c.strip() for c in next(csv.reader([line], delimiter="\t" if kind == "tsv" else ","))]
+    if kind in ("json", "jsonl"):
+        try:
+            value = json.loads(line)
+        except ValueError as e:
+            raise ValueError("the first line is no JSON") from e
+        while isinstance(value, list):
+            value = value[0] if value else {}
+        return list(value) if isinstance(value, dict) else []
+    return []
+
+
+def sample_profile(rows: DataFrame, target: str, location: str, call_type: str, time: str) -> DataFrame:
+    """One row that checks a sample of calls: rows, distinct targets and locations, first and last time, and calls by type."""
+    field = lambda name: F.coalesce(F.trim(F.try_element_at("fields", F.lit(name))), F.lit(""))
+    cut = rows.select(field(target).alias("t"), field(location).alias("l"), F.upper(field(call_type)).alias("c"), parse_time(field(time), "day").alias("at"))
+    types = cut.groupBy("c").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", "n")))).alias("call_types"))
+    totals = cut.agg(F.count("*").alias("total_rows"), F.count_distinct("t").alias("unique_targets"), F.count_distinct("l").alias("unique_locations"), F.min("at").alias("first_time"), F.max("at").alias("last_time"))
+    return totals.join(types)  # tables of one row
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -112,13 +167,12 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
         kind = sniff(first["value"]) if first else "log"
     if kind == "parquet":
         df = spark.read.parquet(path)
-        return df.select(F.col("_metadata.file_name").alias("source_file"), (F.monotonically_increasing_id() + 2).alias("row_number"), F.from_json(F.to_json(F.struct(*df.columns)), FIELDS).alias("fields"), F.lit(None).cast("string").alias("_error"))
+        return df.select(F.col("_metadata.file_name").alias("source_file"), (F.col("_metadata.row_index") + 2).cast("int").alias("row_number"), F.from_json(F.to_json(F.struct(*df.columns)), FIELDS).alias("fields"), F.lit(None).cast("string").alias("_error"))
     return {"csv": read_delimited, "tsv": lambda s, p: read_delimited(s, p, "\t"), "json": read_json, "jsonl": read_json_lines, "log": read_log}[kind](spark, path)
 
 
 def infer_types(rows: DataFrame) -> DataFrame:
     """(field, type, non_empty, least, most): empty, string, number, bool, time, or mixed where two kinds meet."""
-    from corvane.operators.ingest import parse_time
     from corvane.operators.records import as_number
 
     cells = rows.where("_error IS NULL").select(F.explode("fields").alias("field", "value"))

@@ -1,3 +1,5 @@
+import json
+
 from corvane.operators import ingest as I
 from corvane.sources import readers as R
 
@@ -71,3 +73,49 @@ def test_normalise_and_quarantine(spark):
     row = good.first()
     assert good.count() == 1 and row["duration_seconds"] == 230 and row["msisdn"] == "923001" and row["direction"] == "IN"
     assert {x["row_number"]: x["_error"] for x in bad.collect()} == {3: "missing_start", 4: "bad_number"}
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,y\n1,2\n")
+    write(tmp_path, "b.csv", "y,x\n3,4\n")
+    got = R.read_delimited(spark, f"file://{tmp_path}/*.csv").collect()
+    assert {x["source_file"]: dict(x["fields"]) for x in got} == {"a.csv": {"x": "1", "y": "2"}, "b.csv": {"y": "3", "x": "4"}}
+
+
+def test_quotes_and_surplus_fields(spark, tmp_path):
+    wide = ",".join(f'"c{i}, ""x"""' for i in range(20000))
+    got = rows(R.read_delimited(spark, write(tmp_path, "a.csv", f'a,extra_1\n"1, 2","say ""hi"""\n1,2,3\n{wide}\n"open, 2,3\n')))
+    assert got[0][1] == {"a": "1, 2", "extra_1": 'say "hi"'} and got[1][1] == {"a": "1", "extra_1": "2", "extra_1_2": "3"}
+    assert len(got[2][1]) == 20000 and got[2][1]["extra_19998"] == 'c19999, "x"' and got[3][1]["a"] == "open, 2,3"
+
+
+def test_leading_times_of_log_lines(spark, tmp_path):
+    got = rows(R.read_log(spark, write(tmp_path, "a.log", "2024-01-02 03:04:05 a=1 b=2\n2024-01-02T03:04:05Z nothing here\nx=1 y=2\n2024-01-02 timestamp=7 k=8\n")))
+    # the first word decides if it is a time by itself
+    assert [x[1].get("timestamp") for x in got] == ["2024-01-02T00:00:00Z", "2024-01-02T03:04:05Z", None, "7"]
+
+
+def test_parquet_row_numbers_are_those_of_the_file(spark, tmp_path):
+    for k in range(2):
+        spark.range(k * 10, k * 10 + 10, numPartitions=1).write.mode("append").parquet(f"file://{tmp_path}/p")
+    got = R.read_any(spark, f"file://{tmp_path}/p", "parquet").collect()
+    assert sorted((x["row_number"], x["fields"]["id"]) for x in got) == sorted((i % 10 + 2, str(i)) for i in range(20))
+
+
+def test_sniffed_headers(spark, tmp_path):
+    assert R.sniffed_headers(spark, write(tmp_path, "a.csv", '\n a ,"b, c"\n1,2\n')) == ["a", "b, c"]
+    assert R.sniffed_headers(spark, write(tmp_path, "a.jsonl", '{"k": 1, "m": 2}\n')) == ["k", "m"] and R.sniffed_headers(spark, write(tmp_path, "b.json", '[{"z": 1}]')) == ["z"]
+    assert R.sniffed_headers(spark, write(tmp_path, "a.log", "x y\n")) == [] and R.sniffed_headers(spark, write(tmp_path, "e.csv", "")) == []
+
+
+def test_sample_profile(spark, tmp_path):
+    text = "CALL_DIALED_NUM,location,CALL_TYPE,CALL_START_DT_TM\n1,A,sms,01/02/2024 10:00\n2,A,SMS,03/02/2024 10:00\n1,B,voice,x\n"
+    x = R.sample_profile(R.read_delimited(spark, write(tmp_path, "a.csv", text)), "call_dialed_num", "location", "call_type", "call_start_dt_tm").first()
+    assert (x["total_rows"], x["unique_targets"], x["unique_locations"], x["call_types"]) == (3, 2, 2, {"SMS": 2, "VOICE": 1}) and str(x["last_time"]) == "2024-02-03 10:00:00"
+
+
+def test_json_merge_and_append(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": {"c": 1}}', '{"b": {"d": 2}, "e": null}', "[1]", '{"x": 1}'), (None, '{"a": 1}', None, '"t"'), ("[1]", None, "{}", "2")], "a string, b string, l string, e string")
+    got = [tuple(map(json.loads, x)) for x in df.select(I.merged_json(df["a"], df["b"]), I.appended_json(df["l"], df["e"])).collect()]
+    assert got == [({"a": 1, "b": {"d": 2}, "e": None}, [1, {"x": 1}]), ({"a": 1}, ["t"]), ({}, [2])]
+    assert I.row_counts(df) == {"rows": 3} and I.row_counts({"a": df, "b": df.limit(0)}) == {"a": 3, "b": 0}

@@ -41,3 +41,30 @@ def test_ingest_adds_each_row_once(spark, data, tmp_path):
 def test_change_log(spark):
     df = spark.createDataFrame([("a", 1, "set", "x"), ("a", 2, "set", "y"), ("b", 1, "set", "z"), ("b", 3, "delete", None)], "key string, seq int, op string, value string")
     assert rows(S.latest_state(df, "key", "seq")) == [("a", "y")]
+
+
+def test_a_failing_sink_keeps_its_batch_aside(spark, tmp_path):
+    from corvane.streaming import windows as W
+
+    spark.range(5).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in")
+    seen = []
+
+    def write(rows, batch_id):
+        seen.append(rows.count())
+        if len(seen) != 2:
+            raise OSError("down")
+
+    W.micro_batched(stream, write, f"file://{tmp_path}/rejected", f"file://{tmp_path}/c1").awaitTermination()
+    assert seen == [5, 5] and not (tmp_path / "rejected").exists()
+    seen[:] = [0, 0]
+    W.micro_batched(stream, write, f"file://{tmp_path}/rejected", f"file://{tmp_path}/c2").awaitTermination()
+    assert len(seen) == 5 and spark.read.parquet(f"file://{tmp_path}/rejected").count() == 5
+
+
+def test_replay_tells_of_lost_events(spark):
+    from corvane.streaming import windows as W
+
+    log = spark.createDataFrame([("s", k, f"e{k}") for k in range(5, 10)] + [("t", 1, "x")], "stream string, seq long, payload string")
+    got = lambda *a: [(x["seq"], x["lost"]) for x in W.replayed(log, *a).collect()]
+    assert got("s", 7) == [(8, False), (9, False)] and got("s", 2, 2) == [(5, True), (6, True)] and got("s", 4, 1) == [(5, False)] and got("t", 1) == []
