@@ -53,9 +53,10 @@ def hash_prefix(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 8)
 
 
-def find_all(c: Column, pattern: str, most: int | None = None) -> Column:
-    """All matches in order, or the first ``most``."""
+def find_all(c: Column, pattern: str, most: int | None = None, least_bytes: int = 0) -> Column:
+    """All matches of at least so many bytes in order, or the first ``most``."""
     found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    found = F.filter(found, lambda m: F.octet_length(m) >= least_bytes) if least_bytes else found
     return found if most is None else F.slice(found, 1, most)
 
 
@@ -124,6 +125,28 @@ def merged_spans(spans: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(kind), step)
 
 
+def redact_spans(c: Column, spans: Column, source: str = "pattern") -> Column:
+    """The text with its ``merged_spans`` (start from 1, end past the last character) replaced at once by their groups'
+    marks; spans that are allowed stay."""
+    marked = F.filter(merged_spans(spans), lambda s: s["action"] != "allow")
+
+    def step(done: Column, s: Column) -> Column:
+        mark = F.concat(F.lit(f"[REDACTED:{source}:"), s["grp"], F.lit("]"))
+        return F.struct(F.concat(done["text"], F.substr(c, done["at"].cast("int"), (s["start"] - done["at"]).cast("int")), mark).alias("text"), s["end"].alias("at"))
+
+    done = F.aggregate(marked, F.struct(F.lit("").alias("text"), F.lit(1).cast("long").alias("at")), step)
+    return F.when(F.size(marked) > 0, F.concat(done["text"], F.substr(c, done["at"].cast("int"), F.char_length(c)))).otherwise(c)
+
+
+def redact_merged(c: Column, groups: dict[str, tuple[str, str]], source: str = "pattern") -> Column:
+    """``redact_spans`` of all groups' matches: groups gives each one's pattern and action."""
+
+    def spans(group: str, pattern: str, action: str) -> Column:
+        return F.transform(find_places(c, pattern), lambda m: F.struct(m["start"], m["end"], F.lit(action).alias("action"), F.lit(group).alias("grp")))
+
+    return redact_spans(c, F.concat(*[spans(g, p, a) for g, (p, a) in groups.items()]), source)
+
+
 def kept_entities(entities: Column, min_score: float, actions: dict[str, str], default: str | None = None) -> Column:
     """Detected entities (start, end, grp, score) as spans for ``merged_spans``: those of the least score whose group
     has an action (or the default), with sound offsets."""

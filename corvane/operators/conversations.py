@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trimmed_turns(turns: DataFrame, budget: int, chars_per_token: int = 4) -> DataFrame:
-    """The newest turns of each conversation that fit a token budget together; the newest always stays."""
+def trimmed_turns(turns: DataFrame, budget: int, chars_per_token: int = 4, turn_tokens: int | None = None) -> DataFrame:
+    """The newest turns of each conversation that fit a token budget together; the newest always stays.  With
+    ``turn_tokens`` each turn's text is cut to as many first."""
+    if turn_tokens:
+        turns = turns.withColumn("text", F.substring("text", 1, turn_tokens * chars_per_token))
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     tokens = F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / chars_per_token)
     used = turns.withColumn("tokens", tokens).withColumn("used", F.sum("tokens").over(w)).withColumn("age", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))

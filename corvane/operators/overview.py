@@ -119,6 +119,12 @@ def ranked(results: DataFrame, score: str, top_n: int, tie: str) -> DataFrame:
     return results.orderBy(F.desc(score), tie).limit(max(1, top_n))
 
 
+def reranked(items: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:
+    """Items by the scores(index, score) that a reranker gave them by their place ``index``; those without one are left out,
+    and a place that is none of an item's is passed over."""
+    return ranked(items.join(scores.groupBy("index").agg(F.max("score").alias("score")), "index"), "score", top_n, "index")
+
+
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key, as for one citation of each source."""
     w = Window.partitionBy(key).orderBy(order)

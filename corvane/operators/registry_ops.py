@@ -80,3 +80,15 @@ def newest(log: DataFrame, order: str, limit: int, **equal: str) -> DataFrame:
 
 def retained(log: DataFrame, time: str, as_of: str, days: int) -> DataFrame:
     return log.where(F.col(time) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
+
+
+def reaped(jobs: DataFrame, as_of: str, seconds: int, running: str = "processing", start: str = "started_at") -> DataFrame:
+    """Jobs with those that have run for longer than so many seconds marked as failed; one without a start is left."""
+    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col(start).cast("timestamp"))
+    return jobs.withColumn("status", F.when((F.col("status") == running) & F.coalesce(age > seconds, F.lit(False)), "failed").otherwise(F.col("status")))
+
+
+def catalogue_order(key: str) -> list:
+    """The total order of a catalogue page: by name, license or status (installed first)."""
+    orders = {"name": [F.lower("name")], "license": [F.lower("license"), F.lower("name")], "installed": [F.col("installed").desc(), F.lower("name")]}
+    return [*orders.get(key, orders["name"]), F.col("name")]

@@ -33,6 +33,10 @@ def by_source(usage: DataFrame, include_legacy: bool = True) -> DataFrame:
     return (usage if include_legacy else usage.where("source <> 'legacy'")).groupBy("source").agg(*_sums())
 
 
+def by_user_source(usage: DataFrame) -> DataFrame:
+    return usage.groupBy("user_id", "source").agg(*_sums())
+
+
 def top_keys(usage: DataFrame, limit: int = MAX_KEYS) -> DataFrame:
     """The keys with most tokens, with their last use and whether keys were left out."""
     keys = usage.where("api_key_id IS NOT NULL").groupBy("api_key_id").agg(*_sums(), F.max("created_at").alias("last_used"))

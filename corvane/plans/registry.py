@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import call_queries, other_queries, record_queries
+from corvane.plans import call_queries, ingest_queries, other_queries, record_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (call_queries, record_queries, other_queries):
+for _module in (call_queries, record_queries, ingest_queries, other_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -34,8 +34,11 @@ class BatchStore:
         return out.where(F.col("batch_id").isin(batch_ids)) if batch_ids else out
 
     def batches(self) -> DataFrame:
-        """Each batch with its rows, by id."""
-        return self.read().groupBy("collection", "record_type", "batch_id").agg(F.count("*").alias("rows")).orderBy("collection", "record_type", "batch_id")
+        """Each batch with its rows, bytes and the time of its last file, the newest first."""
+        files = self.read().select("collection", "record_type", "batch_id", "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        by_file = files.groupBy("collection", "record_type", "batch_id", "file_path").agg(F.count("*").alias("n"), F.max("file_size").alias("size"), F.max("file_modification_time").alias("at"))
+        out = by_file.groupBy("collection", "record_type", "batch_id").agg(F.sum("n").alias("rows"), F.sum("size").alias("bytes"), F.max("at").alias("written_at"))
+        return out.orderBy(F.desc("written_at"), "collection", "record_type", "batch_id")
 
     def delete(self, collection: str, record_type: str, batch_id: str) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/collection={self.checked(collection)}/record_type={self.checked(record_type)}/batch_id={self.checked(batch_id)}")

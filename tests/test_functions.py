@@ -153,3 +153,30 @@ def test_span_query_places_every_match(spark, tmp_path):
             want[i] = [x[:4] for x in out]
     got = {x["doc_id"]: [tuple(s.values()) for s in json.loads(x["spans"])] for x in registry.QUERIES["span_overlap_merge"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_merged_redaction(spark):
+    df = spark.createDataFrame([("mail a@b.com, a@10.0.0.1x and 10.0.0.1 a@b.com",), ("none",), (None,), ("10.0.0.1",)], "t string")
+    groups = {"EMAIL": (r"[a-z]+@[a-z0-9.]+", "mask"), "IP": (r"[0-9]+(?:\.[0-9]+){3}", "block"), "NONE": ("none", "allow")}
+    got = [x[0] for x in df.select(X.redact_merged(df["t"], groups)).collect()]
+    assert got == ["mail [REDACTED:pattern:EMAIL], [REDACTED:pattern:IP] and [REDACTED:pattern:IP] [REDACTED:pattern:EMAIL]", "none", None, "[REDACTED:pattern:IP]"]
+
+
+def test_small_operators(spark, tmp_path):
+    from corvane.operators import conversations as C
+    from corvane.operators import overview as O
+    from corvane.operators import registry_ops as N
+    from corvane.sources.store import BatchStore
+
+    turns = spark.createDataFrame([(1, 1, "a", "x" * 400), (1, 2, "b", "y" * 400)], "conv_id int, turn int, role string, text string")
+    assert C.trimmed_turns(turns, 20).count() == 1 and C.trimmed_turns(turns, 20, turn_tokens=10).count() == 2
+    items, scores = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "index int, t string"), spark.createDataFrame([(2, 0.9), (0, 0.1), (7, 1.0)], "index int, score double")
+    assert [x["t"] for x in O.reranked(items, scores, 5).collect()] == ["c", "a"]
+    shelf = spark.createDataFrame([("B", "mit", False), ("a", "mit", True), ("c", "apache", True)], "name string, license string, installed boolean")
+    assert ["".join(x["name"] for x in N.page(shelf, N.catalogue_order(k), 1, 5).collect()) for k in ("name", "license", "installed", "?")] == ["aBc", "caB", "acB", "aBc"]
+    store = BatchStore(spark, f"file://{tmp_path}/s")
+    for k in range(2):
+        store.write(f"b{k}", "c", "cdr", spark.range(k + 1))
+    got = store.batches().collect()
+    assert [x["batch_id"] for x in got] == ["b1", "b0"] and [x["rows"] for x in got] == [2, 1] and got[0]["bytes"] > 0
+    assert [x for x in spark.createDataFrame([("a1234 a1",)], "t string").select(X.find_all(F.col("t"), "[a-z0-9]+", least_bytes=3)).first()[0]] == ["a1234"]
