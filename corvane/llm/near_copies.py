@@ -21,6 +21,7 @@ pairs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -139,21 +140,30 @@ def _similar(n, m) -> F.Column:
     return F.least(n, m) * PARTS[1] >= F.greatest(n, m) * PARTS[0]
 
 
-def within_ring(a, b) -> F.Column:
-    """The pigeonring filter and the full check on two fingerprints (arrays of words)."""
-    words = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-    parts = F.flatten(F.transform(words, lambda x: F.array(*[F.bit_count(F.shiftrightunsigned(x, k * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))) for k in range(64 // _WIDTH)])))
-    over = F.transform(F.concat(parts, F.slice(parts, 1, CHAIN)), lambda d: d * _SEGMENTS - MAX_BITS)  # what a segment takes beyond its share
-    sums = F.aggregate(over, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    chain = F.exists(F.sequence(F.lit(1), F.lit(_SEGMENTS)), lambda i: F.array_max(F.slice(sums, i + 1, CHAIN)) <= F.element_at(sums, i))
-    whole = F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x)) <= MAX_BITS
-    return chain & whole
+def near_ring(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose fingerprints, two columns of arrays of words, pass the pigeonring filter and then the full check.
+
+    Column by column in place of functions on arrays, so that all of it is compiled: the words' differences, the
+    segments' counts, running sums of what segments take beyond their share (once round the ring and a chain more), and
+    a start from which no chain takes more than falls to it."""
+    own = pairs.columns
+    words = {f"__w{i}": F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(LANES)}
+    part = lambda i: F.bit_count(F.shiftrightunsigned(f"__w{i // (64 // _WIDTH)}", i % (64 // _WIDTH) * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1)))
+    counts = {f"__d{i}": part(i) for i in range(_SEGMENTS)}
+    over = [F.col(f"__d{i % _SEGMENTS}") * _SEGMENTS - MAX_BITS for i in range(_SEGMENTS + CHAIN)]
+    sums = {f"__s{i}": functools.reduce(lambda x, y: x + y, over[:i], F.lit(0)) for i in range(_SEGMENTS + CHAIN + 1)}
+    starts = [F.greatest(*[F.col(f"__s{i + k}") for k in range(1, CHAIN + 1)]) <= F.col(f"__s{i}") for i in range(_SEGMENTS)]
+    out = pairs.select(*own, *[c.alias(n) for n, c in words.items()])
+    out = out.select(*own, *[c.alias(n) for n, c in counts.items()])
+    out = out.select(*own, *[c.alias(n) for n, c in sums.items()])
+    chain = functools.reduce(lambda x, y: x | y, starts)
+    return out.where(chain).where(F.col(f"__s{_SEGMENTS}") <= 0).select(*own)  # the last sum is the whole distance less MAX_BITS
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """The distinct pairs (a, b) of the least similarity."""
     rings = [sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"k{c}")) for c in "ab"]
-    near = scratch.written(pairs.join(rings[0], "a").join(rings[1], "b").where(within_ring(F.col("ka"), F.col("kb"))).select("a", "b"), f"{label}-near")
+    near = scratch.written(near_ring(pairs.join(rings[0], "a").join(rings[1], "b"), "ka", "kb").select("a", "b"), f"{label}-near")
     sets = [sketches.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return scratch.written(near.join(sets[0], "a").join(sets[1], "b").where(shared * PARTS[1] >= (total - shared) * PARTS[0]).select("a", "b"), label)

@@ -134,6 +134,7 @@ def score_column(spark, model: Model, text) -> F.Column:
 
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score beside its own columns; null and empty texts get the prior, repeated rows a score each."""
+    """docs with a score beside its own columns; null and empty texts get the prior, very long ones count
+    whole, repeated rows get a score each; an input column of the name of ``column`` is replaced."""
     small_batches(docs.sparkSession)
     return docs.withColumn(column, score_column(docs.sparkSession, model, F.col("text")))

@@ -278,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 
 def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score beside its own columns; null and empty texts score like any text without a hit."""
+    """docs with a score beside its own columns; null and empty texts score like any text without a hit,
+    very long ones count whole, repeated rows get a score each; an input column of the name of ``column`` is replaced."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

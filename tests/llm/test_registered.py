@@ -74,3 +74,14 @@ def test_token_counts_equal_a_recount(spark, data):
             n[k] += more
     got = {(x["source"], x["lang"]): [x["n_docs"], x["n_chars"], x["n_tokens"]] for x in Q.op10_token_counts(spark, data).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name,label,least", [("op1_toxicity", "toxic", 0.85), ("op3_quality_classifier", "quality", 0.95)])
+def test_precision_and_recall_on_held_out_rows(spark, name, label, least):
+    """Rows that no fit ever saw, of a table with some hundreds of them."""
+    data = "/root/testdata/sf0.1"
+    labels = {x["doc_id"]: x[label] for x in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    judged = [(x["predicted"], labels[x["doc_id"]]) for x in Q.QUERIES[name](spark, data).where("held_out").collect() if x["doc_id"] in labels]
+    hits = sum(a == b == 1 for a, b in judged)
+    recall, precision = hits / sum(b == 1 for _, b in judged), hits / sum(a == 1 for a, _ in judged)
+    assert recall >= least and precision >= least, (recall, precision, len(judged))
