@@ -227,7 +227,17 @@ def fuzzy_search(spark, d):
     return N.search(table(spark, d, "part"), "rgt", ["p_name", "p_brand"]).select("p_partkey", "p_name")
 
 
-@query()
+def _matches_sql(pattern: str, action: str, grp: str, weight: int) -> str:
+    return f"SELECT doc_id, '{action}' AS action, '{grp}' AS grp, {weight} AS w, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM documents"
+
+
+@query(f"""WITH m AS ({_matches_sql(_EMAIL_SQL, "mask", "EMAIL", 2)} UNION ALL {_matches_sql(r"[0-9]+\.[0-9.]+", "allow", "NUMBER", 1)} UNION ALL {_matches_sql(X.IPV4, "block", "IP", 3)}),
+    s AS (SELECT doc_id, action, grp, w, 1 + list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, length(ms[i]) AS n
+        FROM m, unnest(range(1, len(ms) + 1)) AS t(i)),
+    o AS (SELECT *, CASE WHEN a < max(a + n) OVER (PARTITION BY doc_id ORDER BY a, w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM s),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, w DESC ROWS UNBOUNDED PRECEDING) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY a, w DESC) AS r FROM o),
+    x AS (SELECT doc_id, k, CAST(min(a) AS BIGINT) AS a, CAST(max(a + n) AS BIGINT) AS b, arg_max(action, (w, -r)) AS action, arg_max(grp, (w, -r)) AS grp FROM g GROUP BY 1, 2)
+    SELECT doc_id, CAST(to_json(list({{'start': a, 'end': b, 'action': action, 'grp': grp}} ORDER BY a)) AS VARCHAR) AS spans FROM x GROUP BY 1""")
 def span_overlap_merge(spark, d):
     """Pattern hits of each document as spans, merged where they overlap."""
     docs = table(spark, d, "documents")
