@@ -21,7 +21,6 @@ pairs.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -140,30 +139,23 @@ def _similar(n, m) -> F.Column:
     return F.least(n, m) * PARTS[1] >= F.greatest(n, m) * PARTS[0]
 
 
-def near_ring(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs whose fingerprints, two columns of arrays of words, pass the pigeonring filter and then the full check.
-
-    Column by column in place of functions on arrays, so that all of it is compiled: the words' differences, the
-    segments' counts, running sums of what segments take beyond their share (once round the ring and a chain more), and
-    a start from which no chain takes more than falls to it."""
-    own = pairs.columns
-    words = {f"__w{i}": F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(LANES)}
-    part = lambda i: F.bit_count(F.shiftrightunsigned(f"__w{i // (64 // _WIDTH)}", i % (64 // _WIDTH) * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1)))
-    counts = {f"__d{i}": part(i) for i in range(_SEGMENTS)}
-    over = [F.col(f"__d{i % _SEGMENTS}") * _SEGMENTS - MAX_BITS for i in range(_SEGMENTS + CHAIN)]
-    sums = {f"__s{i}": functools.reduce(lambda x, y: x + y, over[:i], F.lit(0)) for i in range(_SEGMENTS + CHAIN + 1)}
-    starts = [F.greatest(*[F.col(f"__s{i + k}") for k in range(1, CHAIN + 1)]) <= F.col(f"__s{i}") for i in range(_SEGMENTS)]
-    out = pairs.select(*own, *[c.alias(n) for n, c in words.items()])
-    out = out.select(*own, *[c.alias(n) for n, c in counts.items()])
-    out = out.select(*own, *[c.alias(n) for n, c in sums.items()])
-    chain = functools.reduce(lambda x, y: x | y, starts)
-    return out.where(chain).where(F.col(f"__s{_SEGMENTS}") <= 0).select(*own)  # the last sum is the whole distance less MAX_BITS
+@F.pandas_udf(T.BooleanType())
+def within_ring(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two fingerprints (arrays of words) pass the pigeonring filter and then the full check."""
+    words = np.array(a.tolist(), dtype=np.int64).reshape(-1, LANES) ^ np.array(b.tolist(), dtype=np.int64).reshape(-1, LANES)
+    over = np.bitwise_count(words.view(np.uint16)).astype(np.int64) * _SEGMENTS - MAX_BITS  # what a segment takes beyond its share
+    sums = np.cumsum(np.concatenate([np.zeros((len(over), 1), dtype=np.int64), over, over[:, :CHAIN]], axis=1), axis=1)
+    near = np.zeros(len(over), dtype=bool)
+    for start in range(_SEGMENTS):
+        near |= sums[:, start + 1 : start + 1 + CHAIN].max(axis=1) <= sums[:, start]
+    near[near] = sums[near, _SEGMENTS] <= 0  # the whole distance less MAX_BITS
+    return pd.Series(near, index=a.index)
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """The distinct pairs (a, b) of the least similarity."""
     rings = [sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"k{c}")) for c in "ab"]
-    near = scratch.written(near_ring(pairs.join(rings[0], "a").join(rings[1], "b"), "ka", "kb").select("a", "b"), f"{label}-near")
+    near = scratch.written(pairs.join(rings[0], "a").join(rings[1], "b").where(within_ring("ka", "kb")).select("a", "b"), f"{label}-near")
     sets = [sketches.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return scratch.written(near.join(sets[0], "a").join(sets[1], "b").where(shared * PARTS[1] >= (total - shared) * PARTS[0]).select("a", "b"), label)
@@ -197,9 +189,10 @@ def copy_links(docs: DataFrame, prints: DataFrame, fps: DataFrame, scratch: Scra
 
     need = scratch.written(pairs.select("a").unionAll(pairs.select("b")).unionAll(hot.select("fp")).distinct().withColumnRenamed("a", "fp"), "need")
     ids = scratch.written(fps.join(need, "fp").select(F.col("low_id").alias("__id")).distinct(), "set-ids")
+    # rows of repeated or null ids bring some sets that nobody needs
     some = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi").select(_sketches(F.col(text_col)).alias("s")).select("s.*")
-    sketches = scratch.written(some.join(need, "fp", "left_semi"), "sketches")
-    if sketches.groupBy("fp").count().where("count > 1").limit(1).count():  # rows of repeated or null ids
+    sketches = scratch.written(some, "sketches")
+    if sketches.groupBy("fp").count().where("count > 1").limit(1).count():
         sketches = scratch.written(sketches.dropDuplicates(["fp"]), "single-sketches")
     links = _alike(pairs, sketches, scratch, "links")
 

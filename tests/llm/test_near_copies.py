@@ -68,7 +68,7 @@ def test_no_pair_of_the_least_similarity_is_pruned(spark, make_text):
             c = {r.getrandbits(63) for _ in range(n)}
             rows.append(tuple(N.sketch(np.array(sorted(x), dtype=np.int64)).tolist() for x in (a, b, c)))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, c array<long>")
-    assert N.near_ring(df, "a", "b").count() == len(rows) and N.near_ring(df, "a", "c").count() == 0
+    assert df.where(N.within_ring("a", "b")).count() == len(rows) and df.where(N.within_ring("a", "c")).count() == 0
 
 
 def test_the_ring_is_the_full_check_with_fewer_candidates(spark):
@@ -81,7 +81,7 @@ def test_the_ring_is_the_full_check_with_fewer_candidates(spark):
             b[bit // 64] ^= 1 << bit % 64
         rows.append(([x - (1 << 64) if x >> 63 else x for x in a], [x - (1 << 64) if x >> 63 else x for x in b], 60 + k % 80 <= N.MAX_BITS))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, want boolean")
-    assert [x["want"] for x in N.near_ring(df, "a", "b").collect()] == [True] * sum(w for *_, w in rows)
+    assert [x["want"] for x in df.where(N.within_ring("a", "b")).collect()] == [True] * sum(w for *_, w in rows)
 
 
 def test_work_tables_go(docs_frame, spark, make_text):
