@@ -9,7 +9,7 @@ The network decides where a span is and of which kind; what it finds is only cou
 number of digits, parts up to 255, Luhn).
 
 Each kind holds a digit, an at sign, or the word dot or at before a name with a dot, so windows without any of these
-hold no span of these kinds and are not decoded: all windows would take some 1,500 CPU seconds a GB.
+hold no span of these kinds and are not decoded: all windows would take some 1,500 CPU seconds a GB by estimate, not measured.
 """
 
 from __future__ import annotations
