@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import decontaminate, pieces, pii, quality, rollups, rules, simhash, toxicity, urls, warc
+from corvane.llm import decontaminate, pieces, pii, quality, resharding, rollups, rules, runs, simhash, toxicity, urls, warc, whitening
 from corvane.llm.common import held_out, table, written
 
 
@@ -77,11 +77,55 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    found = whitening.whiten(rows, model)
+    n, error, explained = (model.n, model.identity_error, model.explained()) if model else (0, None, [])
+    share = F.array(*[F.lit(e).cast("double") for e in explained]) if explained else F.array().cast("array<double>")
+    return found.select("vec_id", "whitened.deviation", F.posexplode("whitened.values").alias("k", "whitened")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"), "whitened", F.get(share, "k").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+#: Words of a text, as the contract has them.
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _cycled(text: Column, doc_id: Column) -> Column:
+    """The text; for one document in ten, from some word on a cycle of its own words."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    n = F.size(words)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    root = F.slice(words, a + 1, p)
+    cycle = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), cycle), " ")).otherwise(text)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _cycled(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.mark_runs(docs).select("doc_id", "periodic.runs", "periodic.collapsed").withColumn("best", runs.strongest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")], F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of documents, dealt to 16 old shards, move to 24 shards of near equal bytes; the rows come from the files written."""
+    rows = resharding.reshard(spark, f"{sf_dir}/documents.parquet").rows()
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return rows.select("doc_id", resharding.text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_classifier, op4_decontamination, op5_warc, op6_url_filters, op7_quality_rules, op8_pieces, op9_simhash, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_classifier, op4_decontamination, op5_warc, op6_url_filters, op7_quality_rules, op8_pieces, op9_simhash, op10_token_counts, op11_whitening, op12_runs, op13_resharding, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
         WITH d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
