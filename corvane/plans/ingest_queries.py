@@ -14,6 +14,7 @@ from corvane.operators import usage as U
 from corvane.plans.book import Book
 from corvane.sources import readers as R
 from corvane.sources.views import CALLS_SQL, ENTITIES_SQL, USAGE_SQL, calls, entities, table, usage
+from corvane.sources.work import work_path
 from corvane.streaming import windows as S
 
 _book = Book()
@@ -92,6 +93,18 @@ def log_append(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.json_array_length(log).alias("entries"), F.get_json_object(log, "$[1].m").alias("last"))
 
 
+_TRIMMED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_TRIMMED.format('source')} AS source, md5({_TRIMMED.format('text')}) AS digest FROM documents")
+def csv_quoted_lines(spark, d):
+    """All documents as quoted CSV, line ends within fields, read back."""
+    path = work_path(spark, "csv")
+    table(spark, d, "documents").select("doc_id", "source", "text").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return R.read_delimited(spark, path).select(field("doc_id").cast("long").alias("doc_id"), field("source").alias("source"), F.md5(field("text")).alias("digest"))
+
+
 @query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_type), ' '), 'steel')")
 def tag_filter(spark, d):
     return N.with_tag(table(spark, d, "part").withColumn("tags", F.split("p_type", " ")), "tags", "Steel").select("p_partkey")

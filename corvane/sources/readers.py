@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.text import normalise_name
 from corvane.operators.ingest import parse_time
+from corvane.sources.delimited import cells, read_records
 
 FIELDS = "map<string,string>"
 
@@ -56,37 +57,32 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(splits, ["__file", "__start"]).select("value", "source_file", "__file", number.cast("int").alias("line_number"))
 
 
-def cells(line: Column, sep: str) -> Column:
-    """A line's fields: those in quotes may hold the separator, and a doubled quote is one.
-
-    Text within quotes is every second part between quotes, so its separators are set aside before the line is cut.
-    """
-    aside = "\x1f"
-    parts = F.transform(F.split(line, '"'), lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), F.lit(aside))).otherwise(p))
-    cut = F.split(F.array_join(parts, '"'), re.escape(sep))
-    return F.transform(cut, lambda c: F.replace(F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')), F.lit(aside), F.lit(sep)))
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _names(headers: pd.Series) -> pd.Series:
     return headers.map(lambda h: header_names([x or "" for x in h]))
 
 
+def _file_name(path: Column) -> Column:
+    return F.substring_index(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "/", -1)
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """CSV or TSV with ragged rows: missing fields are empty, surplus ones are extra_1, extra_2 and so on.
 
-    Each file has a header of its own.  A quoted field may hold the separator but no line end.  A surplus field beside a
-    header of its name gets one more number.
+    Each file has a header of its own.  Quoted fields may hold the separator, quotes and line ends; ``delimited`` says how.  Rows
+    are numbered by record, whatever lines it takes.  A surplus field beside a header of its name gets one more number.  A record
+    too long to be one goes with an error, and its beginning as ``line``.
     """
-    lines = _lines(spark, path).withColumn("c", cells(F.regexp_replace("value", "^\ufeff", ""), sep))
-    headers = lines.where("line_number = 1").select("__file", _names("c").alias("__names"))
-    rows = lines.where("line_number > 1 AND trim(value) <> ''").join(headers, "__file")
+    records, first = read_records(spark, path, sep)
+    headers = first.select("file", _names(cells(F.col("record"), sep)).alias("__names"))
+    rows = records.where("number > 1").withColumn("c", cells(F.when(~F.col("long"), F.col("record")), sep)).join(headers, "file")
     surplus = F.size("c") - F.size("__names")
     extra = F.when(surplus > 0, F.transform(F.sequence(F.lit(1), F.greatest(surplus, F.lit(1))), lambda i: F.concat(F.lit("extra_"), i))).otherwise(F.array().cast("array<string>"))
     extra = F.transform(extra, lambda k: F.when(F.array_contains("__names", k), F.concat(k, F.lit("_2"))).otherwise(k))
     keys = F.concat("__names", extra)
     values = F.transform(keys, lambda _, i: F.coalesce(F.get("c", i), F.lit("")))
-    return rows.select("source_file", F.col("line_number").alias("row_number"), F.map_from_arrays(keys, values).alias("fields"), F.lit(None).cast("string").alias("_error"))
+    found = F.when(F.col("long"), F.create_map(F.lit("line"), F.col("record"))).otherwise(F.map_from_arrays(keys, values))
+    return rows.select(_file_name(F.col("file")).alias("source_file"), F.col("number").cast("int").alias("row_number"), found.alias("fields"), F.when(F.col("long"), "long_record").alias("_error"))
 
 
 def _flat(value: Column, levels: int = 6) -> Column:

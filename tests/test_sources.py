@@ -22,7 +22,7 @@ def test_headers():
 def test_ragged_csv(spark, tmp_path):
     path = write(tmp_path, "a.csv", '﻿id,Name,id\n1,"Smith, J",2\n3\n\n4,x,5,6,7\n')
     assert rows(R.read_any(spark, path)) == [
-        (2, {"id": "1", "name": "Smith, J", "id_2": "2"}, None), (3, {"id": "3", "name": "", "id_2": ""}, None), (5, {"id": "4", "name": "x", "id_2": "5", "extra_1": "6", "extra_2": "7"}, None)]
+        (2, {"id": "1", "name": "Smith, J", "id_2": "2"}, None), (3, {"id": "3", "name": "", "id_2": ""}, None), (4, {"id": "4", "name": "x", "id_2": "5", "extra_1": "6", "extra_2": "7"}, None)]
     assert rows(R.read_any(spark, write(tmp_path, "b.tsv", "a\tb\n1\t2\n"))) == [(2, {"a": "1", "b": "2"}, None)]
 
 
