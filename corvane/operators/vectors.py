@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block that is sent to every task, and digits after which similarities count as equal.
-BLOCK, DIGITS = 4096, 9
+from corvane.sources.work import work_path
+
+#: Queries in a pack, numbers in a pack of the store, packs of queries and of the store in a cell of the grid.
+BLOCK, PACK, ROW, COLUMN = 4096, 1 << 17, 16, 64
+#: Similarities computed at once, and digits after which they count as equal.
+SIMS, DIGITS = 1 << 22, 9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,64 +41,136 @@ def top_k(store: DataFrame, query: list[float], k: int, key: str = "key", tie: s
     return store.withColumn("similarity", cosine(F.col(key), q, unit)).orderBy(F.desc("similarity"), tie).limit(k)
 
 
-def _merge(best: tuple | None, sims: np.ndarray, values: np.ndarray, k: int) -> tuple:
-    """The k best of each query (row) among those so far and a batch's: similarity down, value up."""
-    if best is not None:
-        sims, values = np.concatenate([best[0], sims], axis=1), np.concatenate([best[1], np.broadcast_to(values, (len(sims), len(values)))], axis=1)
-    else:
-        values = np.broadcast_to(values, sims.shape)
-    order = np.lexsort((values, -sims), axis=1)[:, :k]
-    return np.take_along_axis(sims, order, 1), np.take_along_axis(values, order, 1)
+def _packed(rows: DataFrame, key: str, value: str, values: int) -> DataFrame:
+    """Rows in packs of about ``values`` numbers, each one row: pack, n, ids and vectors as bytes.  Null vectors are passed over.
+
+    A pack is what of a partition comes together, so no id or vector, however frequent, makes one larger."""
+    width = np.float32 if dict(rows.dtypes)[key] == "array<float>" else np.float64
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _block_search(store: DataFrame, block: pd.DataFrame, k: int, key: str, value: str, not_self: bool) -> DataFrame:
-    """(query, value, similarity): each task's k best rows for each query of a block."""
-    q = np.array(block[key].tolist(), dtype=np.float64).reshape(len(block), -1)
-    ids = block[value].to_numpy(np.int64)
-    shared = store.sparkSession.sparkContext.broadcast((q, np.sqrt((q * q).sum(axis=1)), ids))
+        place, made, held, ids, length = TaskContext.get().partitionId() << 32, 0, [], [], None
+
+        def pack() -> pa.RecordBatch:
+            nonlocal made, held, ids
+            x, v = np.concatenate(held), np.concatenate(ids)
+            out = pa.RecordBatch.from_arrays([pa.array([place + made], pa.int64()), pa.array([len(v)], pa.int32()), pa.array([v.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["pack", "n", "ids", "vectors"])
+            made, held, ids = made + 1, [], []
+            return out
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, norms, ids = shared.value
-        best = None
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                x, values = np.array(part[key].tolist(), dtype=np.float64).reshape(len(part), -1), part[value].to_numpy(np.int64)
+            lists = batch.column(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            if len(sizes):
+                length = int(sizes[0]) if length is None else length
+                if (sizes != length).any():
+                    raise ValueError(f"vectors of {length} numbers met vectors of others")
+                x = lists.flatten().to_numpy(zero_copy_only=False).astype(width).reshape(len(sizes), length)
+                v = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                step = max(1, values // max(1, length))
+                for at in range(0, len(x), step):
+                    held.append(x[at : at + step])
+                    ids.append(v[at : at + step])
+                    if sum(map(len, ids)) >= step:
+                        yield pack()
+        if held:
+            yield pack()
+
+    return rows.select(key, value).where(F.col(key).isNotNull() & F.col(value).isNotNull()).mapInArrow(run, "pack long, n int, ids binary, vectors binary")
+
+
+def _unpacked(packs: pa.Table, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors as doubles) of each pack."""
+    rows = zip(packs["n"].to_pylist(), packs["ids"], packs["vectors"])
+    return [(np.frombuffer(i.as_py(), np.int64), np.frombuffer(v.as_py(), kind).astype(np.float64).reshape(n, -1)) for n, i, v in rows]
+
+
+class _Best:
+    """The k best of each query so far: what may be among them is kept and sorted when it has grown."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, sims: np.ndarray, values: np.ndarray) -> None:
+        if sims.shape[1] >= self.k:
+            self.floor = np.maximum(self.floor, np.partition(sims, -self.k, axis=1)[:, -self.k])
+        q, j = np.nonzero((sims >= self.floor[:, None]) & (sims > -np.inf))
+        self.parts.append((q, values[j], sims[q, j]))
+        self.held += len(q)
+        if self.held > 4 * self.k * len(self.floor) + 4096:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, value, similarity), by query, similarity down and value."""
+        q, v, s = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        last = place == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
+        self.parts, self.held = [(q[keep], v[keep], s[keep])], int(keep.sum())
+        return self.parts[0]
+
+
+def _cell(k: int, not_self: bool, kinds: tuple[type, type]):
+    """The k best of a cell's store packs for each query of the cell's query packs."""
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        packs = [(v, x, np.sqrt((x * x).sum(axis=1))) for v, x in _unpacked(stored, kinds[1])]
+        out = []
+        for ids, q in _unpacked(asked, kinds[0]):
+            norms, best = np.sqrt((q * q).sum(axis=1)), _Best(len(ids), k)
+            for values, x, lengths in packs:
                 if x.shape[1] != q.shape[1]:
                     raise ValueError(f"vectors of {x.shape[1]} numbers met queries of {q.shape[1]}")
-                scale = norms[:, None] * np.sqrt((x * x).sum(axis=1))
-                sims = np.round(np.divide(q @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), DIGITS)
-                if not_self:
-                    sims[ids[:, None] == values] = -np.inf
-                best = _merge(best, sims, values, k)
-        if best is not None:
-            found = pd.DataFrame({"query": np.repeat(ids, best[0].shape[1]), "value": best[1].ravel(), "similarity": best[0].ravel()})
-            yield found[found["similarity"] > -np.inf]
+                step = max(1, SIMS // len(ids))
+                for at in range(0, len(x), step):
+                    scale = norms[:, None] * lengths[at : at + step]
+                    sims = np.round(np.divide(q @ x[at : at + step].T, scale, out=np.zeros_like(scale), where=scale > 0), DIGITS)
+                    if not_self:
+                        sims[ids[:, None] == values[at : at + step]] = -np.inf
+                    best.add(sims, values[at : at + step])
+            n, v, s = best.cut()
+            out.append((ids[n], v, s))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int64, np.int64, np.float64)]
+        return pa.table({"query": pa.array(columns[0], pa.int64()), "value": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
 
-    return store.select(key, value).where(F.col(key).isNotNull()).mapInPandas(search, "query long, value long, similarity double")
+    return run
 
 
 def search(store: DataFrame, queries: DataFrame, k: int, key: str = "key", value: str = "value", not_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query, value, similarity, place): the k most similar rows of store(key, value) for each row of queries(key, value).
 
-    Queries are dealt by hash into blocks of about ``block`` rows; each block goes to every task, which keeps the k best
-    for each query, and these are ranked by query.  Similarities are cosines, 0 beside a vector of length 0, rounded to
-    ``DIGITS``; equal ones are in order of value.  ``not_self`` leaves out a row with the query's own value.  Vectors of
-    unlike length are an error; null ones are passed over.
+    Both sides are packed, ``block`` queries and ``PACK`` numbers of the store in a pack, and written.  A grid of cells takes
+    ``ROW`` packs of queries and ``COLUMN`` of the store each: a pack goes to all cells of its row or column, a cell keeps the k
+    best for each of its queries, and those of a query's cells are ranked.  So neither memory nor the plan grows with either
+    side, the store is moved once for every ``ROW * block`` queries, and the driver sees counts of packs only.
+
+    Similarities are cosines, 0 beside a vector of length 0, rounded to ``DIGITS``; equal ones are in order of value.  ``not_self``
+    leaves out a row with the query's own value.  Vectors of unlike length are an error; null ones and null values are passed over.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    asked = queries.select(key, value).where(F.col(key).isNotNull())
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64(value), F.lit(blocks)) == b).toPandas()  # about ``block`` rows
-        if len(rows):
-            part = _block_search(store, rows, k, key, value, not_self)
-            found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = store.sparkSession.createDataFrame([], "query long, value long, similarity double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "value"))  # k rows of each task
+    spark = store.sparkSession
+    # a partition for each block of queries, as many small packs would be multiplied one by one
+    asked = queries.select(key, value).where(F.col(key).isNotNull()).repartition(max(1, -(-queries.count() // block)))
+    sides, kinds = [], []
+    for rows, values in ((asked, 1 << 62), (store, PACK)):
+        path = work_path(spark, "packs")
+        _packed(rows, key, value, values).write.parquet(path)
+        sides.append(spark.read.schema("pack long, n int, ids binary, vectors binary").parquet(path))
+        kinds.append(np.float32 if dict(rows.dtypes)[key] == "array<float>" else np.float64)
+    counts = [max(1, side.count()) for side in sides]
+    rows, columns = -(-counts[0] // ROW), max(-(-counts[1] // COLUMN), min(counts[1], spark.sparkContext.defaultParallelism))
+    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sides[0].withColumn("a", F.pmod(F.xxhash64("pack"), F.lit(rows)).cast("int")).withColumn("b", line(columns))
+    right = sides[1].withColumn("b", F.pmod(F.xxhash64("pack"), F.lit(columns)).cast("int")).withColumn("a", line(rows))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_cell(k, not_self, tuple(kinds)), "query long, value long, similarity double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "value"))  # k rows of each column of cells
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 

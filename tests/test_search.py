@@ -39,6 +39,32 @@ def test_search_equals_all_pairs(store, block, not_self):
         assert [v for _, v, _ in sorted(got[q])] == [v for _, v in sorted(sims)[:5]]
 
 
+def test_a_grid_of_many_cells(spark, monkeypatch):
+    """Packs of a few rows, two by three in a cell: each query's cells are merged, ties and a very frequent vector included."""
+    for name, n in (("PACK", 64), ("ROW", 2), ("COLUMN", 3), ("SIMS", 50)):
+        monkeypatch.setattr(V, name, n)
+    r = np.random.default_rng(4)
+    common = [1.0, 0.5, 0.0, -1.0]
+    rows = [(common if k % 3 == 0 else r.integers(-2, 3, 4).astype(float).tolist(), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "key array<float>, value long").repartition(6)
+    got = {}
+    for x in V.search(df, df.where("value % 7 = 0"), 6, block=5).collect():
+        got.setdefault(x["query"], []).append((x["place"], x["value"]))
+    assert set(got) == {k for k in range(500) if k % 7 == 0}
+    x = np.array([a for a, _ in rows])
+    norms = np.sqrt((x * x).sum(axis=1))
+    for q, found in got.items():
+        scale = norms * norms[q]
+        sims = np.round(np.divide(x @ x[q], scale, out=np.zeros_like(scale), where=scale > 0), V.DIGITS)
+        assert [v for _, v in sorted(found)] == np.lexsort((np.arange(500), -sims))[:6].tolist()
+
+
+def test_the_plan_of_a_search_does_not_grow(store):
+    _, df = store
+    plans = [V.search(df, df.where("value < 300"), 3, block=n)._jdf.queryExecution().executedPlan().toString() for n in (4096, 3)]
+    assert plans[0].count("\n") == plans[1].count("\n") and plans[0].count("FileScan") == 2
+
+
 def test_search_of_nothing_and_of_unlike_lengths(spark, store):
     _, df = store
     assert V.search(df, df.limit(0), 3).count() == 0 and V.search(df.limit(0), df.limit(2), 3).count() == 0
