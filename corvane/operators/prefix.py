@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK, MAX_BLOCKS = 256, 64
 
 
-def block_chain(text: Column, model: Column, block: int = BLOCK, most: int | None = MAX_BLOCKS) -> Column:
-    """Hashes of ever longer beginnings of the text, block by block: each hashes the one before with the next block.
+def chained(text: str | None, model: str | None, block: int = BLOCK, most: int | None = MAX_BLOCKS) -> list[int]:
+    """Signed 64-bit hashes of ever longer beginnings of a text's UTF-8 bytes, in one pass.
 
-    Only whole blocks count, and no more than ``most`` of them (None: all); equal chains up to a depth mean equal texts up to there.
+    XXH64 of the model starts the chain; each link is the XXH64 of the one before (8 bytes, lowest first) and the next block.
+    The last block may be shorter.  A null or empty text has no links, a null model counts as empty.
     """
-    n = F.floor(F.char_length(text) / block).cast("int")
-    n = n if most is None else F.least(F.lit(most), n)
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, (i - 1) * block + 1, F.lit(block)))).otherwise(F.array().cast("array<string>"))
-    start = F.array(F.md5(model))
-    chain = F.aggregate(blocks, start, lambda done, b: F.concat(done, F.array(F.md5(F.concat(F.element_at(done, -1), b)))))
-    return F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(1)))
+    data = (text or "").encode()
+    h, out = xxhash.xxh64_intdigest((model or "").encode()), []
+    for at in range(0, len(data) if most is None else min(len(data), most * block), block):
+        h = xxhash.xxh64_intdigest(h.to_bytes(8, "little") + data[at : at + block])
+        out.append(h - (h >> 63 << 64))
+    return out
+
+
+def block_chain(text: Column, model: Column, block: int = BLOCK, most: int | None = MAX_BLOCKS) -> Column:
+    """``chained`` as an array of longs, of no more than ``most`` blocks (None: all); equal links up to a depth mean equal texts up to there."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def chain(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, models in rows:
+            yield pd.Series([chained(t, m, block, most) for t, m in zip(texts, models)], index=texts.index)
+
+    return chain(text, model)
 
 
 def longest_match(queries: DataFrame, stored: DataFrame, not_self: bool = False) -> DataFrame:

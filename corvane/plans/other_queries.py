@@ -290,8 +290,9 @@ def score_top1(spark, d):
     return s.groupBy(F.element_at("labels", F.array_position("scores", F.array_max("scores")).cast("int")).alias("label")).agg(F.count("*").alias("total"))
 
 
-_CHAIN_SQL = """WITH RECURSIVE b AS (SELECT doc_id, lang, length(text) // 256 AS n, text FROM documents), chain AS (
-    SELECT doc_id, lang, text, n, 0 AS depth, md5(lang) AS hash FROM b UNION ALL SELECT doc_id, lang, text, n, depth + 1, md5(hash || substr(text, depth * 256 + 1, 256)) FROM chain WHERE depth < n)"""
+_CHAIN_SQL = """WITH RECURSIVE b AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS x FROM documents), chain AS (
+    SELECT doc_id, lang, x, (length(x) + 511) // 512 AS n, 0 AS depth, md5(lang) AS hash FROM b
+    UNION ALL SELECT doc_id, lang, x, n, depth + 1, md5(hash || substr(x, depth * 512 + 1, 512)) FROM chain WHERE depth < n)"""
 
 
 @query(f"""{_CHAIN_SQL}, hit AS (SELECT q.doc_id, q.depth, max(s.doc_id) AS replica FROM chain q JOIN chain s ON s.lang = q.lang AND s.hash = q.hash AND s.depth > 0 AND s.doc_id <> q.doc_id

@@ -82,6 +82,38 @@ def test_cache_lookup(spark):
     assert {x["outcome"] for x in V.cache_lookup(store.limit(0), asked).collect()} == {"miss"}
 
 
+def test_chains_of_bytes(spark):
+    import struct
+
+    import xxhash
+
+    def links(text, model, block, most):
+        h, out = xxhash.xxh64(model.encode()).intdigest(), []
+        data = text.encode()
+        while data and len(out) < most:
+            h = xxhash.xxh64(struct.pack("<Q", h) + data[:block]).intdigest()
+            out.append(struct.unpack("<q", struct.pack("<Q", h))[0])
+            data = data[block:]
+        return out
+
+    rows = [("", "m"), (None, "m"), ("abc", None), ("é" * 300, "m"), ("x" * 256, "m"), ("x" * 257, "n"), ("abcdefghij" * 40, "m")]
+    df = spark.createDataFrame(rows, "text string, model string")
+    for block, most in ((256, 64), (1, 4), (3, 10**6)):
+        got = [list(x[0]) for x in df.select(P.block_chain(df["text"], df["model"], block, most)).collect()]
+        assert got == [links(t or "", m or "", block, most) for t, m in rows]
+    a, b = (P.chained("system rules " * 100 + end, "m") for end in ("12:00:00", "12:00:01"))
+    assert a[:-1] == b[:-1] and a[-1] != b[-1] and P.chained("abc", "m1")[0] != P.chained("abc", "m2")[0]
+
+
+def test_the_chain_of_a_very_long_text(spark):
+    import time
+
+    df = spark.range(1).select(F.repeat(F.lit("0123456789abcdef"), 1 << 20).alias("text"))
+    start = time.perf_counter()
+    assert df.select(F.size(P.block_chain(F.col("text"), F.lit("m"), most=None))).first()[0] == 1 << 16
+    assert time.perf_counter() - start < 15
+
+
 def test_longest_match_leaves_out_the_query_itself(spark):
     r = random.Random(3)
     texts = {k: "".join(r.choice("ab") for _ in range(r.randrange(0, 14))) for k in range(60)} | {60: "abab" * 5, 61: "abab" * 5}
@@ -89,8 +121,8 @@ def test_longest_match_leaves_out_the_query_itself(spark):
     got = {x["id"]: (x["replica"], x["depth"]) for x in P.longest_match(df, df.select("model", "chain", F.col("id").alias("replica"), F.col("id").alias("last_seen")), not_self=True).collect()}
     for k, t in texts.items():
         depth, best = 0, None
-        for d in range(1, len(t) // 2 + 1):
-            same = [j for j, u in texts.items() if j != k and len(u) // 2 >= d and u[: 2 * d] == t[: 2 * d]]
+        for d in range(1, -(-len(t) // 2) + 1):
+            same = [j for j, u in texts.items() if j != k and -(-len(u) // 2) >= d and u[: 2 * d] == t[: 2 * d]]
             if same:
                 depth, best = d, max(same)
         assert got[k] == (best, depth)
