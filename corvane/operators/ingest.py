@@ -110,6 +110,18 @@ def merged_json(old: Column, new: Column) -> Column:
     return F.to_json(F.map_concat(kept, more), {"ignoreNullFields": "false"})
 
 
+def latest_members(rows: DataFrame, key: list[str], column: str, order: str) -> DataFrame:
+    """(__key ..., __merged_column): the members at the top of each key's JSON objects, each in its latest value by ``order``.
+
+    Members are brought together one by one, so a key of very many rows is no group to hold; of equal order the greater text wins.
+    """
+    members = rows.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(order).alias("__order"), F.explode(F.from_json(column, _OBJECT)).alias("__member", "__value"))
+    text = F.to_json("__value")
+    latest = members.groupBy(*[f"__{k}" for k in key], "__member").agg(F.max_by(text, F.struct("__order", text)).alias("__text"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("__member", "__text"))), lambda m: F.struct(m["__member"], F.parse_json(m["__text"])))
+    return latest.groupBy(*[f"__{k}" for k in key]).agg(F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"}).alias(f"__merged_{column}"))
+
+
 def appended_json(log: Column, entry: Column) -> Column:
     """A JSON array with one more entry (JSON text); what is no array counts as empty."""
     before = F.coalesce(F.from_json(log, "array<variant>"), F.from_json(F.lit("[]"), "array<variant>"))

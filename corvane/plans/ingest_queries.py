@@ -13,9 +13,11 @@ from corvane.operators import registry_ops as N
 from corvane.operators import usage as U
 from corvane.plans.book import Book
 from corvane.sources import readers as R
+from corvane.sources.buckets import BucketTable
 from corvane.sources.views import CALLS_SQL, ENTITIES_SQL, USAGE_SQL, calls, entities, table, usage
 from corvane.sources.work import work_path
 from corvane.streaming import windows as S
+from corvane.streaming.stores import call_stores, hashed_calls
 
 _book = Book()
 query = _book.add
@@ -93,6 +95,36 @@ def log_append(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.json_array_length(log).alias("entries"), F.get_json_object(log, "$[1].m").alias("last"))
 
 
+@query("""SELECT o_custkey AS custkey, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq, arg_min(o_orderdate, o_orderkey) AS first_date,
+    (SELECT string_agg(p || '=' || k, ',' ORDER BY p) FROM (SELECT o_orderpriority AS p, max(o_orderkey) AS k FROM orders i WHERE i.o_custkey = o.o_custkey GROUP BY 1)) AS report FROM orders o GROUP BY 1""")
+def upsert_bucketed(spark, d):
+    """Orders put into a table of customers in three upserts, as they came: the latest status, the first date, all members of the reports."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("first_date"), F.to_json(F.create_map("o_orderpriority", "o_orderkey")).alias("report"))
+    third = max(1, (rows.agg(F.max("seq")).first()[0] or 0) // 3)
+    stored = BucketTable(spark, work_path(spark, "upsert"), ["custkey"], "seq", ("first_date",), ("report",), buckets=16)
+    for part in range(3):
+        stored.upsert(rows.where(F.least(F.floor(F.col("seq") / third), F.lit(2)) == part))
+    report = F.array_join(F.array_sort(F.transform(F.map_entries(F.from_json("report", "map<string,string>")), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return stored.read().withColumn("report", report)
+
+
+@query(f"""WITH {CALLS_SQL}, good AS (SELECT * FROM calls WHERE event_id % 11 <> 0) SELECT 'typed' AS store, call_type AS kind, count(*) AS total FROM good GROUP BY 2
+    UNION ALL SELECT 'records', 'cdr', count(*) FROM good UNION ALL SELECT 'entities', 'phone', count(*) FROM good WHERE msisdn <> '' UNION ALL SELECT 'entities', 'dialed', count(*) FROM good WHERE call_dialed_num <> ''
+    UNION ALL SELECT 'rejected', 'missing_start', count(*) FROM calls WHERE event_id % 11 = 0""")
+def ingest_three_stores(spark, d):
+    """Calls in two batches that overlap, the first sent twice, into typed, canonical and entity stores."""
+    rows = hashed_calls(calls(spark, d).withColumns({"call_org_num": F.lit(None).cast("string"), "_error": F.when(F.col("event_id") % 11 == 0, "missing_start")}))
+    stores = call_stores(spark, work_path(spark, "stores"), {"phone": "msisdn", "dialed": "call_dialed_num"}, buckets=16)
+    even = rows.where("event_id % 2 = 0")
+    stores.write(even, 0)
+    stores.write(even, 0)
+    stores.write(rows.where("event_id % 2 = 1 OR event_id % 20 = 0"), 1)
+    counted = lambda store, kind, total=F.count("*"): stores.read(store).groupBy(F.lit(store).alias("store"), kind.alias("kind")).agg(total.alias("total"))
+    rejected = counted("rejected", F.col("_error"), F.count_distinct("row_number"))
+    return counted("typed", F.col("call_type")).unionAll(counted("records", F.col("record_type"))).unionAll(counted("entities", F.col("entity_type"))).unionAll(rejected)
+
+
 _TRIMMED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
 
 
