@@ -73,17 +73,40 @@ def live_entries(touches: DataFrame, as_of: str, ttl_s: float) -> DataFrame:
     return last.where(age <= ttl_s)
 
 
-def rolling_pressure(events: DataFrame, key: str, time: str, window_s: int, order: str = "event_id") -> DataFrame:
+def rolling_pressure(events: DataFrame, key: str, time: str, window_s: int, order: str = "event_id", reset: Column | None = None) -> DataFrame:
     """Each event with the number of its key's events in the window up to it, both ends included.
 
     A key's events are cut into stretches of a window's length, each counted with the stretch before it, so that one
-    busy key is many tasks' work.  Events without a time are counted among themselves.
+    busy key is many tasks' work.  Events without a time are counted among themselves.  Where ``reset`` holds, the row is no event
+    but an action on the key: events before it no longer count, those of its own second do.
     """
     t = F.unix_timestamp(F.col(time).cast("timestamp"))
-    placed = events.select(order, key, t.alias("__t")).withColumn("__b", F.floor(F.col("__t") / max(1, window_s)))
+    acts = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
+    placed = events.select(order, key, t.alias("__t"), acts.alias("__r")).withColumn("__b", F.floor(F.col("__t") / max(1, window_s)))
     both = placed.withColumn("__own", F.lit(True)).unionAll(placed.where("__b IS NOT NULL").withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False)))
-    w = Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-window_s, 0)
-    return both.withColumn("pressure", F.count("*").over(w)).where("__own").select(order, key, "pressure")
+    since = [] if reset is None else ["__since"]
+    if since:  # resets so far in the two stretches: events of one number have none between them
+        both = both.withColumn("__since", F.count_if("__r").over(Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(key, "__b", *since).orderBy("__t").rangeBetween(-window_s, 0)
+    return both.withColumn("pressure", F.count_if(~F.col("__r")).over(w)).where("__own AND NOT __r").select(order, key, "pressure")
+
+
+def live_prefixes(log: DataFrame) -> DataFrame:
+    """(model, hash, node, replica, seq): what a log of observations and invalidations leaves.
+
+    log(seq, op, model, chain, node, replica): an ``observe`` puts its chain's hashes under a replica; an ``invalidate`` takes out
+    all that the replica was seen with before, one with a replica below 0 that of all the node's replicas.  Rows may come in any order.
+    """
+    seen = log.where("op = 'observe'").select("model", F.explode("chain").alias("hash"), "node", "replica", "seq").groupBy("model", "hash", "node", "replica").agg(F.max("seq").alias("seq"))
+    gone = log.where("op = 'invalidate'").groupBy("model", "node", F.greatest("replica", F.lit(-1)).alias("replica")).agg(F.max("seq").alias("gone"))
+    return without_gone(seen, gone)
+
+
+def without_gone(seen: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of seen(model, hash, node, replica, seq) behind the tombstones gone(model, node, replica, gone) of their replica and node."""
+    of_node = gone.where("replica < 0").select("model", "node", F.col("gone").alias("node_gone"))
+    rows = seen.join(gone.where("replica >= 0"), ["model", "node", "replica"], "left").join(of_node, ["model", "node"], "left")
+    return rows.where("seq > coalesce(gone, seq - 1) AND seq > coalesce(node_gone, seq - 1)").select("model", "hash", "node", "replica", "seq")
 
 
 def invalidated(entries: DataFrame, gone: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from corvane.sources.buckets import BucketTable
 from corvane.sources.views import CALLS_SQL, ENTITIES_SQL, USAGE_SQL, calls, entities, table, usage
 from corvane.sources.work import work_path
 from corvane.streaming import windows as S
+from corvane.streaming.prefixes import PrefixIndex
 from corvane.streaming.stores import call_stores, hashed_calls
 
 _book = Book()
@@ -125,6 +126,30 @@ def ingest_three_stores(spark, d):
     return counted("typed", F.col("call_type")).unionAll(counted("records", F.col("record_type"))).unionAll(counted("entities", F.col("entity_type"))).unionAll(rejected)
 
 
+@query("""WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+    b AS (SELECT a.event_id, a.user_id, a.t, greatest(a.t - 86400, coalesce(max(r.t), -1)) AS since FROM e a LEFT JOIN e r ON r.user_id = a.user_id AND r.event_type = 'purchase' AND r.t <= a.t WHERE a.event_type <> 'purchase' GROUP BY 1, 2, 3)
+    SELECT b.event_id, b.user_id, count(*) AS pressure FROM b JOIN e s ON s.user_id = b.user_id AND s.event_type <> 'purchase' AND s.t BETWEEN b.since AND b.t GROUP BY 1, 2""")
+def pressure_with_reset(spark, d):
+    """Events of each user in the last day, since the user's last purchase."""
+    return P.rolling_pressure(table(spark, d, "events"), "user_id", "ts", 86400, reset=F.col("event_type") == "purchase")
+
+
+@query("""WITH g AS (SELECT event_type AS model, user_id % 10 AS node, CASE WHEN event_id % 170 = 0 THEN -1 ELSE user_id % 3 END AS replica, max(event_id) AS gone FROM events WHERE event_id % 50 = 0 OR event_id % 170 = 0 GROUP BY ALL),
+    s AS (SELECT event_type AS model, user_id % 10 AS node, user_id % 3 AS replica, json_extract_string(props, '$.k') AS k, max(event_id) AS seq FROM events WHERE event_id % 50 <> 0 AND event_id % 170 <> 0 GROUP BY ALL)
+    SELECT model, 'n' || node AS node, count(*) AS total, CAST(sum(seq) AS BIGINT) AS seqs FROM s WHERE seq > coalesce((SELECT gone FROM g WHERE g.model = s.model AND g.node = s.node AND g.replica = s.replica), -1)
+    AND seq > coalesce((SELECT gone FROM g WHERE g.model = s.model AND g.node = s.node AND g.replica = -1), -1) GROUP BY 1, 2""")
+def prefix_log_live(spark, d):
+    """Events as a log of prefix observations, in which replicas and whole nodes are invalidated, folded into a table in two batches, out of order."""
+    gone = F.col("event_id") % 170 == 0
+    log = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.when(gone | (F.col("event_id") % 50 == 0), "invalidate").otherwise("observe").alias("op"), F.col("event_type").alias("model"), F.array(F.xxhash64(F.get_json_object("props", "$.k"))).alias("chain"),
+        F.concat(F.lit("n"), (F.col("user_id") % 10).cast("string")).alias("node"), F.when(gone, -1).otherwise(F.col("user_id") % 3).cast("int").alias("replica"))
+    index = PrefixIndex(spark, work_path(spark, "prefixes"), buckets=16)
+    for part in (1, 0):
+        index.fold(log.where(F.col("seq") % 2 == part))
+    return index.live().groupBy("model", "node").agg(F.count("*").alias("total"), F.sum("seq").alias("seqs"))
+
+
 _TRIMMED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
 
 
