@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 ROW = ["record_type", "batch_id", "row_number"]
 
 
-def unpivot(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """One row for each non-empty entity: kinds maps an entity type to its column."""
+def unpivot(rows: DataFrame, kinds: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each non-empty entity: kinds maps an entity type to its column; ``keep`` names columns that stay."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("entity_type"), F.col(c).alias("entity_value")) for k, c in kinds.items()])).alias("e")
-    return rows.select(*ROW, "seen_at", pairs).select(*ROW, "seen_at", "e.*").where("entity_value <> ''")
+    return rows.select(*keep, *ROW, "seen_at", pairs).select(*keep, *ROW, "seen_at", "e.*").where("entity_value <> ''")
 
 
 def entity_activity(entities: DataFrame, like: str = "", limit: int = 100) -> DataFrame:

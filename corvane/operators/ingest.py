@@ -93,11 +93,12 @@ def normalise_generic(rows: DataFrame, roles: dict[str, list[str]], date_order:
         pick("latitude").try_cast("double").alias("latitude"), pick("longitude").try_cast("double").alias("longitude"), F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))), 256).alias("row_hash"))
 
 
-def canonicalise_calls(calls: DataFrame, ingested_at: Column) -> DataFrame:
-    """Call records as canonical ones: the first non-empty party is primary, a missing time becomes that of ingest."""
+def canonicalise_calls(calls: DataFrame, ingested_at: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Call records as canonical ones: the first non-empty party is primary, a missing time becomes that of ingest; ``keep`` names
+    columns that stay."""
     party = F.coalesce(F.nullif(F.col("msisdn"), F.lit("")), F.nullif(F.col("call_org_num"), F.lit("")))
     payload = F.to_json(F.struct("msisdn", "call_dialed_num", "call_type", "direction", "duration_seconds", "cell_site_id"))
-    return calls.select(F.lit("cdr").alias("record_type"), "row_number", F.coalesce("call_start_ts", ingested_at).alias("timestamp"), party.alias("primary_entity"), F.col("call_dialed_num").alias("secondary_entity"), "location", payload.alias("raw_payload"))
+    return calls.select(*keep, F.lit("cdr").alias("record_type"), "row_number", F.coalesce("call_start_ts", ingested_at).alias("timestamp"), party.alias("primary_entity"), F.col("call_dialed_num").alias("secondary_entity"), "location", payload.alias("raw_payload"))
 
 
 _OBJECT = "map<string,variant>"

@@ -26,11 +26,11 @@ class Stores:
     """Tables under one path: ``first`` and those of ``derived`` (name to a function of its rows).
 
     Of rows with equal keys the first by ``order`` is kept, once for all batches.  Rows whose ``_error`` is not null go to the table
-    ``rejected`` of the same commit.
+    ``rejected`` of the same commit.  The columns of ``scope``, texts that all tables have, are partitions of each.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str, derived: dict[str, Callable[[DataFrame], DataFrame]], first: str = "typed", buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.order, self.derived, self.first, self.buckets = spark, path, key, order, derived, first, buckets
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str, derived: dict[str, Callable[[DataFrame], DataFrame]], first: str = "typed", scope: tuple[str, ...] = (), buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.order, self.derived, self.first, self.scope, self.buckets = spark, path, key, order, derived, first, scope, buckets
 
     def commits(self) -> list[int]:
         return sorted(int(n.split(".")[0]) for n in work.names_in(self.spark, f"{self.path}/_commits") if n.endswith(".json"))
@@ -47,8 +47,9 @@ class Stores:
         if not commits:
             raise LookupError(f"nothing was committed to {self.path}")
         schema = T.StructType.fromJson(json.loads(work.text_of(self.spark, self._marker(commits[-1])))[table])
-        partitions = [T.StructField("commit", T.LongType())] + ([T.StructField("bucket", T.IntegerType())] if table == self.first else [])
-        rows = self.spark.read.schema(T.StructType([*schema, *partitions])).parquet(f"{self.path}/{table}")
+        fields = [f for f in schema if f.name not in self.scope]
+        partitions = [T.StructField("commit", T.LongType()), *[f for f in schema if f.name in self.scope]] + ([T.StructField("bucket", T.IntegerType())] if table == self.first else [])
+        rows = self.spark.read.schema(T.StructType([*fields, *partitions])).parquet(f"{self.path}/{table}")
         if len(commits) <= NAMED:
             return rows.where(F.col("commit").isin(commits))
         return rows.join(F.broadcast(self.spark.createDataFrame([(c,) for c in commits], "commit long")), "commit")  # one number a commit
@@ -63,17 +64,16 @@ class Stores:
             touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
             stored = self.read(self.first).where(F.col("bucket").isin(touched))
         else:
-            stored = rows
-            stored = stored.limit(0)
+            stored = rows.limit(0)
         fresh = insert_ignore(stored, rows, self.key, self.order)
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(self.first, commit))
+        fresh.write.mode("overwrite").partitionBy(*self.scope, "bucket").parquet(self._folder(self.first, commit))
         written = self.spark.read.schema(fresh.schema).parquet(self._folder(self.first, commit)).drop("bucket")
         schemas = {self.first: written.schema, "rejected": bad.schema}
-        bad.write.mode("overwrite").parquet(self._folder("rejected", commit))
+        bad.write.mode("overwrite").partitionBy(*self.scope).parquet(self._folder("rejected", commit))
         for name, derive in self.derived.items():
             own = derive(written)
             schemas[name] = own.schema
-            own.write.mode("overwrite").parquet(self._folder(name, commit))
+            own.write.mode("overwrite").partitionBy(*self.scope).parquet(self._folder(name, commit))
         work.put_once(self.spark, self._marker(commit), json.dumps({k: T.StructType([T.StructField(f.name, f.dataType) for f in s]).jsonValue() for k, s in schemas.items()}))
 
     def run(self, stream: DataFrame, checkpoint: str):
@@ -86,15 +86,16 @@ def call_stores(spark: SparkSession, path: str, kinds: dict[str, str], buckets:
 
     Calls need batch_id, row_number, call_start_ts and the columns of canonical records; equal calls of one batch_id are one.
     """
-    identity = ["tenant_id", "collection_id", "file_id", "row_hash", "call_start_ts"]
+    scope = ("tenant_id", "collection_id")
+    identity = [*scope, "file_id", "row_hash", "call_start_ts"]
 
     def canonical(calls: DataFrame) -> DataFrame:
-        return canonicalise_calls(calls, F.current_timestamp().cast("timestamp_ntz"))
+        return canonicalise_calls(calls, F.current_timestamp().cast("timestamp_ntz"), scope)
 
     def index(calls: DataFrame) -> DataFrame:
-        return unpivot(calls.withColumns({"record_type": F.lit("cdr"), "seen_at": F.col("call_start_ts")}), kinds)
+        return unpivot(calls.withColumns({"record_type": F.lit("cdr"), "seen_at": F.col("call_start_ts")}), kinds, scope)
 
-    return Stores(spark, path, identity, "row_number", {"records": canonical, "entities": index}, buckets=buckets)
+    return Stores(spark, path, identity, "row_number", {"records": canonical, "entities": index}, scope=scope, buckets=buckets)
 
 
 def hashed_calls(calls: DataFrame, but: tuple[str, ...] = ("row_number", "_error")) -> DataFrame:

@@ -25,6 +25,36 @@ def test_batches_are_replaced_pruned_and_deleted(spark, tmp_path):
         store.write("../x", "c", "t", spark.range(1))
 
 
+def test_tenants_are_folders_and_batch_lists_prune(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    one, two = S.BatchStore(spark, path, "one"), S.BatchStore(spark, path, "two")
+    for k in range(4):
+        one.write(f"b{k}", "c1", "cdr", spark.range(10 + k), source_file=f"f{k}.csv", status="completed" if k % 2 else "failed")
+    two.write("b0", "c1", "cdr", spark.range(100))
+    (tmp_path / "b/_batches/tenant=one/broken.json").write_text("{")
+    assert one.read().count() == 46 and two.read().count() == 100 and all("/tenant=one/" in f for f in one.read().inputFiles())
+    assert {x["batch_id"]: (x["rows"], x["status"], x["source_file"]) for x in one.listed().collect()} == {f"b{k}": (10 + k, "completed" if k % 2 else "failed", f"f{k}.csv") for k in range(4)}
+    rows = one.read(batches=one.listed().where("status = 'completed'"))
+    assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString() and {x["batch_id"] for x in rows.collect()} == {"b1", "b3"} and rows.count() == 24
+    assert one.delete("c1", "cdr", "b1") and one.listed().count() == 3 and S.BatchStore(spark, path, "none").listed().count() == 0
+    with pytest.raises(ValueError):
+        S.BatchStore(spark, path, "../one")
+
+
+def test_uploads_of_a_scope_and_changed_files(spark, tmp_path):
+    for name, text in (("a", "one"), ("b", "two")):
+        (tmp_path / name).write_text(text)
+    files = S.uploads(spark, f"file://{tmp_path}")
+    jobs = files.select("path", "sha256", F.lit("t1").alias("tenant_id"), F.lit("c1").alias("collection_id"), F.lit("queued").alias("status"))
+    assert [S.new_uploads(files, jobs, tenant=t, collection=c).count() for t, c in (("t1", "c1"), ("t1", "c2"), ("t2", "c1"))] == [0, 2, 2]
+    saved = spark.createDataFrame(jobs.collect(), jobs.schema)
+    assert S.changed_uploads(spark, f"file://{tmp_path}", saved).count() == 0
+    (tmp_path / "a").write_text("other")
+    (tmp_path / "b").unlink()
+    got = {x["path"][-1]: x["actual"] is None for x in S.changed_uploads(spark, f"file://{tmp_path}", saved).collect()}
+    assert got == {"a": False, "b": True}
+
+
 def test_uploads_known_by_content(spark, tmp_path):
     for name, text in (("a", "one"), ("b", "two"), ("c", "one")):
         (tmp_path / name).write_text(text)

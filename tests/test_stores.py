@@ -110,6 +110,11 @@ def test_streams_and_pruning(spark, tmp_path):
     for _ in range(2):
         stores.run(stream, f"file://{tmp_path}/cp").awaitTermination()
         assert seen(stores) == {"typed": 36, "records": 36, "entities": 36, "rejected": 4} and stores.commits() == [0, 1, 2]
-    plan = stores.read("typed").where("bucket = 1")._jdf.queryExecution().executedPlan().toString()
+    plan = stores.read("typed").where("bucket = 1 AND tenant_id = 't'")._jdf.queryExecution().executedPlan().toString()
     filters = plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert "bucket#" in filters and "commit#" in filters
+    assert "bucket#" in filters and "commit#" in filters and "tenant_id#" in filters
+    from corvane.functions.predicates import in_scope
+
+    for table in ("records", "entities"):
+        plan = in_scope(stores.read(table), "t", "c")._jdf.queryExecution().executedPlan().toString()
+        assert "collection_id#" in plan.split("PartitionFilters: [")[1].split("]")[0]
