@@ -216,9 +216,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.when(F.col("start") == 0, F.regexp_replace(plain, "^﻿", "")).otherwise(plain).alias("value"))
 
 
-def read_records(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(all records, first records) as (file, number, record, long): number counts a file's records from 1; lines of blanks
-    between records are passed over.  A record of more than ``MOST`` characters has only those and is marked ``long``.
+def read_records(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame, int]:
+    """(all records, first records, number of files); records are (file, number, record, long), where number counts a file's
+    records from 1 and lines of blanks between records are passed over.  A record of more than ``MOST`` characters has only those
+    and is marked ``long``.
     """
     lines = _lines(spark, path)
     splits = _placed(lines.mapInArrow(_summaries(sep), f"{_KEY}, o boolean, i boolean, no long, ni long")).persist()  # a row for each split
@@ -239,7 +240,7 @@ def read_records(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFr
         torn = lines.join(F.broadcast(splits.where("inside OR ends").select("file", "start")), ["file", "start"], "left_semi")
         joined = _joined(torn.mapInArrow(cut, schema).where(F.col("part") != WHOLE), numbered)
         every, first = every.unionAll(joined), first.unionAll(joined)
-    return every, first.where("number = 1")
+    return every, first.where("number = 1"), splits.select("file").distinct().count()
 
 
 def _joined(fragments: DataFrame, numbered: DataFrame) -> DataFrame:

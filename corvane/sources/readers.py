@@ -19,6 +19,8 @@ from corvane.operators.ingest import parse_time
 from corvane.sources.delimited import cells, read_records
 
 FIELDS = "map<string,string>"
+#: Files up to which their headers are broadcast.
+MANY_FILES = 50_000
 
 
 def header_names(header: list[str]) -> list[str]:
@@ -73,8 +75,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     are numbered by record, whatever lines it takes.  A surplus field beside a header of its name gets one more number.  A record
     too long to be one goes with an error, and its beginning as ``line``.
     """
-    records, first = read_records(spark, path, sep)
+    records, first, files = read_records(spark, path, sep)
     headers = first.select("file", _names(cells(F.col("record"), sep)).alias("__names"))
+    # joined by shuffle, a large file's rows would be one task's; of very many files none is a large part
+    headers = F.broadcast(headers) if files <= MANY_FILES else headers
     rows = records.where("number > 1").withColumn("c", cells(F.when(~F.col("long"), F.col("record")), sep)).join(headers, "file")
     surplus = F.size("c") - F.size("__names")
     extra = F.when(surplus > 0, F.transform(F.sequence(F.lit(1), F.greatest(surplus, F.lit(1))), lambda i: F.concat(F.lit("extra_"), i))).otherwise(F.array().cast("array<string>"))

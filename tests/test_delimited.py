@@ -65,9 +65,10 @@ def small_splits(spark):
 
 
 def records(spark, path, sep=","):
-    found, first = D.read_records(spark, path, sep)
+    found, first, files = D.read_records(spark, path, sep)
     rows = sorted(found.select("file", "number", D.cells(found["record"], sep)).collect())
     assert sorted(first.select("file", "number").collect()) == [(f, 1) for f in sorted({x[0] for x in rows})]
+    assert files >= len({x[0] for x in rows})
     out = {}
     for file, number, fields in rows:
         out.setdefault(file.rsplit("/", 1)[1], []).append((number, fields))
