@@ -1,6 +1,7 @@
 """Queries over records of inferred schema: filter, sort, page, aggregate, correlate and the named helpers.
 
-A record is a row whose fields are text.  Two values compare as numbers if both are, else as times if both are, else as
+A record is a row whose fields are text, or VARIANT values that ``typed_fields`` made of them once; queries of stored values then
+parse none of them.  Two values compare as numbers if both are, else as times if both are, else as
 lower-case text.  Sorting and extremes rank a value by its number, then its time, then its text, so that the order is
 total: values that are no numbers come before numbers, and absent ones first.
 """
@@ -21,6 +22,63 @@ def clamp(limit: int | None, default: int = DEFAULT_LIMIT) -> int:
     return default if not limit or limit < 1 else min(limit, MAX_LIMIT)
 
 
+def typed_value(c: Column) -> Column:
+    """A text as a VARIANT: number, boolean (t, f, true, false), time, or else the trimmed text; null stays null."""
+    text = F.trim(c)
+    number, time, word = as_number(text), as_time(text), F.lower(text)
+    as_variant = lambda v: v.cast("variant")
+    return (
+        F.when(text.isNull() | (text == ""), as_variant(text)).when(number.isNotNull(), as_variant(number)).when(word.isin("t", "true"), as_variant(F.lit(True)))
+        .when(word.isin("f", "false"), as_variant(F.lit(False))).when(time.isNotNull(), as_variant(time)).otherwise(as_variant(text))
+    )
+
+
+def typed_fields(rows: DataFrame, fields: str = "fields") -> DataFrame:
+    """Rows whose map of texts has become one of VARIANT values, by ``typed_value``; every other column stays."""
+    return rows.withColumn(fields, F.transform_values(fields, lambda _, v: typed_value(v)))
+
+
+def unfolded(rows: DataFrame, names: list[str], fields: str = "fields") -> DataFrame:
+    """The rows with fields of these names as columns, in place of the map; a column of such a name is replaced."""
+    others = [c for c in rows.columns if c != fields and c not in names]
+    return rows.select(*others, *[F.try_element_at(fields, F.lit(n)).alias(n) for n in names])
+
+
+def _holds(c: Column, kind: str) -> Column:
+    return F.schema_of_variant(c) == kind
+
+
+class _Typed:
+    """What a VARIANT value is as a number, a time and a text: read, not parsed."""
+
+    @staticmethod
+    def number(c: Column) -> Column:
+        return F.when(_holds(c, "DOUBLE"), F.try_variant_get(c, "$", "double"))
+
+    @staticmethod
+    def time(c: Column) -> Column:
+        return F.when(_holds(c, "TIMESTAMP"), F.try_variant_get(c, "$", "timestamp"))
+
+    @staticmethod
+    def text(c: Column) -> Column:
+        number = F.regexp_replace(F.try_variant_get(c, "$", "double").cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+        time = F.date_format(F.try_variant_get(c, "$", "timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return F.when(_holds(c, "DOUBLE"), number).when(_holds(c, "TIMESTAMP"), time).otherwise(F.try_variant_get(c, "$", "string"))
+
+
+class _Plain:
+    """What a text is as a number, a time and a text."""
+
+    number = staticmethod(lambda c: as_number(c))
+    time = staticmethod(lambda c: as_time(c))
+    text = staticmethod(lambda c: c.cast("string"))
+
+
+def _kind(records: DataFrame, field: str):
+    """How a field's values are read: as they are stored, or as texts."""
+    return _Typed if field in records.columns and records.schema[field].dataType.typeName() == "variant" else _Plain
+
+
 def as_number(c: Column) -> Column:
     """Numbers, with thousands commas; digits that begin with 0 or are longer than 15 stay text."""
     text = F.regexp_replace(F.trim(c.cast("string")), ",", "")
@@ -32,42 +90,42 @@ def as_time(c: Column) -> Column:
     return parse_time(c.cast("string"), "month")
 
 
-def rank(c: Column) -> Column:
+def rank(c: Column, kind=_Plain) -> Column:
     """What a value sorts by: its number, its time in microseconds, its text."""
-    number = as_number(c)
-    time = F.when(number.isNull(), F.unix_micros(as_time(c)))
-    return F.struct(F.coalesce(number, F.lit(float("-inf"))).alias("number"), F.coalesce(time, F.lit(-(1 << 63))).alias("time"), F.coalesce(F.lower(c.cast("string")), F.lit("")).alias("text"))
+    number = kind.number(c)
+    time = F.when(number.isNull(), F.unix_micros(kind.time(c)))
+    return F.struct(F.coalesce(number, F.lit(float("-inf"))).alias("number"), F.coalesce(time, F.lit(-(1 << 63))).alias("time"), F.coalesce(F.lower(kind.text(c)), F.lit("")).alias("text"))
 
 
-def equals(c: Column, value) -> Column:
+def equals(c: Column, value, kind=_Plain) -> Column:
     """As numbers if both are, as times if both are, else as text without regard to case."""
     v = F.lit(str(value))
-    return F.coalesce(as_number(c) == as_number(v), as_time(c) == as_time(v), F.lower(c.cast("string")) == F.lower(v), F.lit(False))
+    return F.coalesce(kind.number(c) == as_number(v), kind.time(c) == as_time(v), F.lower(kind.text(c)) == F.lower(v), F.lit(False))
 
 
-def condition(field: str, op: str, value=None, columns: list[str] = ()) -> Column:
+def condition(field: str, op: str, value=None, columns: list[str] = (), kind=_Plain) -> Column:
     """One filter; an unknown operator or a blank or unknown field lets no row pass (``ne`` and ``not_exists``: every row
     without the field)."""
     if not field or (columns and field not in columns):
         return F.lit(bool(field) and op in ("ne", "not_exists", "!=", "missing"))
     c = F.col(field)
-    given = c.isNotNull() & (c.cast("string") != "")
+    given = c.isNotNull() & (kind.text(c) != "")
     if op in ("eq", "=", "==", "equals"):
-        return given & equals(c, value)
+        return given & equals(c, value, kind)
     if op in ("ne", "!=", "not_equals"):
-        return ~given | ~equals(c, value)
+        return ~given | ~equals(c, value, kind)
     if op in ("contains", "like"):
-        return given & F.contains(F.lower(c.cast("string")), F.lit(str(value).lower()))
+        return given & F.contains(F.lower(kind.text(c)), F.lit(str(value).lower()))
     if op == "in":
         out = F.lit(False)
         for v in value:
-            out = out | equals(c, v)
+            out = out | equals(c, v, kind)
         return given & out
     if op in ("gt", ">", "gte", ">=", "lt", "<", "lte", "<="):
         v = F.lit(str(value))
         sign = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}.get(op, op)
         hold = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}[sign]
-        return given & F.coalesce(hold(as_number(c), as_number(v)), hold(as_time(c), as_time(v)), hold(F.lower(c.cast("string")), F.lower(v)))
+        return given & F.coalesce(hold(kind.number(c), as_number(v)), hold(kind.time(c), as_time(v)), hold(F.lower(kind.text(c)), F.lower(v)))
     if op in ("exists", "not_exists", "missing"):
         return given if op == "exists" else ~given
     return F.lit(False)
@@ -77,11 +135,12 @@ def query(records: DataFrame, filters=(), sort=(), id_col: str = "id", limit: in
     """Filters are ANDed; sort is (field, descending) pairs with the id as tie-break; absent values sort as empty text."""
     out = records
     for f in filters:
-        out = out.where(condition(f[0], f[1], f[2] if len(f) > 2 else None, records.columns))
+        out = out.where(condition(f[0], f[1], f[2] if len(f) > 2 else None, records.columns, _kind(records, f[0])))
     keys = []
     for field, down in sort:
         if field in records.columns:
-            keys.append(rank(F.col(field)).desc() if down else rank(F.col(field)).asc())
+            key = rank(F.col(field), _kind(records, field))
+            keys.append(key.desc() if down else key.asc())
     out = out.orderBy(*keys, id_col).offset(max(0, offset)).limit(clamp(limit))
     return out.select(*[c for c in fields if c in records.columns]) if fields else out
 
@@ -92,19 +151,19 @@ def group_count(records: DataFrame, by: list[str], limit: int | None = None) ->
 
 def distinct_values(records: DataFrame, field: str, order: str) -> DataFrame:
     """Values without regard to case, each in the spelling that came last."""
-    v = F.col(field).cast("string")
+    v = _kind(records, field).text(F.col(field))
     return records.where(v.isNotNull() & (v != "")).groupBy(F.lower(v).alias("key")).agg(F.max_by(v, F.col(order)).alias("value")).orderBy("key")
 
 
 def extreme(records: DataFrame, field: str, order: str, largest: bool = False) -> DataFrame:
     """The first row, by ``order``, of those with the field's smallest (largest) value; blank ones are left out."""
-    c = F.col(field)
-    key = rank(c).desc() if largest else rank(c).asc()
-    return records.where(c.isNotNull() & (F.trim(c.cast("string")) != "")).orderBy(key, order).limit(1)
+    c, kind = F.col(field), _kind(records, field)
+    key = rank(c, kind).desc() if largest else rank(c, kind).asc()
+    return records.where(c.isNotNull() & (F.trim(kind.text(c)) != "")).orderBy(key, order).limit(1)
 
 
 def top_values(records: DataFrame, field: str, n: int = 10) -> DataFrame:
-    v = F.lower(F.col(field).cast("string"))
+    v = F.lower(_kind(records, field).text(F.col(field)))
     return records.where(v.isNotNull() & (v != "")).groupBy(v.alias("value")).agg(F.count("*").alias("total")).orderBy(F.desc("total"), "value").limit(n)
 
 

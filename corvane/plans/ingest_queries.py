@@ -18,6 +18,7 @@ from corvane.sources.views import CALLS_SQL, ENTITIES_SQL, USAGE_SQL, calls, ent
 from corvane.sources.work import work_path
 from corvane.streaming import windows as S
 from corvane.streaming.prefixes import PrefixIndex
+from corvane.streaming.replay import EventLog
 from corvane.streaming.stores import call_stores, hashed_calls
 
 _book = Book()
@@ -150,6 +151,16 @@ def prefix_log_live(spark, d):
     return index.live().groupBy("model", "node").agg(F.count("*").alias("total"), F.sum("seq").alias("seqs"))
 
 
+@query("""WITH l AS (SELECT *, event_id // 1000 AS s FROM events), k AS (SELECT DISTINCT s FROM l ORDER BY s DESC LIMIT 2), g AS (SELECT max(event_id) AS dropped FROM l WHERE user_id = 7 AND s NOT IN (SELECT s FROM k))
+    SELECT event_id AS seq, props AS payload FROM l WHERE user_id = 7 AND event_id > coalesce((SELECT dropped FROM g), -1)""")
+def replay_after_eviction(spark, d):
+    """A log of all users' events of which the latest two segments are kept; one user's, after the last that was taken away."""
+    log = EventLog(spark, work_path(spark, "log"), segment=1000)
+    log.append(table(spark, d, "events").select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("seq"), F.col("props").alias("payload")))
+    log.evict(2)
+    return log.after("7", log.dropped("7")).select("seq", "payload")
+
+
 _TRIMMED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
 
 

@@ -10,6 +10,7 @@ from corvane.operators import ingest as I
 from corvane.operators import records as R
 from corvane.plans.book import Book
 from corvane.sources.views import CALLS_SQL, GENERIC_SQL, JOBS_SQL, calls, generic, jobs, table
+from corvane.sources.work import work_path
 
 _book = Book()
 query = _book.add
@@ -160,6 +161,17 @@ def e3_filter_sort_page(spark, d):
     return R.query(_records(spark, d), [("call_type", "eq", "Click"), ("duration_seconds", "gte", "20"), ("location", "ne", "l1")], [("duration_seconds", True)], offset=10, fields=["id", "msisdn", "duration_seconds", "call_type"])
 
 
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_extendedprice >= 20000 AND l_shipdate < DATE '1996-01-01' AND lower(l_returnflag) = 'r'
+    ORDER BY round(l_extendedprice, 2) DESC, l_shipdate, id LIMIT 200""")
+def e3_typed_values(spark, d):
+    """Fields of text stored as VARIANT once, then filtered and sorted as stored."""
+    fields = F.create_map(F.lit("price"), F.format_number("l_extendedprice", 2), F.lit("shipped"), F.date_format("l_shipdate", "MM/dd/yyyy"), F.lit("flag"), F.concat(F.lit(" "), F.col("l_returnflag")))
+    path = work_path(spark, "typed")
+    R.typed_fields(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), fields.alias("fields"))).write.parquet(path)
+    rows = R.unfolded(spark.read.parquet(path), ["price", "shipped", "flag"])
+    return R.query(rows, [("price", "gte", "20,000"), ("shipped", "lt", "1996-01-01"), ("flag", "eq", "R")], [("price", True), ("shipped", False)], limit=200, fields=["id"])
+
+
 @query(f"WITH {CALLS_SQL} SELECT call_type, location, count(*) AS total FROM calls GROUP BY 1, 2 ORDER BY total DESC, 1, 2 LIMIT 100")
 def e3_group_count(spark, d):
     return R.group_count(_records(spark, d), ["call_type", "location"])
