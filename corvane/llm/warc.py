@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -118,7 +119,11 @@ RECORD = T.StructType([
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and text.strip().lstrip("-").isdigit() and len(text) < 19 else None
+    """A whole number of 64 bits; anything else, such as other scripts' digits, is none."""
+    if not text or not re.fullmatch(r"-?[0-9]{1,19}", text, re.ASCII):
+        return None
+    n = int(text)
+    return n if -(1 << 63) <= n < 1 << 63 else None
 
 
 def _next_record(data: bytes, at: int) -> int:
@@ -182,7 +187,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 out = pd.DataFrame(rows, columns=RECORD.names)
                 if not payloads:
                     out["payload_bytes"] = pd.array([None if p is None else len(p) for p in out.pop("payload")], dtype="Int64")
-                out["page_id"], out["refers_to"] = out["page_id"].astype("Int64"), out["refers_to"].astype("Int64")
+                for column, place in (("page_id", 0), ("refers_to", 4)):  # not by way of doubles, which large ids would lose digits in
+                    out[column] = pd.array([r[place] for r in rows], dtype="Int64")
                 yield out
 
     with _one_by_one(spark):

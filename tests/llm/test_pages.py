@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.llm import urls as U
@@ -44,6 +47,33 @@ def test_payloads_are_stored_once(spark, tmp_path):
     assert {x["refers_to"] for x in records if x["payload"] is None} == {49}
 
 
+def test_ids_at_both_ends_of_their_range(spark, tmp_path):
+    big = "x" * 1500
+    ids = [(1 << 63) - 1, -(1 << 63), 10**18, -(10**18), 1234567890123456789, 2**53 + 1, 0, 5, None]
+    pages = spark.createDataFrame([(i, "u", big, "") for i in ids] + [(7, "u", "other", "")], SCHEMA)
+    got = {x["page_id"]: x["refers_to"] for x in W.deduplicated(spark, pages).collect()}
+    assert got == {i: None if i == (1 << 63) - 1 else (1 << 63) - 1 for i in ids} | {7: None}
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    W.write_archives(W.resolved(W.headers_of(pages)), a)
+    assert W.deduplicate_archives(spark, a, b).count() == 0
+    assert {x["page_id"]: x["refers_to"] for x in W.read_archives(spark, b).collect()} == got
+
+
+@pytest.mark.parametrize("size", ["²", "--5", "-", "-1", "9" * 19, "9" * 30, "1e3", "٣", " ", "+4", "0x10", ""])
+def test_damaged_numbers_are_damaged_records(size):
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\n\r\n\r\na\r\n\r\n"
+    bad = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {size}\r\n\r\nabc\r\n\r\n".encode()
+    assert [r[2] for r in W.parse(good + bad + good)] == ["response", "damaged", "response"]
+
+
+@given(st.lists(st.one_of(st.binary(max_size=40), st.sampled_from([b"WARC/1.1\r\n", b"\r\n\r\n", b"Content-Length: ", b"Page-ID: ", b"WARC-Type: revisit\r\n", b"3", b"-", "²".encode(), b"\r\n"])), max_size=20))
+@settings(max_examples=400, deadline=None)
+def test_no_bytes_make_the_parser_fail(parts):
+    data = b"".join(parts)
+    found = list(W.parse(data))
+    assert all(len(r) == len(W.RECORD.names) for r in found) and sum(len(r[7] or b"") for r in found) <= len(data)
+
+
 def test_empty_pages(spark):
     assert W.deduplicated(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
