@@ -44,6 +44,10 @@ def clamp(limit: int | None, default: int = 20, most: int = 100) -> int:
     return default if not limit or limit < 1 else min(limit, most)
 
 
+def clamp_offset(offset: int | None, most: int = 100_000) -> int:
+    return min(max(0, offset or 0), most)
+
+
 def payload_value(payload: Column, key: str) -> Column:
     """The value of a key in a text map: exact name, else the first name equal without regard to case."""
     other = F.element_at(F.map_values(F.map_filter(payload, lambda k, _: F.lower(k) == key.lower())), 1)

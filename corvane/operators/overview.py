@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.evidence import COUNTS, record_families
+
 
 def evidence_list(items: DataFrame, jobs: DataFrame, assets: DataFrame) -> DataFrame:
     """Evidence beside its jobs and assets, each missing side null."""
@@ -31,6 +33,18 @@ def evidence_search(items: DataFrame, text: str = "", columns: tuple[str, ...] =
     return items.where(hit)
 
 
+def collection_overview(jobs: DataFrame, assets: DataFrame | None = None, limit: int = 20) -> dict[str, DataFrame]:
+    """A collection's latest jobs and assets, the newest first, and its record families, those of most rows first."""
+    pick = lambda df, names: [c for c in names if c in df.columns]
+    latest = jobs.orderBy(*[F.desc_nulls_last(c) for c in pick(jobs, ("queued_at",))], *pick(jobs, ("source_file", "file_id", "record_type"))).limit(limit)
+    shown = latest.select(*pick(jobs, ("source_file", "file_id", "record_type", "status", *COUNTS, "queued_at", "completed_at")))
+    out = {"jobs": shown, "record_families": record_families(jobs).orderBy(F.desc("total_rows"), "record_type")}
+    if assets is not None:
+        newest = assets.orderBy(*[F.desc_nulls_last(c) for c in pick(assets, ("created_at",))], *pick(assets, ("source_file", "file_id"))).limit(limit)
+        out["assets"] = newest.select(*(pick(assets, ("source_file", "file_id", "detected_record_type", "structured_status", "rag_status", "source_entry", "size_bytes", "created_at")) or assets.columns))
+    return out
+
+
 def collection_status(jobs: DataFrame, assets: DataFrame, errors: DataFrame) -> DataFrame:
     """One row of independent counts, each from one pass over its table."""
     j = jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))

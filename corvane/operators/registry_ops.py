@@ -14,6 +14,11 @@ def least_in_flight(nodes: DataFrame, replicas: DataFrame, n: int = 1) -> DataFr
     return nodes.join(load, "node_id", "left").withColumn("load", F.coalesce("load", F.lit(0))).orderBy("load", F.desc("free_memory"), "node_id").limit(n)
 
 
+def pending_by_backend(operations: DataFrame) -> DataFrame:
+    """Pending operations of each backend, with the nodes that they wait on."""
+    return operations.groupBy("backend").agg(F.count("*").alias("pending"), F.count_distinct("node_id").alias("nodes"))
+
+
 def idle_nodes(nodes: DataFrame, replicas: DataFrame) -> DataFrame:
     return nodes.join(replicas.select("node_id").distinct(), "node_id", "left_anti")
 

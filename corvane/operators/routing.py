@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,10 +40,9 @@ def covering_candidate(requests: DataFrame, candidates: DataFrame) -> DataFrame:
 def least_loaded(nodes: DataFrame, group: str, abs_slack: int = 2, rel_slack: float = 1.5) -> DataFrame:
     """In each group the node to send to: of those within the load guard the one of the hottest prefix (a match ratio
     of 0.3 or more), else the coldest; if none is within it, the least loaded."""
-    w = Window.partitionBy(group)
-    low = F.min("in_flight").over(w)
-    ok = (F.col("in_flight") <= low + abs_slack) & (F.col("in_flight") <= low * rel_slack + 1)
-    guarded = nodes.withColumn("within", ok)
+    low = nodes.groupBy(F.col(group).alias("__group")).agg(F.min("in_flight").alias("__low"))  # joined back, as a window would bring a group into one task
+    ok = (F.col("in_flight") <= F.col("__low") + abs_slack) & (F.col("in_flight") <= F.col("__low") * rel_slack + 1)
+    guarded = nodes.join(low, F.col(group).eqNullSafe(F.col("__group"))).withColumn("within", ok)
     hot = F.col("match_ratio") >= 0.3
     rank = F.struct((~F.col("within")).cast("int"), (~hot).cast("int"), F.when(hot, -F.col("match_ratio")).otherwise(F.col("weight")), "in_flight", "node_id")
     return guarded.groupBy(group).agg(F.min_by("node_id", rank).alias("node_id"), F.max("in_flight").alias("most_in_flight"))

@@ -53,10 +53,14 @@ def quota_status(usage: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
     """Each rule (rule_id, user_id, model or '' for all, max_requests, max_total_tokens, window_seconds) with its use
     in the window that ends at as_of, and whether a maximum is reached."""
     end = F.lit(as_of).cast("timestamp_ntz")
-    u = usage.select(F.col("user_id").alias("u"), F.col("model").alias("m"), "created_at", "total_tokens").where(F.col("created_at") <= end)
+    longest = rules.agg(F.max("window_seconds")).first()[0] or 0
+    u = usage.select(F.col("user_id").alias("u"), F.col("model").alias("m"), "created_at", "total_tokens").where((F.col("created_at") <= end) & (F.col("created_at") > end - F.make_dt_interval(secs=F.lit(longest + 1))))
     age = F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))
-    joined = rules.join(u, (F.col("user_id") == F.col("u")) & ((F.col("model") == "") | (F.col("model") == F.col("m"))) & (age < F.col("window_seconds")), "left")
-    used = joined.groupBy(*rules.columns).agg(F.count("u").alias("requests"), F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("long").alias("tokens"))
+    # a user's use is brought together by second and model before it meets the rules, most of which share a window
+    spans = rules.select(F.col("user_id").alias("u"), F.col("window_seconds").alias("w")).distinct()
+    counted = u.groupBy("u", "m", age.alias("age")).agg(F.count("*").alias("n"), F.sum("total_tokens").alias("t")).join(spans, "u").where(F.col("age") < F.col("w")).groupBy("u", "m", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    joined = rules.join(counted, (F.col("user_id") == F.col("u")) & (F.col("window_seconds") == F.col("w")) & ((F.col("model") == "") | (F.col("model") == F.col("m"))), "left")
+    used = joined.groupBy(*rules.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("tokens"))
     over = (F.col("max_requests") > 0) & (F.col("requests") >= F.col("max_requests")) | (F.col("max_total_tokens") > 0) & (F.col("tokens") >= F.col("max_total_tokens"))
     return used.withColumn("exceeded", over)
 

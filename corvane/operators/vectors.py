@@ -33,10 +33,19 @@ def cosine(a: Column, b: Column, unit: bool = False) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def top_k(store: DataFrame, query: list[float], k: int, key: str = "key", tie: str = "value", unit: bool = False) -> DataFrame:
-    """The k most similar rows, by similarity and then ``tie``; a partial top-k is kept in each task."""
+def is_unit(store: DataFrame, key: str = "key", within: float = 1e-6) -> bool:
+    """Whether every vector has a length of one; an empty store has."""
+    return (store.where(F.col(key).isNotNull()).agg(F.max(F.abs(norm(F.col(key)) - 1))).first()[0] or 0.0) <= within
+
+
+def top_k(store: DataFrame, query: list[float], k: int, key: str = "key", tie: str = "value", unit: bool | None = False) -> DataFrame:
+    """The k most similar rows, by similarity and then ``tie``; a partial top-k is kept in each task.
+
+    With ``unit`` None a pass over the store finds whether norms can be left out: if its vectors and the query are of length one."""
     if k < 1:
         raise ValueError("k must be at least 1")
+    if unit is None:
+        unit = abs(sum(x * x for x in query) ** 0.5 - 1) <= 1e-6 and is_unit(store, key)
     q = F.array(*[F.lit(float(x)) for x in query])
     return store.withColumn("similarity", cosine(F.col(key), q, unit)).orderBy(F.desc("similarity"), tie).limit(k)
 
@@ -205,13 +214,13 @@ def get(store: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return store.join(keys.select(key).distinct(), key, "left_semi").orderBy(key)
 
 
-def identify(store: DataFrame, probe: list[float] | DataFrame, k: int = 5, threshold: float = 0.35, tie: str = "value", **how) -> DataFrame:
+def identify(store: DataFrame, probe: list[float] | DataFrame, k: int = 5, threshold: float = 0.35, tie: str = "value", strict: bool = False, **how) -> DataFrame:
     """The k nearest of a probe, or of each row of a table of probes, by cosine distance, with a confidence of 100 at
-    distance 0 and 0 at the threshold."""
+    distance 0 and 0 at the threshold.  ``strict`` takes no distance that equals the threshold for a match."""
     distance = 1 - F.col("similarity")
     found = search(store, probe, k, value=tie, **how) if isinstance(probe, DataFrame) else top_k(store, probe, k, tie=tie)
     found = found.withColumn("distance", distance)
-    return found.withColumn("matched", F.col("distance") <= threshold).withColumn("confidence", F.least(F.lit(100.0), F.greatest(F.lit(0.0), (1 - F.col("distance") / threshold) * 100)))
+    return found.withColumn("matched", F.col("distance") < threshold if strict else F.col("distance") <= threshold).withColumn("confidence", F.least(F.lit(100.0), F.greatest(F.lit(0.0), (1 - F.col("distance") / threshold) * 100)))
 
 
 def similarity_histogram(similarities: DataFrame, column: str = "similarity", bins: int = 10) -> DataFrame:

@@ -91,7 +91,7 @@ def payload_merge(spark, d):
     return table(spark, d, "events").select("event_id", *[F.get_json_object(merged, f"$.{k}").alias(k) for k in ("k", "seen", "odd")])
 
 
-@query("SELECT conv_id, turn, 2 AS entries, text AS last FROM conversations")
+@query("SELECT conv_id, turn, CAST(json_array_length(l) AS INTEGER) AS entries, json_extract_string(l, '$[1].m') AS last FROM (SELECT *, json_array(role, json_object('m', coalesce(text, ''))) AS l FROM conversations)")
 def log_append(spark, d):
     log = I.appended_json(F.to_json(F.array("role")), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("m"))))
     return table(spark, d, "conversations").select("conv_id", "turn", F.json_array_length(log).alias("entries"), F.get_json_object(log, "$[1].m").alias("last"))
@@ -173,9 +173,9 @@ def csv_quoted_lines(spark, d):
     return R.read_delimited(spark, path).select(field("doc_id").cast("long").alias("doc_id"), field("source").alias("source"), F.md5(field("text")).alias("digest"))
 
 
-@query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_type), ' '), 'steel')")
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_type), ' '), 'promo')")
 def tag_filter(spark, d):
-    return N.with_tag(table(spark, d, "part").withColumn("tags", F.split("p_type", " ")), "tags", "Steel").select("p_partkey")
+    return N.with_tag(table(spark, d, "part").withColumn("tags", F.split("p_type", " ")), "tags", "Promo").select("p_partkey")
 
 
 @query("SELECT event_type, count(*) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY GROUP BY 1")
@@ -234,11 +234,12 @@ def record_schema(spark, d):
     return schema_of(table(spark, d, "events").select(F.lit("cdr").alias("record_type"), fields.alias("fields")))
 
 
-@query("""SELECT 'shipped' AS field, 'time' AS type, count(*) AS non_empty FROM lineitem UNION ALL SELECT 'flag', 'string', count(*) FROM lineitem UNION ALL SELECT 'price', 'number', count(*) FROM lineitem
-    UNION ALL SELECT 'note', 'empty', 0 FROM lineitem GROUP BY 1""")
+@query("""WITH c AS (SELECT unnest(['shipped', 'flag', 'price', 'note', 'mix']) AS field, unnest([strftime(l_shipdate, '%Y-%m-%d'), l_returnflag, CAST(l_extendedprice AS VARCHAR), '', CASE WHEN l_linenumber = 1 THEN 'x' ELSE '2' END]) AS v FROM lineitem),
+    k AS (SELECT field, CASE WHEN v = '' THEN NULL WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 'number' WHEN lower(v) IN ('true', 'false') THEN 'bool' WHEN try_strptime(v, '%Y-%m-%d') IS NOT NULL THEN 'time' ELSE 'string' END AS kind FROM c)
+    SELECT field, CASE count(DISTINCT kind) WHEN 0 THEN 'empty' WHEN 1 THEN max(kind) ELSE 'mixed' END AS type, count(kind) AS non_empty FROM k GROUP BY 1""")
 def inferred_types(spark, d):
     x = table(spark, d, "lineitem")
-    fields = F.create_map(F.lit("shipped"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("flag"), F.col("l_returnflag"), F.lit("price"), F.format_number("l_extendedprice", 2), F.lit("note"), F.lit(""))
+    fields = F.create_map(F.lit("shipped"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("flag"), F.col("l_returnflag"), F.lit("price"), F.format_number("l_extendedprice", 2), F.lit("note"), F.lit(""), F.lit("mix"), F.when(F.col("l_linenumber") == 1, "x").otherwise("2"))
     return R.infer_types(x.select(fields.alias("fields"), F.lit(None).cast("string").alias("_error"))).select("field", "type", "non_empty")
 
 

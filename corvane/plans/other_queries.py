@@ -402,10 +402,17 @@ def node_least_loaded(spark, d):
     return N.least_in_flight(_nodes(spark, d), _replicas(spark, d), 5).select("node_id", "load")
 
 
-@query("SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority < '3')")
 def idle_antijoin(spark, d):
-    """Customers as nodes, their orders as replicas: those without any."""
-    return N.idle_nodes(table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("node_id")))
+    """Customers as nodes, their pressing open orders as replicas: those without any."""
+    busy = table(spark, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority < '3'")
+    return N.idle_nodes(table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), busy.select(F.col("o_custkey").alias("node_id")))
+
+
+@query("SELECT o_orderpriority AS backend, count(*) AS pending, count(DISTINCT o_custkey) AS nodes FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")
+def pending_by_backend(spark, d):
+    rows = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return N.pending_by_backend(rows.select(F.col("o_orderpriority").alias("backend"), F.col("o_custkey").alias("node_id")))
 
 
 @query("SELECT s_suppkey AS node_id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1 AND s_acctbal > 0")
@@ -470,10 +477,12 @@ def signal_rms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(O.rms(F.col("embedding")), 8).alias("rms"))
 
 
-@query(f"""WITH {_NODES_SQL} SELECT node_id, replica_id, in_flight FROM replicas JOIN nodes USING (node_id) ORDER BY CASE WHEN node_id = 3 AND replica_id = -1 THEN 0 ELSE 1 END, in_flight, last_used, free_memory DESC, node_id, replica_id LIMIT 1""")
+@query(f"""WITH {_NODES_SQL} SELECT node_id, replica_id, in_flight FROM replicas JOIN nodes USING (node_id) ORDER BY CASE WHEN node_id = 3 AND replica_id = (SELECT max(replica_id) FROM replicas WHERE node_id = 3) THEN 0 ELSE 1 END, in_flight, last_used, free_memory DESC, node_id, replica_id LIMIT 1""")
 def preferred_replica(spark, d):
+    """The replica asked for, which is there: the last one of node 3, that no other order would pick."""
     both = _replicas(spark, d).join(_nodes(spark, d).select("node_id", "free_memory"), "node_id")
-    return O.preferred_replica(both, 3, -1).select("node_id", "replica_id", "in_flight")
+    wanted = both.where("node_id = 3").agg(F.max("replica_id")).first()[0]
+    return O.preferred_replica(both, 3, wanted).select("node_id", "replica_id", "in_flight")
 
 
 @query("SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY 2")

@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from corvane.functions.predicates import payload_filter, payload_value
+from corvane.functions.predicates import clamp_offset, payload_filter, payload_value
 from corvane.operators.records import clamp, rank
 
 #: Templates and the words that call for them, in order of precedence.
@@ -95,8 +95,21 @@ def target_type(target: str) -> str:
     return "identifier" if any(c.isdigit() for c in target) else "entity"
 
 
+#: Words that are no targets, and what is a word and a number.
+_NO_TARGETS = ("call", "calls", "data", "record", "records")
+_NO_TARGET = re.compile(r"(?:on|in|at|by|from|to)-?[0-9]{1,6}", re.I)
+
+
+def _day(digits: str) -> bool:
+    """Whether eight digits are a day: year, month, day."""
+    try:
+        return len(digits) == 8 and bool(datetime.strptime(digits, "%Y%m%d"))
+    except ValueError:
+        return False
+
+
 def extract_targets(question: str) -> list[str]:
-    """Addresses, numbers and identifiers in order of place; dates are none."""
+    """Addresses, numbers and identifiers in order of place; dates, words of the trade and a word with a number are none."""
     found = []
     taken = [m.span() for p, _ in _DATES for m in p.finditer(question)]
     for pattern in _TARGETS:
@@ -112,6 +125,8 @@ def extract_targets(question: str) -> list[str]:
                 value = number
             else:
                 value = re.sub(r"[\s_]+", "-", text.upper())
+            if value.lower() in _NO_TARGETS or _NO_TARGET.fullmatch(value) or not re.search(r"[A-Za-z]", text) and _day(number):
+                continue
             found.append((m.start(), value))
             taken.append(m.span())
     return list(dict.fromkeys(v for _, v in sorted(found)))
@@ -172,6 +187,7 @@ def answer(question: str, calls, generic, entities, jobs=None, limit: int = 20,
     from corvane.operators import calls as C
     from corvane.operators import entities as E
     from corvane.operators import evidence as V
+    from corvane.operators import overview as O
     from corvane.operators import records as R
 
     if tenant is not None:
@@ -202,7 +218,7 @@ def answer(question: str, calls, generic, entities, jobs=None, limit: int = 20,
         "entity_timeline": lambda: C.entity_timeline(calls, generic, target), "source_records": lambda: {"calls": C.source_records(calls, target, limit), "generic": C.generic_source_records(generic, target, limit)},
         "canonical_records": lambda: canonical_rows(needed("canonical records", canonical), canonical_hints(question), start, stop),
         "entity_activity": lambda: E.entity_activity(entities, target), "first_seen_last_seen": lambda: E.first_seen_last_seen(entities), "relationship_network": lambda: E.relationship_network(entities, target),
-        "collection_overview": lambda: V.record_families(needed("jobs", jobs)), "data_quality": quality, "schema_profile": lambda: R.schema_of(needed("rows", rows)),
+        "collection_overview": lambda: O.collection_overview(needed("jobs", jobs), assets, R.clamp(limit)), "data_quality": quality, "schema_profile": lambda: R.schema_of(needed("rows", rows)),
         "anpr_sightings": lambda: C.sightings(generic, target), "case_readiness": lambda: V.case_readiness(needed("jobs", jobs), needed("assets", assets)),
     }
     found = run[ALIASES.get(p.template, p.template)]()
@@ -280,4 +296,4 @@ def canonical_rows(canonical, hints: Hints, start: str | None = None, stop: str
     if hints.sort:
         key = F.col(hints.sort[0]).cast("string") if hints.sort[0] in out.columns else payload_value(F.col("payload"), hints.sort[0])
         order = [rank(key).desc() if hints.sort[1] else rank(key).asc(), *order]
-    return out.orderBy(*order).offset(max(0, hints.offset or 0)).limit(clamp(hints.limit))
+    return out.orderBy(*order).offset(clamp_offset(hints.offset)).limit(clamp(hints.limit))

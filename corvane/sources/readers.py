@@ -21,6 +21,8 @@ from corvane.sources.delimited import cells, read_records
 FIELDS = "map<string,string>"
 #: Files up to which their headers are broadcast.
 MANY_FILES = 50_000
+#: Bytes of a JSON line at most.
+LINE_BYTES = 1 << 24
 
 
 def header_names(header: list[str]) -> list[str]:
@@ -98,11 +100,23 @@ def _flat(value: Column, levels: int = 6) -> Column:
     return out
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line; blank lines are passed over, any other line is kept with an error."""
+def read_json_lines(spark: SparkSession, path: str, most: int = LINE_BYTES) -> DataFrame:
+    """One object a line; blank lines are passed over, any other line is kept with an error, one of more than ``most`` bytes with
+    its beginning only."""
     rows = _lines(spark, path).where("trim(value) <> ''")
-    good = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
-    return rows.select("source_file", (F.col("line_number") + 1).alias("row_number"), F.when(good, _flat(F.col("value"))).otherwise(F.create_map(F.lit("line"), F.col("value"))).alias("fields"), F.when(~good, "bad_json").alias("_error"))
+    long = F.octet_length("value") > most
+    kept = rows.withColumn("__long", long).withColumn("value", F.when(long, F.left("value", F.lit(1000))).otherwise(F.col("value")))
+    good = ~F.col("__long") & F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
+    error = F.when(F.col("__long"), "long_line").when(~good, "bad_json")
+    return kept.select((F.col("line_number") + 1).alias("row_number"), "source_file", F.when(good, _flat(F.col("value"))).otherwise(F.create_map(F.lit("line"), F.col("value"))).alias("fields"), error.alias("_error")).select("source_file", "row_number", "fields", "_error")
+
+
+def some_rows(rows: DataFrame) -> DataFrame:
+    """The rows, unless all of them are errors, which is one."""
+    bad = rows.where("_error IS NOT NULL").first()
+    if bad is not None and rows.where("_error IS NULL").first() is None:
+        raise ValueError(f"no row of {bad['source_file']} could be read; row {bad['row_number']}: {bad['_error']}")
+    return rows
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

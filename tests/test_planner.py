@@ -17,6 +17,7 @@ def test_templates(question, template):
 
 @pytest.mark.parametrize("question,targets", [
     ("calls of +92 300 1234567 and lea-123", ["923001234567", "LEA-123"]), ("mail Bob@Example.com from 10.0.0.1", ["bob@example.com", "10.0.0.1"]), ("sms on 2026-07-10", ["SMS"]), ("nothing here", []),
+    ("calls to 12345 on 20260710 at-77 from 03001234567", ["03001234567"]), ("data of ABC-1X 20269999", ["ABC-1X", "20269999"]),
 ])
 def test_targets(question, targets):
     assert P.extract_targets(question) == targets
@@ -52,6 +53,10 @@ def test_templates_give_their_own_frames(spark, data):
 
     frames = calls(spark, data), generic(spark, data), entities(spark, data), jobs(spark, data)
     assert set(P.answer("any suspicious patterns or anomalies?", *frames)[1]) == {"night_activity", "duration_extremes", "duration_stats", "data_quality", "recent_quality_jobs"}
+    overview = P.answer("collection overview", *frames, assets=_assets(spark, data))[1]
+    assert set(overview) == {"jobs", "assets", "record_families"} and set(P.answer("which files were ingested", *frames)[1]) == {"jobs", "record_families"}
+    totals = [x["total_rows"] for x in overview["record_families"].collect()]
+    assert totals == sorted(totals, reverse=True)
     assert "score" in P.answer("case readiness", *frames, assets=_assets(spark, data))[1].columns
     assert set(P.answer("show raw rows", *frames)[1]) == {"calls", "generic"}
     with pytest.raises(ValueError):

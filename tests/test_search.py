@@ -74,6 +74,17 @@ def test_search_of_nothing_and_of_unlike_lengths(spark, store):
         V.upsert(df.withColumn("seq", F.lit(0)), spark.createDataFrame([([1.0], 1, 1)], "key array<double>, value long, seq int"), dimension=8).collect()
 
 
+def test_unit_length_is_found_in_the_data(spark):
+    unit = spark.createDataFrame([([0.6, 0.8], 1), ([1.0, 0.0], 2), (None, 3)], "key array<double>, value long")
+    longer = unit.unionAll(spark.createDataFrame([([3.0, 4.0], 4)], unit.schema))
+    assert V.is_unit(unit) and not V.is_unit(longer) and V.is_unit(unit.limit(0))
+    plan = lambda df, q: V.top_k(df, q, 2, unit=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" not in plan(unit, [1.0, 0.0]) and "SQRT" in plan(longer, [1.0, 0.0]) and "SQRT" in plan(unit, [2.0, 0.0])
+    assert [x["value"] for x in V.top_k(longer, [1.0, 0.0], 2, unit=None).collect()] == [2, 1]
+    edge = [V.identify(unit.where("value = 2"), [0.0, 1.0], threshold=1.0, strict=s).first()["matched"] for s in (False, True)]
+    assert edge == [True, False]
+
+
 def test_cache_lookup(spark):
     store = spark.createDataFrame([([1.0, 0.0], 1), ([0.0, 1.0], 2)], "key array<double>, value long")
     asked = spark.createDataFrame([([2.0, 0.1], 10, 0.9), ([1.0, 0.9], 11, 0.9), ([1.0, 0.95], 12, 0.1), ([-1.0, -1.0], 13, None)], "key array<double>, value long, confidence double")

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from corvane.operators import ingest as I
 from corvane.sources import readers as R
 
@@ -44,6 +46,15 @@ def test_json_lines_keep_bad_ones(spark, tmp_path):
     assert got[1][1:] == ({"line": "not json"}, "bad_json") and got[2][1] == {"a": None}
 
 
+def test_long_lines_and_files_of_errors(spark, tmp_path):
+    path = write(tmp_path, "a.jsonl", '{"a": 1}\n{"b": "' + "x" * 5000 + '"}\n')
+    got = R.read_json_lines(spark, path, most=2000).orderBy("row_number").collect()
+    assert [x["_error"] for x in got] == [None, "long_line"] and len(got[1]["fields"]["line"]) == 1000 and R.some_rows(R.read_json_lines(spark, path)).count() == 2
+    with pytest.raises(ValueError, match="no row of b.jsonl"):
+        R.some_rows(R.read_json_lines(spark, write(tmp_path, "b.jsonl", "x\ny\n")))
+    assert R.some_rows(R.read_json_lines(spark, write(tmp_path, "c.jsonl", "\n"))).count() == 0
+
+
 def test_json_array_and_object(spark, tmp_path):
     assert [x[1] for x in rows(R.read_any(spark, write(tmp_path, "a.json", '[{"a": 1}, {"a": 2, "b": "x"}]')))] == [{"a": "1"}, {"a": "2", "b": "x"}]
     assert [x[1] for x in rows(R.read_json(spark, write(tmp_path, "b.json", '{"a":\n 1}')))] == [{"a": "1"}]
