@@ -25,7 +25,9 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 PHONE = r"\+[0-9][0-9 ().-]{7,18}[0-9]"
 #: Words that a lexical query leaves out.
-QUERY_STOP_WORDS = frozenset("and are for from how show the this that there what where with evidence summarize summary records record source sources related entities entity collection".split())
+QUERY_STOP_WORDS = frozenset((
+    "and", "are", "for", "from", "how", "show", "the", "this", "that", "there", "what", "where", "with", "evidence", "summarize", "summary", "records", "record", "source", "sources", "related", "entities", "entity", "collection",
+))
 
 
 def normalise_name(c: Column) -> Column:

@@ -55,8 +55,13 @@ def status_summary(items: DataFrame, status: str, size: str) -> DataFrame:
 
 #: Modality and confidence by file extension.
 MODALITIES = [
-    ("tabular", 0.65, "csv tsv json jsonl ndjson parquet"), ("text", 0.6, "log"), ("text", 0.55, "txt md"), ("document", 0.55, "pdf"), ("document", 0.5, "doc docx rtf odt"),
-    ("image", 0.5, "png jpg jpeg webp gif bmp tif tiff"), ("audio", 0.5, "wav mp3 m4a flac ogg aac"),
+    ("tabular", 0.65, ("csv", "tsv", "json", "jsonl", "ndjson", "parquet")),
+    ("text", 0.6, ("log",)),
+    ("text", 0.55, ("txt", "md")),
+    ("document", 0.55, ("pdf",)),
+    ("document", 0.5, ("doc", "docx", "rtf", "odt")),
+    ("image", 0.5, ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff")),
+    ("audio", 0.5, ("wav", "mp3", "m4a", "flac", "ogg", "aac")),
 ]
 SPECIAL_TYPES = ("cdr", "ipdr", "anpr", "subscriber", "tower_location", "transaction", "access_log")
 
@@ -66,7 +71,7 @@ def classify_evidence(file_name: Column, record_type: Column) -> Column:
     ext = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1))
     modality, confidence = F.when(record_type.isin(*SPECIAL_TYPES), "structured_records"), F.when(record_type.isin(*SPECIAL_TYPES), 0.9)
     for name, sure, extensions in MODALITIES:
-        modality, confidence = modality.when(ext.isin(extensions.split()), name), confidence.when(ext.isin(extensions.split()), sure)
+        modality, confidence = modality.when(ext.isin(*extensions), name), confidence.when(ext.isin(*extensions), sure)
     return F.struct(modality.otherwise("unknown").alias("modality"), confidence.otherwise(0.15).cast("decimal(5,4)").alias("confidence"))
 
 

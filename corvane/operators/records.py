@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.names import canonical, normalise
+from corvane.functions.names import ALIASES, canonical, normalise
 from corvane.functions.text import normalise_name
 from corvane.operators.ingest import parse_time
 
@@ -225,6 +225,15 @@ def schema_of(rows: DataFrame) -> DataFrame:
     return rows.select("record_type", F.explode(F.map_keys("fields")).alias("field")).groupBy("record_type", "field").agg(F.count("*").alias("rows")).orderBy("record_type", "field")
 
 
+def aliases_of(rows: DataFrame) -> DataFrame:
+    """(record_type, canonical, fields): under which names each canonical field of a record type occurs, in order."""
+    fields = schema_of(rows)  # a row for each field of a type
+    pairs = [F.lit(x) for name, aliases in ALIASES.items() for a in aliases for x in (a, name)]
+    own = normalise_name("field")
+    name = F.coalesce(F.try_element_at(F.create_map(*pairs), own), own)
+    return fields.groupBy("record_type", name.alias("canonical")).agg(F.array_sort(F.collect_set("field")).alias("fields")).orderBy("record_type", "canonical")
+
+
 def between_times(records: DataFrame, time: str, start: str | None, stop: str | None) -> DataFrame:
     """Rows in the closed range; without a time that can be read a row is left out if a bound is set, and a bound that
     cannot be read is none."""

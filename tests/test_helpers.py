@@ -41,6 +41,13 @@ def test_schema_of_types(spark):
     assert [tuple(x) for x in R.schema_of(rows).collect()] == [("anpr", "p", 1), ("cdr", "a", 2), ("cdr", "b", 1)]
 
 
+def test_aliases_of_types(spark):
+    rows = spark.createDataFrame([("cdr", {"Caller": "1", "from number": "2", "weird": "3"}), ("cdr", {"caller": "1", "B-Number": "2"}), ("anpr", {"plate": "x"})], "record_type string, fields map<string,string>")
+    got = {(x["record_type"], x["canonical"]): x["fields"] for x in R.aliases_of(rows).collect()}
+    assert got == {("anpr", "plate_number"): ["plate"], ("cdr", "source_number"): ["Caller", "caller", "from number"], ("cdr", "target_number"): ["B-Number"], ("cdr", "weird"): ["weird"]}
+
+
+
 @pytest.mark.parametrize("pattern,ok", [("sk-ant-[a-z]{20,}", True), ("a.c", False), ("(abc)", False), ("[a-z]+", False), ("abc{1,600}", False), ("abc(?:d|e)", True), ("(?:abc|d)", False), ("x" * 300, False), ("(", False), ("(?=abc)abc", False)])
 def test_pattern_rules(pattern, ok):
     assert (P.problems(pattern) == []) == ok
