@@ -70,6 +70,13 @@ class Scratch:
         delete(self.spark, self.path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lowers the session's Arrow batches to ``rows`` and leaves them so, as plans read the setting when they run."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import small_batches
+from corvane.llm.common import small_batches, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -234,18 +234,15 @@ class Tagger:
         return np.stack(path[::-1], axis=1)
 
 
+_WORD_DOT = re.compile(r"(?<![^\W_])(?i:dot)(?![^\W_])")
+
+
 def anchors(text: str) -> list[int]:
     """Places of which a window must hold one to be decoded: digits, at signs, the word dot, and dots in a name after
     the word at."""
     found = [m.start() for m in _SIGN.finditer(text)]
     found += [m.start() for m in _DOTTED.finditer(text) if _AT_BEFORE.search(text, max(0, m.start() - SPAN), m.start())]
-    low = text.lower()
-    at = low.find("dot") if len(low) == len(text) else -1
-    while at >= 0:
-        if not (low[at - 1 : at].isalnum() or low[at + 3 : at + 4].isalnum()):
-            found.append(at)
-        at = low.find("dot", at + 1)
-    return found
+    return found + [m.start() for m in _WORD_DOT.finditer(text)]  # in the text as it is: lower case may have another length
 
 
 def _tags(text: str, spans) -> np.ndarray:
@@ -459,8 +456,9 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, column: str = "found", r
 
 def redact_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """docs with personal data replaced in text, and n_chars to match; null texts stay."""
-    found = find_personal_data(docs, tagger, "__found", redacted=True)
-    text = F.col("__found.redacted")
+    name = unused(docs, "__found")
+    found = find_personal_data(docs, tagger, name, redacted=True)
+    text = F.col(f"{name}.redacted")
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

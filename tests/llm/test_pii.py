@@ -147,3 +147,18 @@ def test_rows_and_redaction(docs_frame, tagger, make_text):
 def test_training_from_a_table(docs_frame, make_text):
     assert P.train(docs_frame([(i, make_text(i, 30)) for i in range(5)]), 4, 60).p["E"].shape[1] == P.EMBED
     assert P.train(docs_frame([]), 4, 60)
+
+
+def test_anchors_do_not_depend_on_lower_case():
+    text = "write to anna at firm dot org today"
+    for before in ("", "\u0130 ", "\u0130" * 5 + " DOT. ", "dotted antidote _dot_ "):
+        at = len(before)
+        assert [a - at for a in P.anchors(before + text) if a >= at] == P.anchors(text) and P.anchors(text) == [text.index("dot")]
+
+
+def test_columns_of_our_names_stay(docs_frame, tagger):
+    from pyspark.sql import functions as F
+
+    df = docs_frame([(1, "mail bob@example.com"), (2, None)]).withColumn("__found", F.lit(5)).withColumn("__found_", F.lit("x"))
+    got = P.redact_documents(df, tagger).orderBy("doc_id").collect()
+    assert [(x["__found"], x["__found_"]) for x in got] == [(5, "x")] * 2 and "bob" not in got[0]["text"] and got[1]["text"] is None
