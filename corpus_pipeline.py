@@ -8,9 +8,10 @@ stage's docs.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, near_copies, pieces, pii, quality
-from corvane.llm.common import table, written
+from corvane.llm.common import table, unused, written
 
 #: Documents of a lower score are rejected.
 QUALITY_THRESHOLD = 0.3
@@ -19,7 +20,8 @@ QUALITY_THRESHOLD = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored at the threshold or above; a null or empty text has the prior's score."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model, "__score").where(f"__score >= {QUALITY_THRESHOLD}").select(*docs.columns)
+    score = unused(docs, "__score")
+    return quality.score_documents(docs, model, score).where(F.col(score) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
