@@ -15,14 +15,16 @@ what the check moves: two sets of 500 shingles share one too many with a chance
 
 Keys of at most ``BUCKET`` sets give all their pairs.  In larger ones each set meets two of the key's sets, picked
 by hash, first; once those that pass are components, only sets outside a key's main component meet the key's sets of
-other components.  Every pair that is left out is within one component already, so the components are those of all
-pairs.
+other components, of a class of size next to theirs, and the join itself takes pigeonring chains of whole words.  Every
+pair that is left out is within one component already, so the components are those of all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,10 @@ WORDS, PARTS = 5, (4, 5)
 BUCKET = 4
 #: Bits of a fingerprint are 64 for each lane; segments of 16 bits lie on a ring.
 LANES, CHAIN, MAX_BITS = 4, 8, 96
+#: Least keys of a set by which a pair that meets at many keys is known to be the same one.
+FIRST = 8
+#: Base of the classes of size, a little over the ratio of sizes of the least similarity, whose sets lie in neighbouring classes.
+_SIZE = 1.26
 _WIDTH = 16
 _SEGMENTS = LANES * 64 // _WIDTH
 #: Documents in the sample (about so many of any number), least count there of a shingle that is put last, and the most of those.  They bound the
@@ -152,6 +158,16 @@ def within_ring(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(near, index=a.index)
 
 
+def _words_chain(a: str, b: str) -> F.Column:
+    """Pigeonring on whole words as segments: from some word, each chain short of the full ring is within its share."""
+    d = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])).cast("int") for k in range(LANES)]
+    starts = []
+    for i in range(LANES):
+        chains = [sum((d[(i + j) % LANES] for j in range(1, k)), d[i]) * LANES <= k * MAX_BITS for k in range(1, LANES)]
+        starts.append(reduce(and_, chains))
+    return reduce(or_, starts)
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """The distinct pairs (a, b) of the least similarity."""
     rings = [sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"k{c}")) for c in "ab"]
@@ -198,13 +214,31 @@ def copy_links(docs: DataFrame, prints: DataFrame, fps: DataFrame, scratch: Scra
 
     root = components(links)
     rooted = scratch.written(hot.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "hot-roots")
-    main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    rest = rooted.join(main, "key").where("root <> main").select("key", F.col("fp").alias("x"), F.col("n").alias("m"), F.col("root").alias("rx"))
-    across = rest.join(rooted, "key").where("rx <> root").where(_similar(F.col("n"), F.col("m"))).select(*_pair("x", "fp")).distinct()
-    across = scratch.written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    across = scratch.written(_across(rooted, sketches, scratch).join(pairs, ["a", "b"], "left_anti"), "across")
     return links.unionAll(_alike(across, sketches, scratch, "links-across"))
 
 
+def _across(rooted: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of rooted(key, fp, n, root) that share a key over components, unless sizes or whole-word chains forbid it.
+
+    Sets meet by key and class of size, within the join's own condition.  A pair that shares one of the ``FIRST`` least
+    keys of both comes from the least of those only, others from each key that they share."""
+    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = scratch.written(by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "mains")
+    mixed = scratch.written(rooted.join(main, "key").withColumn("size", F.floor(F.log("n") / F.log(F.lit(_SIZE)))), "mixed")
+    first = mixed.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+    known = scratch.written(first.join(sketches.select("fp", "sketch"), "fp"), "mixed-sketches")
+    full = scratch.written(mixed.join(known, "fp"), "mixed-full")
+
+    rest = full.where("root <> main").select(
+        "key", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.col("fp").alias("x"), F.col("n").alias("m"),
+        F.col("root").alias("rx"), F.col("first").alias("fx"), F.col("sketch").alias("sx"),
+    )
+    once = F.coalesce(F.array_min(F.array_intersect("fx", "first")), F.col("key")) == F.col("key")
+    met = (F.col("rx") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("fp")))
+    return rest.join(full, ["key", "size"]).where(met & _similar(F.col("n"), F.col("m")) & _words_chain("sx", "sketch")).where(once).select(*_pair("x", "fp")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: its set's id and the smallest doc_id of its group of near copies.
 

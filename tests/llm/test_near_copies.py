@@ -69,6 +69,7 @@ def test_no_pair_of_the_least_similarity_is_pruned(spark, make_text):
             rows.append(tuple(N.sketch(np.array(sorted(x), dtype=np.int64)).tolist() for x in (a, b, c)))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, c array<long>")
     assert df.where(N.within_ring("a", "b")).count() == len(rows) and df.where(N.within_ring("a", "c")).count() == 0
+    assert df.where(N._words_chain("a", "b")).count() == len(rows)
 
 
 def test_the_ring_is_the_full_check_with_fewer_candidates(spark):
@@ -82,6 +83,26 @@ def test_the_ring_is_the_full_check_with_fewer_candidates(spark):
         rows.append(([x - (1 << 64) if x >> 63 else x for x in a], [x - (1 << 64) if x >> 63 else x for x in b], 60 + k % 80 <= N.MAX_BITS))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, want boolean")
     assert [x["want"] for x in df.where(N.within_ring("a", "b")).collect()] == [True] * sum(w for *_, w in rows)
+    assert df.where("want").where(~N._words_chain("a", "b")).count() == 0
+
+
+def test_pairs_across_components_equal_all_pairs(spark):
+    """Sets of two to forty shingles that share keys, in components of their own: each pair of like size comes once, whatever keys it shares."""
+    from corvane.llm.common import Scratch
+
+    r = random.Random(8)
+    sizes = {fp: r.choice([2, 4, 5, 8, 10, 20, 25, 40]) for fp in range(60)}
+    root = {fp: fp - fp % 3 for fp in sizes}
+    keys = {fp: r.sample(range(30), 12) for fp in sizes}
+    rooted = spark.createDataFrame([(k, fp, sizes[fp], root[fp]) for fp in sizes for k in keys[fp]], "key long, fp long, n int, root long")
+    sketches = spark.createDataFrame([(fp, [0] * N.LANES) for fp in sizes], "fp long, sketch array<long>")
+    with Scratch(spark, "across") as scratch:
+        got = [(x.a, x.b) for x in N._across(rooted, sketches, scratch).collect()]
+    want = {
+        (a, b) for a, b in combinations(sizes, 2)
+        if root[a] != root[b] and 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b]) and set(keys[a]) & set(keys[b])
+    }
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_work_tables_go(docs_frame, spark, make_text):
