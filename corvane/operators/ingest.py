@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +17,36 @@ _MONTH_FIRST = ["MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"]
 _DASHES = ["dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy"]
 
 
-def parse_time(c: Column, date_order: str = "day") -> Column:
-    """A timestamp from an epoch of 10 or 13 digits or one of the layouts; null if none fits.  Zoneless is UTC."""
+def _shape(layout: str) -> str:
+    """A pattern that every text of a layout has; a text that has it may still be no time, such as 30 February.
+
+    Years end at 289999, as Spark fails on the largest instead of giving null."""
+    parts = {"yyyy": "[+-]?0*(?:[0-9]{4,5}|1[0-9]{5}|2[0-8][0-9]{4})", "MM": "(?:0[1-9]|1[0-2])", "dd": "(?:0[1-9]|[12][0-9]|3[01])", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "'T'": "[Tt]", "X": "[Zz+-].*"}
+    return "^" + re.sub("|".join(parts), lambda m: parts[m[0]], layout) + "$"
+
+
+def with_value(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)``, where c is made once however often it occurs in there; a filter that the optimizer moves below a projection
+    would make it again at each place."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
+def time_in(text: Column, date_order: str = "day") -> Column:
+    """What ``parse_time`` makes of a trimmed text; of a literal one Spark makes it in advance."""
     slashes = _DAY_FIRST + _MONTH_FIRST if date_order == "day" else _MONTH_FIRST + _DAY_FIRST
-    text = F.trim(c)
-    epoch = F.when(text.rlike(r"^[0-9]{10}$"), F.timestamp_seconds(text.try_cast("long"))).when(text.rlike(r"^[0-9]{13}$"), F.timestamp_millis(text.try_cast("long")))
-    return F.coalesce(epoch, *[F.try_to_timestamp(text, F.lit(f)) for f in _COMMON + slashes + _DASHES])
+    first = lambda layouts: F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in layouts])
+    found = (
+        F.when(text.rlike("^[+-]?[0-9]{4,}-"), first(_COMMON)).when(text.rlike("^[0-9]{2}/"), first(slashes)).when(text.rlike("^[0-9]{2}-"), first(_DASHES))
+        .when(text.rlike(r"^[0-9]{10}$"), F.timestamp_seconds(text.try_cast("long"))).when(text.rlike(r"^[0-9]{13}$"), F.timestamp_millis(text.try_cast("long")))
+    )
+    return F.when(text.rlike("^[+-]?[0-9]"), found)
+
+
+def parse_time(c: Column, date_order: str = "day") -> Column:
+    """A timestamp from an epoch of 10 or 13 digits or one of the layouts; null if none fits.  Zoneless is UTC.
+
+    A layout is tried on texts of its shape only, as each that fails costs an exception."""
+    return with_value(F.trim(c), lambda text: time_in(text, date_order))
 
 
 def normalise_calls(raw: DataFrame, aliases: dict[str, str], date_order: str = "day") -> DataFrame:

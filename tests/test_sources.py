@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import ingest as I
 from corvane.sources import readers as R
@@ -130,3 +131,34 @@ def test_json_merge_and_append(spark):
     got = [tuple(map(json.loads, x)) for x in df.select(I.merged_json(df["a"], df["b"]), I.appended_json(df["l"], df["e"])).collect()]
     assert got == [({"a": 1, "b": {"d": 2}, "e": None}, [1, {"x": 1}]), ({"a": 1}, ["t"]), ({}, [2])]
     assert I.row_counts(df) == {"rows": 3} and I.row_counts({"a": df, "b": df.limit(0)}) == {"a": 3, "b": 0}
+
+
+def test_layouts_are_tried_on_texts_of_their_shape_only(spark, monkeypatch):
+    """A layout that does not fit costs an exception: values that look like no time try none, a time in a late layout one."""
+    texts = ["x", "n/a", "", "1,200", "-3.5", "true", "12", "2024", "99/99/2024", "2024-13-01", "01/02", "123-456-7890", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    late = spark.createDataFrame([("31-12-2024",), ("2024-12-31",), ("31/12/2024",)], "v string")
+    with monkeypatch.context() as m:
+        m.setattr(I.F, "try_to_timestamp", lambda c, f: F.raise_error(F.concat(F.lit("tried "), c)).cast("timestamp"))
+        assert all(x["d"] is None and x["m"] is None for x in df.select(I.parse_time(df["v"], "day").alias("d"), I.parse_time(df["v"], "month").alias("m")).collect())
+        fitting = {"31-12-2024": "dd-MM-yyyy", "2024-12-31": "yyyy-MM-dd", "31/12/2024": "dd/MM/yyyy"}
+        m.setattr(I.F, "try_to_timestamp", lambda c, f: F.when(F.element_at(F.create_map(*[F.lit(x) for p in fitting.items() for x in p]), c) == f, F.lit("2024-12-31").cast("timestamp")).otherwise(F.raise_error(c).cast("timestamp")))
+        assert [str(x[0])[:10] for x in late.select(I.parse_time(late["v"], "month")).collect()] == ["2024-12-31"] * 3
+
+
+def test_every_layout_gives_what_it_gives_alone(spark):
+    texts = ["2024-01-02T03:04:05Z", "2024-01-02t03:04:05+0530", "2024-01-02T03:04:05", "2024-01-02 03:04:05", "2024-01-02 03:04", "2024-01-02", "-2024-01-02", "+12024-01-02", "12024-01-02", "31/12/2024 23:59:59", "12/31/2024 23:59", "30/02/2024",
+        "05/04/2024", "05-04-2024 01:02:03", "05-04-2024 01:02", "05-04-2024", "2024-02-30", "2024-01-01 24:00:00", " 2024-01-02 ", "2024-01-02\n", "2024-1-2", "24-01-02"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for order, slashes in (("day", I._DAY_FIRST + I._MONTH_FIRST), ("month", I._MONTH_FIRST + I._DAY_FIRST)):
+        plain = F.coalesce(*[F.try_to_timestamp(F.trim("v"), F.lit(f)) for f in I._COMMON + slashes + I._DASHES])
+        assert df.where(~I.parse_time(df["v"], order).eqNullSafe(plain)).collect() == []
+    # Spark's own parser fails on years beyond its range, where a text that is no time is to be null
+    assert spark.createDataFrame([("+300000-01-01",)], "v string").select(I.parse_time(F.col("v"))).first()[0] is None
+
+
+def test_a_filter_makes_the_text_of_a_time_once(spark):
+    raw = spark.range(3).select(F.col("id").alias("row_number"), F.date_format(F.timestamp_seconds("id"), "dd/MM/yyyy HH:mm:ss").alias("s"), F.lit("1").alias("lat"))
+    good, _ = I.quarantine(I.normalise_calls(raw, {"call_start_ts": "s", "latitude": "lat"}))
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.count("date_format(") for x in plan.splitlines() if "Filter" in x) <= 2 and good.count() == 3
