@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.names import ALIASES, canonical, normalise
 from corvane.functions.text import normalise_name
-from corvane.operators.ingest import parse_time
+from corvane.operators.ingest import parse_time, time_in, with_value
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 
@@ -25,12 +25,9 @@ def clamp(limit: int | None, default: int = DEFAULT_LIMIT) -> int:
 def typed_value(c: Column) -> Column:
     """A text as a VARIANT: number, boolean (t, f, true, false), time, or else the trimmed text; null stays null."""
     text = F.trim(c)
-    number, time, word = as_number(text), as_time(text), F.lower(text)
-    as_variant = lambda v: v.cast("variant")
-    return (
-        F.when(text.isNull() | (text == ""), as_variant(text)).when(number.isNotNull(), as_variant(number)).when(word.isin("t", "true"), as_variant(F.lit(True)))
-        .when(word.isin("f", "false"), as_variant(F.lit(False))).when(time.isNotNull(), as_variant(time)).otherwise(as_variant(text))
-    )
+    word = F.lower(text)
+    truth = F.when(word.isin("t", "true"), F.lit(True)).when(word.isin("f", "false"), F.lit(False))
+    return F.coalesce(*[v.cast("variant") for v in (as_number(text), truth, as_time(text), text)])  # each is made once
 
 
 def typed_fields(rows: DataFrame, fields: str = "fields") -> DataFrame:
@@ -79,10 +76,18 @@ def _kind(records: DataFrame, field: str):
     return _Typed if field in records.columns and records.schema[field].dataType.typeName() == "variant" else _Plain
 
 
+def number_in(text: Column) -> Column:
+    """What ``as_number`` makes of a text without commas."""
+    return F.when(text.rlike(r"^-?(0|[1-9][0-9]{0,14})(\.[0-9]+)?$"), text.try_cast("double"))
+
+
+def without_commas(c: Column) -> Column:
+    return F.regexp_replace(F.trim(c.cast("string")), ",", "")
+
+
 def as_number(c: Column) -> Column:
     """Numbers, with thousands commas; digits that begin with 0 or are longer than 15 stay text."""
-    text = F.regexp_replace(F.trim(c.cast("string")), ",", "")
-    return F.when(text.rlike(r"^-?(0|[1-9][0-9]{0,14})(\.[0-9]+)?$"), text.try_cast("double"))
+    return with_value(without_commas(c), number_in)
 
 
 def as_time(c: Column) -> Column:
@@ -90,6 +95,16 @@ def as_time(c: Column) -> Column:
     return parse_time(c.cast("string"), "month")
 
 
+def _number_of(value) -> Column:
+    """A given value as a number, made in advance."""
+    return number_in(without_commas(F.lit(str(value))))
+
+
+def _time_given(value) -> Column:
+    """A given value as a time, made in advance."""
+    return time_in(F.trim(F.lit(str(value))), "month")
+
+
 def rank(c: Column, kind=_Plain) -> Column:
     """What a value sorts by: its number, its time in microseconds, its text."""
     number = kind.number(c)
@@ -100,7 +115,7 @@ def rank(c: Column, kind=_Plain) -> Column:
 def equals(c: Column, value, kind=_Plain) -> Column:
     """As numbers if both are, as times if both are, else as text without regard to case."""
     v = F.lit(str(value))
-    return F.coalesce(kind.number(c) == as_number(v), kind.time(c) == as_time(v), F.lower(kind.text(c)) == F.lower(v), F.lit(False))
+    return F.coalesce(kind.number(c) == _number_of(value), kind.time(c) == _time_given(value), F.lower(kind.text(c)) == F.lower(v), F.lit(False))
 
 
 def condition(field: str, op: str, value=None, columns: list[str] = (), kind=_Plain) -> Column:
@@ -125,7 +140,7 @@ def condition(field: str, op: str, value=None, columns: list[str] = (), kind=_Pl
         v = F.lit(str(value))
         sign = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}.get(op, op)
         hold = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}[sign]
-        return given & F.coalesce(hold(kind.number(c), as_number(v)), hold(kind.time(c), as_time(v)), hold(F.lower(kind.text(c)), F.lower(v)))
+        return given & F.coalesce(hold(kind.number(c), _number_of(value)), hold(kind.time(c), _time_given(value)), hold(F.lower(kind.text(c)), F.lower(v)))
     if op in ("exists", "not_exists", "missing"):
         return given if op == "exists" else ~given
     return F.lit(False)
@@ -237,12 +252,17 @@ def aliases_of(rows: DataFrame) -> DataFrame:
 def between_times(records: DataFrame, time: str, start: str | None, stop: str | None) -> DataFrame:
     """Rows in the closed range; without a time that can be read a row is left out if a bound is set, and a bound that
     cannot be read is none."""
-    t = _time_of(records, time)
-    for bound, holds in ((start, lambda b: t >= b), (stop, lambda b: t <= b)):
-        if bound:
-            at = as_time(F.lit(str(bound)))
-            records = records.where(t.isNotNull() & F.coalesce(holds(at), F.lit(True)))
-    return records
+    bounds = [(_time_given(bound), lower) for bound, lower in ((start, True), (stop, False)) if bound]
+    if not bounds:
+        return records
+
+    def within(t: Column) -> Column:
+        out = t.isNotNull()
+        for at, lower in bounds:
+            out = out & F.coalesce(t >= at if lower else t <= at, F.lit(True))
+        return out
+
+    return records.where(with_value(_time_of(records, time), within))
 
 
 #: Fields of the envelope that a record has beside its own, by the names they are asked for.

@@ -42,3 +42,13 @@ def test_kinds_and_plans(spark, both):
     x = spark.createDataFrame([({"n": " 1,200 ", "t": "T", "d": "02/01/2024", "e": "  "},)], "fields map<string,string>")
     row = R.unfolded(R.typed_fields(x), ["n", "t", "d", "e"]).select(*[F.to_json(c).alias(c) for c in ("n", "t", "e")], F.try_variant_get("d", "$", "timestamp").cast("string").alias("d")).first()
     assert (row["n"], row["t"], row["e"], row["d"]) == ("1200.0", "true", '""', "2024-02-01 00:00:00")
+
+
+def test_a_range_reads_each_time_once(spark):
+    df = spark.range(40).select("id", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")), "MM/dd/yyyy").alias("seen"))
+    found = R.between_times(df, "seen", "2024-01-10", "01/20/2024")
+    assert [x["id"] for x in found.orderBy("id").collect()] == list(range(9, 20))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.count("date_format(") for x in plan.splitlines() if "Filter" in x) == 1
+    bounds = (("x", None), ("x", "2024-01-02"), (None, None), ("", "01/02/2024"))
+    assert [R.between_times(df, "seen", *b).count() for b in bounds] == [40, 2, 40, 2]
