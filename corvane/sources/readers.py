@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import normalise_name
-from corvane.operators.ingest import parse_time
+from corvane.operators.ingest import parse_time, time_in
 from corvane.sources.delimited import cells, read_records
 
 FIELDS = "map<string,string>"
@@ -187,12 +187,14 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
 
 def infer_types(rows: DataFrame) -> DataFrame:
     """(field, type, non_empty, least, most): empty, string, number, bool, time, or mixed where two kinds meet."""
-    from corvane.operators.records import as_number
+    from corvane.operators.records import number_in, without_commas
 
     cells = rows.where("_error IS NULL").select(F.explode("fields").alias("field", "value"))
     v = F.trim("value")
-    kind = F.when(v == "", None).when(as_number(v).isNotNull(), "number").when(F.lower(v).isin("true", "false"), "bool").when(parse_time(v, "month").isNotNull(), "time").otherwise("string")
-    typed = cells.withColumn("kind", kind)
-    return typed.groupBy("field").agg(
-        F.count_distinct("kind").alias("kinds"), F.max("kind").alias("kind"), F.count("kind").alias("non_empty"), F.min(F.when(F.col("kind").isNotNull(), v)).alias("least"), F.max(F.when(F.col("kind").isNotNull(), v)).alias("most"),
+    kind = F.when(v == "", None).when(number_in(without_commas(v)).isNotNull(), "number").when(F.lower(v).isin("true", "false"), "bool").when(time_in(v, "month").isNotNull(), "time").otherwise("string")
+    # one row for each field and kind, so that no text is a value of the wide aggregation, which would sort all cells
+    kinds = cells.withColumn("kind", kind).groupBy("field", "kind").agg(F.count("kind").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    given = F.col("kind").isNotNull()
+    return kinds.groupBy("field").agg(
+        F.count("kind").alias("kinds"), F.max("kind").alias("kind"), F.sum("n").alias("non_empty"), F.min(F.when(given, F.col("low"))).alias("least"), F.max(F.when(given, F.col("high"))).alias("most"),
     ).select("field", F.when(F.col("kinds") == 0, "empty").when(F.col("kinds") > 1, "mixed").otherwise(F.col("kind")).alias("type"), "non_empty", "least", "most")

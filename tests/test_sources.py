@@ -162,3 +162,11 @@ def test_a_filter_makes_the_text_of_a_time_once(spark):
     good, _ = I.quarantine(I.normalise_calls(raw, {"call_start_ts": "s", "latitude": "lat"}))
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert sum(x.count("date_format(") for x in plan.splitlines() if "Filter" in x) <= 2 and good.count() == 3
+
+
+def test_types_are_counted_without_sorting_cells(spark):
+    rows = spark.createDataFrame([({"a": "1", "b": "x"}, None), ({"a": "2024-01-02", "b": ""}, None), ({"b": None}, None)], "fields map<string,string>, _error string")
+    found = R.infer_types(rows)
+    assert [tuple(x) for x in found.orderBy("field").collect()] == [("a", "mixed", 2, "1", "2024-01-02"), ("b", "string", 2, "x", "x")]
+    plan = found.select("field", "type", "non_empty")._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort" not in plan[plan.index("Generate explode") - 400 :] and "HashAggregate(keys=[field" in plan
