@@ -52,6 +52,10 @@ class _Typed:
     def number(c: Column) -> Column:
         return F.when(_holds(c, "DOUBLE"), F.try_variant_get(c, "$", "double"))
 
+    @staticmethod
+    def given(c: Column) -> Column:
+        return c.isNotNull() & F.when(F.schema_of_variant(c).isin("DOUBLE", "TIMESTAMP"), F.lit(True)).otherwise(F.try_variant_get(c, "$", "string") != "")
+
     @staticmethod
     def time(c: Column) -> Column:
         return F.when(_holds(c, "TIMESTAMP"), F.try_variant_get(c, "$", "timestamp"))
@@ -69,6 +73,7 @@ class _Plain:
     number = staticmethod(lambda c: as_number(c))
     time = staticmethod(lambda c: as_time(c))
     text = staticmethod(lambda c: c.cast("string"))
+    given = staticmethod(lambda c: c.isNotNull() & (c.cast("string") != ""))
 
 
 def _kind(records: DataFrame, field: str):
@@ -124,7 +129,7 @@ def condition(field: str, op: str, value=None, columns: list[str] = (), kind=_Pl
     if not field or (columns and field not in columns):
         return F.lit(bool(field) and op in ("ne", "not_exists", "!=", "missing"))
     c = F.col(field)
-    given = c.isNotNull() & (kind.text(c) != "")
+    given = kind.given(c)
     if op in ("eq", "=", "==", "equals"):
         return given & equals(c, value, kind)
     if op in ("ne", "!=", "not_equals"):
@@ -151,12 +156,11 @@ def query(records: DataFrame, filters=(), sort=(), id_col: str = "id", limit: in
     out = records
     for f in filters:
         out = out.where(condition(f[0], f[1], f[2] if len(f) > 2 else None, records.columns, _kind(records, f[0])))
-    keys = []
-    for field, down in sort:
-        if field in records.columns:
-            key = rank(F.col(field), _kind(records, field))
-            keys.append(key.desc() if down else key.asc())
-    out = out.orderBy(*keys, id_col).offset(max(0, offset)).limit(clamp(limit))
+    # keys are columns of the sorted rows, as a sort would make an expression again for each comparison
+    ranks = {f"__rank_{i}": (rank(F.col(field), _kind(records, field)), down) for i, (field, down) in enumerate(sort) if field in records.columns}
+    keys = [F.col(name).desc() if down else F.col(name).asc() for name, (_, down) in ranks.items()]
+    out = out.withColumns({name: key for name, (key, _) in ranks.items()}) if ranks else out
+    out = out.orderBy(*keys, id_col).offset(max(0, offset)).limit(clamp(limit)).drop(*ranks)
     return out.select(*[c for c in fields if c in records.columns]) if fields else out
 
 

@@ -52,3 +52,12 @@ def test_a_range_reads_each_time_once(spark):
     assert sum(x.count("date_format(") for x in plan.splitlines() if "Filter" in x) == 1
     bounds = (("x", None), ("x", "2024-01-02"), (None, None), ("", "01/02/2024"))
     assert [R.between_times(df, "seen", *b).count() for b in bounds] == [40, 2, 40, 2]
+
+
+def test_sort_keys_are_made_once_for_each_row(both):
+    """Not in the ordering, which would make them for each comparison; whether a field is given takes no text of a number."""
+    found = R.query(both[1], [("v", "gte", "9")], [("v", True), ("w", False)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sorts, filters = ([x for x in plan.splitlines() if x.strip(" +-:").startswith(k)] for k in ("Sort", "Filter"))
+    assert sorts and not any("CASE" in x for x in sorts) and filters and not any(x.count("regexp_replace") > 1 for x in filters)
+    assert found.columns == both[1].columns
