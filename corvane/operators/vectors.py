@@ -14,7 +14,7 @@ from corvane.sources.work import work_path
 #: Queries in a pack, numbers in a pack of the store, packs of queries and of the store in a cell of the grid.
 BLOCK, PACK, ROW, COLUMN = 4096, 1 << 17, 16, 64
 #: Similarities computed at once, and digits after which they count as equal.
-SIMS, DIGITS = 1 << 22, 9
+SIMS, DIGITS = 1 << 20, 9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,9 +90,9 @@ def _packed(rows: DataFrame, key: str, value: str, values: int) -> DataFrame:
 
 
 def _unpacked(packs: pa.Table, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors as doubles) of each pack."""
+    """(ids, vectors) of each pack, where they lie in the table: nothing is copied."""
     rows = zip(packs["n"].to_pylist(), packs["ids"], packs["vectors"])
-    return [(np.frombuffer(i.as_py(), np.int64), np.frombuffer(v.as_py(), kind).astype(np.float64).reshape(n, -1)) for n, i, v in rows]
+    return [(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(v.as_buffer(), kind).reshape(n, -1)) for n, i, v in rows]
 
 
 class _Best:
@@ -129,17 +129,22 @@ def _cell(k: int, not_self: bool, kinds: tuple[type, type]):
     """The k best of a cell's store packs for each query of the cell's query packs."""
 
     def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        packs = [(v, x, np.sqrt((x * x).sum(axis=1))) for v, x in _unpacked(stored, kinds[1])]
-        out = []
-        for ids, q in _unpacked(asked, kinds[0]):
+        # doubles are made of one query pack and of one step of the store at a time
+        packs, out = _unpacked(stored, kinds[1]), []
+        for ids, rows in _unpacked(asked, kinds[0]):
+            q = rows.astype(np.float64)
             norms, best = np.sqrt((q * q).sum(axis=1)), _Best(len(ids), k)
-            for values, x, lengths in packs:
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError(f"vectors of {x.shape[1]} numbers met queries of {q.shape[1]}")
+            for values, rows in packs:
+                if rows.shape[1] != q.shape[1]:
+                    raise ValueError(f"vectors of {rows.shape[1]} numbers met queries of {q.shape[1]}")
                 step = max(1, SIMS // len(ids))
-                for at in range(0, len(x), step):
-                    scale = norms[:, None] * lengths[at : at + step]
-                    sims = np.round(np.divide(q @ x[at : at + step].T, scale, out=np.zeros_like(scale), where=scale > 0), DIGITS)
+                for at in range(0, len(rows), step):
+                    x = rows[at : at + step].astype(np.float64)
+                    sims, scale = q @ x.T, norms[:, None] * np.sqrt((x * x).sum(axis=1))
+                    some = scale > 0
+                    np.divide(sims, scale, out=sims, where=some)
+                    sims[~some] = 0
+                    np.round(sims, DIGITS, out=sims)
                     if not_self:
                         sims[ids[:, None] == values[at : at + step]] = -np.inf
                     best.add(sims, values[at : at + step])

@@ -155,3 +155,28 @@ def test_rolling_counts_of_a_busy_key(spark):
     df = spark.createDataFrame(rows, "event_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = {x["event_id"]: x["pressure"] for x in P.rolling_pressure(df, "k", "ts", 300).collect()}
     assert got == {i: sum(k == kk and t - 300 <= tt <= t for _, kk, tt in rows) for i, k, t in rows}
+
+
+def test_a_cell_holds_few_doubles_at_once():
+    """A full pack of queries against packs of the store: what a cell makes beside its tables stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(8192, 16)).astype(np.float32)
+
+    def packs(n):
+        parts = [(np.arange(at, at + n), x[at : at + n]) for at in range(0, len(x), n)]
+        return pa.table({"n": pa.array([len(v) for v, _ in parts], pa.int32()), "ids": pa.array([v.tobytes() for v, _ in parts], pa.binary()), "vectors": pa.array([y.tobytes() for _, y in parts], pa.binary())})
+
+    asked, stored, run = packs(4096).slice(0, 1), packs(2048), V._cell(2, False, (np.float32, np.float32))
+    tracemalloc.start()
+    found = run(asked, stored)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(axis=1))[:, None]
+    q, v, s = (found[c].to_numpy() for c in ("query", "value", "similarity"))
+    assert len(q) == 2 * 4096 and np.abs((y[q] * y[v]).sum(axis=1) - s).max() < 1e-9 and (v[::2] == q[::2]).all()
