@@ -33,8 +33,18 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/corvane-{label}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete a query's shuffle files when it ends; else they stay until the driver collects its garbage.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLES_GO)
+    conf.set(_SHUFFLES_GO, "true")  # what is read from now on is the table
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,10 +13,16 @@ sets of the least similarity reach (at most 0.19 of the bits in the mean, two se
 that it loses none in practice.  What is left is checked on whole sets, of 32 bits of each shingle's hash, which halves
 what the check moves: two sets of 500 shingles share one too many with a chance of 0.00006.
 
-Keys of at most ``BUCKET`` sets give all their pairs.  In larger ones each set meets two of the key's sets, picked
-by hash, first; once those that pass are components, only sets outside a key's main component meet the key's sets of
-other components, of a class of size next to theirs, and the join itself takes pigeonring chains of whole words.  Every
-pair that is left out is within one component already, so the components are those of all pairs.
+A pair of sizes n and m needs an overlap of ``o = ceil(4 (n + m) / 9)``, so the first shingle that both hold lies among
+the first ``n - o + 1`` of one and ``m - o + 1`` of the other: for sets of one size the first ninth, where the prefix for
+all sizes is a fifth.  Keys of at most ``BUCKET`` sets give all such pairs.  In larger ones each set first meets two of
+the key's sets: the one with the fewest shingles before that key, which in a group of copies is its middle, and one
+picked by hash.  Once those that pass are components, only sets outside a key's main component meet the key's sets of
+other components.  There a set is listed under its own class of size, with its first ninth, and looks up each class of
+sets up to its size with so much of its prefix as that class needs.  In a large group of copies, one that is not linked
+to the group's middle has about that many shingles of its own, so that the shingles that all hold do not make it meet
+the group.  Every pair that is left out is within one component already or has less than the least similarity, so the
+components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -41,10 +47,8 @@ WORDS, PARTS = 5, (4, 5)
 BUCKET = 4
 #: Bits of a fingerprint are 64 for each lane; segments of 16 bits lie on a ring.
 LANES, CHAIN, MAX_BITS = 4, 8, 96
-#: Least keys of a set by which a pair that meets at many keys is known to be the same one.
-FIRST = 8
-#: Base of the classes of size, a little over the ratio of sizes of the least similarity, whose sets lie in neighbouring classes.
-_SIZE = 1.26
+#: Base of the classes of size that a set looks up one by one.
+_SIZE = 1.03
 _WIDTH = 16
 _SEGMENTS = LANES * 64 // _WIDTH
 #: Documents in the sample (about so many of any number), least count there of a shingle that is put last, and the most of those.  They bound the
@@ -96,6 +100,12 @@ def prefix(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.nd
     return shingles[: n - least + 1]
 
 
+def prefix_keys(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The distinct keys of a prefix, in its order: no key comes later than its first shingle."""
+    keys = prefix(shingles, often, counts) & _KEY
+    return keys[np.sort(np.unique(keys, return_index=True)[1])]
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
@@ -125,7 +135,7 @@ _PRINTED = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, n, keys) for each row: its set's id and size, and the keys of its prefix."""
+    """(doc_id, fp, n, keys) for each row: its set's id and size, and the keys of its prefix in order."""
     order = docs.sparkSession.sparkContext.broadcast(_often(docs, id_col, text_col))
 
     @F.pandas_udf(_PRINTED)
@@ -134,7 +144,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [shingle_set(t) for t in batch]
             yield pd.DataFrame({
                 "fp": np.array([set_id(s) for s in sets], dtype=np.int64), "n": np.array([len(s) for s in sets], dtype=np.int32),
-                "keys": [np.unique(prefix(s, *order.value) & _KEY) for s in sets],
+                "keys": [prefix_keys(s, *order.value) for s in sets],
             })
 
     return docs.select(F.col(id_col).alias("doc_id"), printed(F.col(text_col)).alias("p")).select("doc_id", "p.*")
@@ -168,13 +178,22 @@ def _words_chain(a: str, b: str) -> F.Column:
     return reduce(or_, starts)
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """The distinct pairs (a, b) of the least similarity."""
+def _first(n, p, m) -> F.Column:
+    """Whether the first shingle shared with a set of size m can be at place p of a set of size n; implies that m is not too large."""
+    return (n - p) * sum(PARTS) >= (n + m) * PARTS[0]
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are within the ring."""
     rings = [sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"k{c}")) for c in "ab"]
-    near = scratch.written(pairs.join(rings[0], "a").join(rings[1], "b").where(within_ring("ka", "kb")).select("a", "b"), f"{label}-near")
+    return pairs.join(rings[0], "a").join(rings[1], "b").where(within_ring("ka", "kb")).select("a", "b")
+
+
+def _alike(near: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of the least similarity."""
     sets = [sketches.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
     shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return scratch.written(near.join(sets[0], "a").join(sets[1], "b").where(shared * PARTS[1] >= (total - shared) * PARTS[0]).select("a", "b"), label)
+    return near.join(sets[0], "a").join(sets[1], "b").where(shared * PARTS[1] >= (total - shared) * PARTS[0]).select("a", "b")
 
 
 def _pair(a: str, b: str) -> list:
@@ -183,20 +202,22 @@ def _pair(a: str, b: str) -> list:
 
 def copy_links(docs: DataFrame, prints: DataFrame, fps: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between the sets of fps(fp, low_id, n), those of docs' texts: enough of them to connect all near copies."""
-    arcs = prints.select("fp", "n", F.explode("keys").alias("key"))
-    # a key of one set only, however many rows hold it, links nothing
-    shared = scratch.written(arcs.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"), "shared")
+    arcs = prints.select("fp", "n", F.posexplode("keys").alias("p", "key"))
+    # a key of one set only, however many rows hold it, links nothing, nor does one that comes too late for the smaller set of any pair
+    listed = F.max(_first(F.col("n"), F.col("p"), F.col("n"))).alias("listed")
+    shared = scratch.written(arcs.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), listed).where("lo <> hi AND listed").select("key"), "shared")
     # merged at every size: the list of shared keys grows with the documents, so it is never broadcast
-    member = scratch.written(arcs.join(shared.hint("merge"), "key").groupBy("key", "fp").agg(F.max("n").alias("n")), "members")
+    member = scratch.written(arcs.join(shared.hint("merge"), "key").groupBy("key", "fp").agg(F.max("n").alias("n"), F.min("p").alias("p")), "members")
     sized = scratch.written(member.groupBy("key").agg(F.count("*").alias("c")), "sized")
-    member = scratch.written(member.join(sized, "key"), "sized-members")
-
-    few = member.where(F.col("c") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n"))).alias("l"))
-    both = "flatten(transform(l, (x, k) -> transform(filter(slice(l, k + 2, size(l)), y -> {close}), y -> struct(x.fp AS a, y.fp AS b))))"
-    close = f"least(x.n, y.n) * {PARTS[1]} >= greatest(x.n, y.n) * {PARTS[0]}"
-    small = few.select(F.explode(F.expr(both.format(close=close))).alias("p")).select("p.*")
-    hot = scratch.written(member.where(F.col("c") > BUCKET).select("key", "fp", "n"), "hot")
-    heads = hot.groupBy("key").agg(*[F.min_by(F.struct("fp", "n"), F.xxhash64(F.lit(k), "key", "fp")).alias(f"h{k}") for k in (1, 2)])
+    few = member.join(sized.where(F.col("c") <= BUCKET), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n", "p"))).alias("l"))
+    both = "flatten(transform(l, (x, k) -> transform(filter(slice(l, k + 2, size(l)), y -> {first}), y -> struct(x.fp AS a, y.fp AS b))))"
+    first = " AND ".join(f"({s}.n - {s}.p) * {sum(PARTS)} >= (x.n + y.n) * {PARTS[0]}" for s in "xy")
+    small = few.select(F.explode(F.expr(both.format(first=first))).alias("p")).select("p.*")
+    hot = scratch.written(member.join(sized.where(F.col("c") > BUCKET), "key").select("key", "fp", "n", "p"), "hot")
+    heads = hot.groupBy("key").agg(
+        F.min_by(F.struct("fp", "n"), F.struct("p", F.xxhash64(F.lit(1), "fp"))).alias("h1"),
+        F.min_by(F.struct("fp", "n"), F.xxhash64(F.lit(2), "key", "fp")).alias("h2"),
+    )
     to_heads = (
         hot.join(scratch.written(heads, "heads"), "key").select("fp", "n", F.explode(F.array("h1", "h2")).alias("h"))
         .where(F.col("fp") != F.col("h.fp")).where(_similar(F.col("n"), F.col("h.n"))).select(*_pair("fp", "h.fp"))
@@ -210,33 +231,45 @@ def copy_links(docs: DataFrame, prints: DataFrame, fps: DataFrame, scratch: Scra
     sketches = scratch.written(some, "sketches")
     if sketches.groupBy("fp").count().where("count > 1").limit(1).count():
         sketches = scratch.written(sketches.dropDuplicates(["fp"]), "single-sketches")
-    links = _alike(pairs, sketches, scratch, "links")
+    links = scratch.written(_alike(scratch.written(_near(pairs, sketches), "links-near"), sketches), "links")
 
     root = components(links)
-    rooted = scratch.written(hot.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "hot-roots")
-    across = scratch.written(_across(rooted, sketches, scratch).join(pairs, ["a", "b"], "left_anti"), "across")
-    return links.unionAll(_alike(across, sketches, scratch, "links-across"))
+    rooted = scratch.written(hot.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "p", F.coalesce("root", "fp").alias("root")), "hot-roots")
+    across = scratch.written(_across(rooted, sketches, scratch).join(pairs, ["a", "b"], "left_anti"), "links-across-near")
+    return links.unionAll(scratch.written(_alike(across, sketches), "links-across"))
 
 
 def _across(rooted: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of rooted(key, fp, n, root) that share a key over components, unless sizes or whole-word chains forbid it.
+    """Pairs (a, b) of rooted(key, fp, n, p, root) that share a key over components, unless sizes, places or fingerprints forbid it.
+
+    p is a key's place in the set's prefix; without it every key may be the first that is shared."""
+    return _near(scratch.written(_meetings(rooted, scratch), "meetings"), sketches)
+
 
-    Sets meet by key and class of size, within the join's own condition.  A pair that shares one of the ``FIRST`` least
-    keys of both comes from the least of those only, others from each key that they share."""
+def _meetings(rooted: DataFrame, scratch: Scratch) -> DataFrame:
+    """``_across`` without fingerprints."""
+    if "p" not in rooted.columns:
+        rooted = rooted.withColumn("p", F.lit(0))
     by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = scratch.written(by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "mains")
-    mixed = scratch.written(rooted.join(main, "key").withColumn("size", F.floor(F.log("n") / F.log(F.lit(_SIZE)))), "mixed")
-    first = mixed.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
-    known = scratch.written(first.join(sketches.select("fp", "sketch"), "fp"), "mixed-sketches")
-    full = scratch.written(mixed.join(known, "fp"), "mixed-full")
-
-    rest = full.where("root <> main").select(
-        "key", F.explode(F.expr("array(size - 1, size, size + 1)")).alias("size"), F.col("fp").alias("x"), F.col("n").alias("m"),
-        F.col("root").alias("rx"), F.col("first").alias("fx"), F.col("sketch").alias("sx"),
+    mixed = scratch.written(rooted.join(main, "key").select("key", "fp", "n", "p", "root", (F.col("root") != F.col("main")).alias("rest")), "mixed")
+    n, p, m, q = (F.col(c) for c in "npmq")
+    listed = mixed.where(_first(n, p, n)).select("key", F.col("fp").alias("y"), n.alias("m"), p.alias("q"), F.col("root").alias("ry"), "rest", _class(n).alias("size"))
+    # sets of the main component meet those outside it only
+    looked = mixed.select(
+        "key", F.col("fp").alias("x"), "n", "p", F.col("root").alias("rx"), F.explode(F.when(F.col("rest"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("rest"),
     )
-    once = F.coalesce(F.array_min(F.array_intersect("fx", "first")), F.col("key")) == F.col("key")
-    met = (F.col("rx") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("fp")))
-    return rest.join(full, ["key", "size"]).where(met & _similar(F.col("n"), F.col("m")) & _words_chain("sx", "sketch")).where(once).select(*_pair("x", "fp")).distinct()
+    least = F.ceil(n * PARTS[0] / PARTS[1])
+    looked = looked.withColumn("size", F.explode(F.sequence(_class(least), _class(n))))
+    # a class's sets are no smaller than this; one less, lest rounding makes it too large
+    looked = looked.where(_first(n, p, F.greatest(least, F.floor(F.pow(F.lit(_SIZE), F.col("size"))) - 1)))
+    met = (F.col("rx") != F.col("ry")) & ((m < n) | ((m == n) & (F.col("y") < F.col("x"))))
+    return looked.join(listed, ["key", "rest", "size"]).where(met & _first(n, p, m) & _first(m, q, n)).select(*_pair("x", "y")).distinct()
+
+
+def _class(n) -> F.Column:
+    """Class of size of a set that is not empty."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(_SIZE)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

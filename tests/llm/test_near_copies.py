@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 from pathlib import Path
 
@@ -111,3 +112,43 @@ def test_work_tables_go(docs_frame, spark, make_text):
     N.drop_near_copies(docs_frame([(1, make_text(1, 30)), (2, make_text(1, 31))])).collect()
     left = [str(p) for p in Path(work_root(spark).removeprefix("file://")).glob("corvane-*/work")]
     assert left == []
+
+
+def test_a_group_of_copies_past_its_middle_does_not_meet_in_pairs(docs_frame, make_text, monkeypatch):
+    """Copies of which most have too many changes to be linked: no table of pairs grows with the group's square, and all links stay."""
+    r = random.Random(11)
+    text, n = make_text(80, 150), 360
+    rows = [(k, changed(text, 1 + k % 3 if k % 3 == 0 else 4 + k % 4, r)) for k in range(n)]
+    rows += [(1000 + k, changed(rows[3 * k + 1][1], 1, r)) for k in range(20)]
+    made = {}
+
+    class Counted(N.Scratch):
+        def written(self, df, label):
+            out = super().written(df, label)
+            if out.columns == ["a", "b"]:
+                made[label] = out.count()
+            return out
+
+    monkeypatch.setattr(N, "Scratch", Counted)
+    monkeypatch.setattr(N, "SAMPLE", 200)
+    want = plain_groups(rows)
+    assert {x["doc_id"] for x in N.drop_near_copies(docs_frame(rows)).collect()} == want and len(want) > n // 2
+    assert made and max(made.values()) < 40 * n, made
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from corvane.llm.common import _SHUFFLES_GO, Scratch
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    set_to = spark.conf.get(_SHUFFLES_GO)
+    with Scratch(spark, "files") as scratch:
+        before = shuffles()
+        scratch.written(spark.range(10_000).selectExpr("id % 997 AS k").distinct(), "distinct")
+        end = time.time() + 10
+        while shuffles() - before and time.time() < end:
+            time.sleep(0.1)
+        assert not shuffles() - before and spark.conf.get(_SHUFFLES_GO) == set_to
